@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.llm.cdc import repeated_passages
+from folioscan.llm.chat import format_conversations, loss_text, parse
 from folioscan.llm.decontaminate import find_contamination
+from folioscan.llm.fingerprints import edit_check
 from folioscan.llm.langid import identify
 from folioscan.llm.minhash import near_duplicates
 from folioscan.llm.mixing import mix_sources
 from folioscan.llm.secrets import KINDS, find_secrets
+from folioscan.llm.tokens import apply_edits, token_trees
+from folioscan.llm.warc import archived_pages, read_archives, write_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +25,26 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_check(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    done = format_conversations(turns).withColumn("turns", parse(F.col("formatted"))).withColumn("loss", loss_text(F.col("formatted")))
+    line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    return done.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", line), ""), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -28,6 +53,19 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), max_repeats=4.0)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text is counted, then edited in its middle and at three quarters, and counted on."""
+    n = F.char_length("text").cast("long")
+    one = F.struct(F.floor(n / 2).alias("at"), F.lit(40).cast("long").alias("removed"), F.concat(F.lit(" edited passage "), F.col("doc_id").cast("string")).alias("added"))
+    two = F.struct(F.floor(n * 3 / 4).alias("at"), F.lit(0).cast("long").alias("removed"), F.lit(" and a note").alias("added"))
+    docs = table(spark, sf_dir, "documents").withColumn("edits", F.array(one, two))
+    return apply_edits(token_trees(docs, keep=("edits",))).select("doc_id", "tokens_before", "n_tokens", "n_chars", "chars_encoded", F.size("leaf_tokens").cast("long").alias("leaves"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     name = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
@@ -40,11 +78,45 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(read_archives(write_archives(table(spark, sf_dir, "pages"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_language_id, op5_mix_sources, op8_secret_scan, op9_minhash, pipeline)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontaminate, op2_fingerprints, op3_chat_format, op4_language_id, op5_mix_sources, op6_token_counts, op7_substring_dedup, op8_secret_scan, op9_minhash, op10_warc, pipeline)
+}
+
+ORACLES: dict[str, str] = {
+    "op3_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+               CAST(sum(4 + length(role) + 2 + length(regexp_replace(text, '(\\*)(###|</turn>)', '\\\1\2', 'g')) + 9) AS BIGINT) AS formatted_chars
+        FROM t GROUP BY conv_id
+    """,
+    "op10_warc": """
+        WITH d AS (
+            SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (
+            SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM d
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first_id IS NOT NULL AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first_id <> page_id THEN first_id END AS refers_to,
+               CASE WHEN first_id <> page_id OR payload_bytes = 0 THEN 1 ELSE CAST(ceil(payload_bytes / 65536.0) AS BIGINT) END AS n_chunks
+        FROM f
+    """,
+}

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import materialize
@@ -194,21 +194,44 @@ def _links(rows: DataFrame, nodes: DataFrame, members: DataFrame, size: int, per
     left = materialize(labelled.join(mixed, "bucket", "left_semi"), "left")
     if left.isEmpty():
         return first
-    # A shingle that no other left-over set has can't be in an intersection of two of them.
-    left_texts = texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
-    lone = left_texts.mapInArrow(_exploder(size), "doc_id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1")
-    lone = lone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lone"))
-    able = signs.join(left.select("doc_id").distinct(), "doc_id").join(lone, "doc_id", "left").withColumn("most", F.col("n") - F.coalesce("lone", F.lit(0)))
-    able = able.where(F.col("most") * 100 >= F.col("n") * percent).select("doc_id", "n", "sign", "most")
-    a = materialize(left.join(able, "doc_id"), "able")
-    b = a.select("bucket", *(F.col(c).alias(f"{c}_") for c in ("doc_id", "label", "n", "sign", "most")))
-    bound = F.least("most", "most_")
-    possible = (F.col("doc_id") < F.col("doc_id_")) & (F.col("label") != F.col("label_")) & (bound * 100 >= (F.col("n") + F.col("n_") - bound) * percent)
-    crossed = a.join(b, (a["bucket"] == b["bucket"]) & possible & (similarity_estimate("sign", "sign_") >= least_estimate(percent)))
-    crossed = crossed.select(F.col("doc_id").alias("u"), F.col("doc_id_").alias("v")).distinct()
+    crossed = _crossed(left.select("doc_id", "label").distinct(), signs, texts, size, percent)
     return first.union(_confirmed(crossed, texts, size, percent))
 
 
+def _crossed(left: DataFrame, signs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of left-over nodes of different classes that may still reach `percent`; loses none that does.
+
+    A shingle that no other left-over set has can't be in an intersection of two of them. In
+    the order of rarity, two sets that are similar enough meet within short prefixes, and
+    what lies behind the place where they first meet bounds their intersection.
+    """
+    ids = left.select("doc_id")
+    held = texts.join(ids, "doc_id", "left_semi").mapInArrow(_exploder(size), "doc_id long, shingle long")
+    counts = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("doc_id"))
+    lone = counts.where("c = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lone"))
+    able = left.join(signs, "doc_id").join(lone, "doc_id", "left").withColumn("lone", F.coalesce("lone", F.lit(0))).withColumn("most", F.col("n") - F.col("lone"))
+    able = materialize(able.where(F.col("most") * 100 >= F.col("n") * percent), "able")
+
+    common = counts.where("c > 1").select("shingle", "c")
+    rarest = Window.partitionBy("doc_id").orderBy("c", "shingle")
+    placed = held.join(able.select("doc_id"), "doc_id", "left_semi").join(common, "shingle").withColumn("place", F.row_number().over(rarest))
+    placed = placed.join(able, "doc_id").withColumn("place", F.col("place") + F.col("lone") - 1)
+    placed = placed.where(F.col("place") <= F.col("n") - _ceil(F.col("n") * percent, 100)).select("shingle", "place", "doc_id", "label", "n", "most", "sign")
+    placed = materialize(placed, "prefixes")
+    a = placed.where(F.col("place") <= F.col("n") - _ceil(F.col("n") * (2 * percent), 100 + percent))
+    b = placed.select("shingle", *(F.col(c).alias(f"{c}_") for c in ("place", "doc_id", "label", "n", "most", "sign")))
+    need = _ceil((F.col("n") + F.col("n_")) * percent, 100 + percent)
+    smaller = F.struct("n", "most", "doc_id") < F.struct(F.col("n_").alias("n"), F.col("most_").alias("most"), F.col("doc_id_").alias("doc_id"))
+    behind = F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_"))
+    possible = smaller & (F.col("label") != F.col("label_")) & (F.least("most", "most_", behind) >= need) & (similarity_estimate("sign", "sign_") >= least_estimate(percent))
+    met = a.join(b, (a["shingle"] == b["shingle"]) & possible)
+    return met.select(F.col("doc_id").alias("u"), F.col("doc_id_").alias("v")).distinct()
+
+
+def _ceil(x: Column, divisor: int) -> Column:
+    return F.floor((x + (divisor - 1)) / divisor)
+
+
 def _estimated(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     u = signs.select(F.col("doc_id").alias("u"), F.col("sign").alias("u_sign"), F.col("n").alias("u_n"))
     v = signs.select(F.col("doc_id").alias("v"), F.col("sign").alias("v_sign"), F.col("n").alias("v_n"))

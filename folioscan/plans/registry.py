@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from folioscan.plans import catalog, corpus, dialogue, retrieval
+from folioscan.plans.base import ORACLES, QUERIES
+
 FLAGSHIP = "keyword_topk"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "catalog", "corpus", "dialogue", "retrieval"]

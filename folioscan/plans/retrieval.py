@@ -86,13 +86,13 @@ _FUSED = f"""{_TERMS},
 """
 
 
-@query(f"WITH {_FUSED} SELECT query_id, chunk_id, similarity, coalesce(hits, 0) AS hits, terms, round(base, 6) AS base FROM b")
+@query(f"WITH {_FUSED} SELECT query_id, chunk_id, similarity, coalesce(hits, 0) AS hits, terms, round(base, 9) AS base FROM b")
 def keyword_semantic_union(t: Tables) -> DataFrame:
     """Both arms' candidates per question and their base score."""
     from folioscan.functions.scoring import hybrid_base
 
     base = hybrid_base("similarity", F.coalesce("top_similarity", F.lit(0.01)), "hits", F.coalesce("terms", F.lit(1)))
-    return _arms(t).select("query_id", "chunk_id", "similarity", F.coalesce("hits", F.lit(0)).alias("hits"), "terms", F.round(base, 6).alias("base"))
+    return _arms(t).select("query_id", "chunk_id", "similarity", F.coalesce("hits", F.lit(0)).alias("hits"), "terms", F.round(base, 9).alias("base"))
 
 
 def _features(t: Tables) -> DataFrame:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CHUNK_SCHEMA = T.StructType.fromDDL(
+CHUNK_SCHEMA = (
     "chunk_id string, doc_id string, doc_type string, title string, source string, section string, section_num string, section_path string, "
     "page_num int, printed_page string, status string, chunk_index int, total_chunks_in_section int, tags array<string>, oem string, chunk_type string, "
     "table_id string, columns array<string>, coach_type array<string>, subsystem string, issue_date string, revision string, letter_no string, "
@@ -17,7 +16,7 @@ FEEDBACK_LIMITS = {"note": 500, "correction": 500, "question": 500, "answer": 20
 LEDGER = ["timestamp", "commit", "k", "rerank", "recall", "mrr", "value_retrieved", "guard", "ctx_chars_mean", "cases", "status", "description"]
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = CHUNK_SCHEMA) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str = CHUNK_SCHEMA) -> DataFrame:
     """JSON lines with a fixed schema; blank lines are skipped, a missing path is an empty table."""
     try:
         return spark.read.schema(schema).json(path)

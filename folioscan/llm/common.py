@@ -41,6 +41,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, limit: int = 4 << 20) -> DataFrame:
+    """df, in a session whose Arrow batches are lowered from Spark's 64 MB to `limit` bytes.
+
+    Rows are long texts here: a task then holds a few MB of them, in the JVM and in Python,
+    instead of some hundred. A value that the session sets itself stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":
+        conf.set(key, str(limit))
+    return df
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column without copying; a null has no bytes."""
     kind = column.type

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm.common import small_batches
+
 #: Characters of items in one broadcast block; a larger benchmark takes more passes.
 BLOCK_CHARS = 2_000_000
 SCHEMA = "doc_id long, item_id long, distance int, match_start long, match_end long"
@@ -181,7 +183,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1,
     for k in range(blocks):
         block = [(r[0], fold(r[1])) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
         block = sorted({(i, t) for i, t in block if len(t) >= least_chars}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        found.append(rows.mapInArrow(_scan(spark.sparkContext.broadcast((block, rate))), SCHEMA))
+        found.append(small_batches(rows).mapInArrow(_scan(spark.sparkContext.broadcast((block, rate))), SCHEMA))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -205,5 +207,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1,
                 keep = [not (t and matcher.matches(fold(t))) for t in (x.as_py() for x in batch.column(column))]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = small_batches(docs).mapInArrow(clean, docs.schema)
     return docs

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import materialize
+from folioscan.llm.common import materialize, small_batches
 
 ROWS_PER_RANGE, MOST_RANGES = 4_000, 20_000
 
@@ -75,7 +75,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             forms = [canonical(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_hexdigest(f) for f in forms]), pa.array([squeeze.compress(f) for f in forms], pa.binary())], names=["doc_id", "fingerprint", "packed"])
 
-    packed = rows.mapInArrow(pack, "doc_id long, fingerprint string, packed binary").join(shared, "fingerprint", "left_semi")
+    packed = small_batches(rows).mapInArrow(pack, "doc_id long, fingerprint string, packed binary").join(shared, "fingerprint", "left_semi")
     grouped = groups_of(packed).distinct()
     return printed.join(grouped, (printed["fingerprint"] == grouped["g_fingerprint"]) & printed["doc_id"].eqNullSafe(grouped["doc_id"]), "left").select(printed["doc_id"], "fingerprint", F.coalesce("group_id", printed["doc_id"]).alias("group_id"))
 
@@ -183,9 +183,9 @@ def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([False] * len(at)), own, pa.nulls(len(at), pa.binary())], names=["part", "tail", "doc_id", "packed"])
 
     shape = "part int, tail boolean, doc_id long, packed binary"
-    dealt = rows.mapInArrow(_packer(bounds, tails), shape).union(marked.mapInArrow(mark, shape))
+    dealt = small_batches(rows).mapInArrow(_packer(bounds, tails), shape).union(small_batches(marked).mapInArrow(mark, shape))
     dealt = dealt.repartition("part").sortWithinPartitions("part", "tail", F.desc_nulls_last("doc_id"), F.asc_nulls_first("packed"))
-    done = materialize(dealt.mapInArrow(_editor, _EDITED), "edited")
+    done = materialize(small_batches(dealt).mapInArrow(_editor, _EDITED), "edited")
     grouped = groups_of(done.where("canonical is not null").select("doc_id", "fingerprint", F.col("canonical").alias("packed"))).distinct().withColumnRenamed("doc_id", "g_doc_id")
     result = done.join(grouped, F.col("doc_id").eqNullSafe(F.col("g_doc_id")) & (F.col("fingerprint") == F.col("g_fingerprint")), "left")
     return result.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"), F.coalesce("group_id", "doc_id").alias("group_id"))
@@ -200,4 +200,4 @@ def _range_heads(ids: DataFrame, bounds: np.ndarray) -> dict[int, int]:
             own = batch.column(0).fill_null(least)
             yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, own.to_numpy(), "right"), pa.int32()), own], names=["p", "doc_id"])
 
-    return {r[0]: r[1] for r in ids.mapInArrow(place, "p int, doc_id long").groupBy("p").agg(F.max("doc_id")).collect()}
+    return {r[0]: r[1] for r in small_batches(ids).mapInArrow(place, "p int, doc_id long").groupBy("p").agg(F.max("doc_id")).collect()}

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm.common import small_batches
+
 ORDER = 4
 #: Bounds of the training sample and the model, all parameters of train().
 DOCS_PER_LANG, MAX_DOC_BYTES, MAX_NODES, LEAST_COUNT = 300, 16_384, 16_000, 6
@@ -258,7 +260,7 @@ def predict_language(docs: DataFrame, model: Model | None, id_col: str = "doc_id
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"))
-    return rows.mapInArrow(_predictor(shared), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double").select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+    return small_batches(rows).mapInArrow(_predictor(shared), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double").select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds: int) -> DataFrame:
@@ -288,4 +290,4 @@ def keep_identified(docs: DataFrame, model: Model | None, most_bits: float = 7.5
             good = iter((code_lengths(known, coded).min(1) <= np.array([len(t) for t in coded]) * (most_bits * UNIT)).tolist() if known is not None and coded else [False] * len(coded))
             yield batch.filter(pa.array([t is not None and next(good) for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(keep, kept)
+    return small_batches(docs).mapInArrow(keep, kept)

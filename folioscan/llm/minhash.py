@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import materialize
+from folioscan.llm.common import materialize, small_batches
 from folioscan.llm.components import connected_components
 from folioscan.llm.shingles import mix, shingle_sets, stream
 
@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs are ignored, so their names can't clash. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialize(rows.mapInArrow(_signer(size), "doc_id long, n long, digest binary, bands array<long>, sign array<long>"), "signed")
+    signed = materialize(small_batches(rows).mapInArrow(_signer(size), "doc_id long, n long, digest binary, bands array<long>, sign array<long>"), "signed")
     nodes = materialize(signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sign", "bands")).alias("x")).select("digest", "x.*"), "nodes")
 
     buckets = nodes.select("doc_id", F.explode("bands").alias("bucket"))
@@ -179,7 +179,7 @@ def _links(rows: DataFrame, nodes: DataFrame, members: DataFrame, size: int, per
     signs = nodes.select("doc_id", "n", "sign")
     needed = members.select("doc_id").distinct()
     # Texts move once, compressed. A repeated id may bring a text of its own: both count.
-    texts = materialize(rows.mapInArrow(_compress, "doc_id long, packed binary").join(needed, "doc_id"), "texts")
+    texts = materialize(small_batches(rows).mapInArrow(_compress, "doc_id long, packed binary").join(needed, "doc_id"), "texts")
 
     degree = members.groupBy("doc_id").agg(F.sum("members").alias("degree"))
     leader = members.join(degree, "doc_id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("first"))).alias("x")).select("bucket", (-F.col("x.first")).alias("leader"))
@@ -243,4 +243,4 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     u = texts.select(F.col("doc_id").alias("u"), F.col("packed").alias("u_packed"))
     v = texts.select(F.col("doc_id").alias("v"), F.col("packed").alias("v_packed"))
     both = pairs.join(v, "v").join(u, "u").select("u", "v", "u_packed", "v_packed")
-    return both.mapInArrow(_confirmer(size, percent), "u long, v long")
+    return small_batches(both).mapInArrow(_confirmer(size, percent), "u long, v long")

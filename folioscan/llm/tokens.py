@@ -19,6 +19,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm.common import small_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -150,7 +152,7 @@ def token_trees(docs: DataFrame, vocabulary: str = VOCABULARY, leaf_chars: int =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
     shape = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
-    return rows.mapInArrow(_counter(vocabulary, leaf_chars), f"{shape}, {TREE}")
+    return small_batches(rows).mapInArrow(_counter(vocabulary, leaf_chars), f"{shape}, {TREE}")
 
 
 def _updater(path: str, leaf_chars: int):
@@ -182,4 +184,4 @@ def apply_edits(trees: DataFrame, vocabulary: str = VOCABULARY, leaf_chars: int
     doc_id, tokens_before, n_tokens, n_chars, chars_encoded, text and the updated leaves.
     A null or empty list changes nothing; null fields of an edit count as 0 and ''.
     """
-    return trees.mapInArrow(_updater(vocabulary, leaf_chars), "doc_id long, tokens_before long, n_tokens long, n_chars long, chars_encoded long, text string, leaf_chars array<int>, leaf_tokens array<int>")
+    return small_batches(trees).mapInArrow(_updater(vocabulary, leaf_chars), "doc_id long, tokens_before long, n_tokens long, n_chars long, chars_encoded long, text string, leaf_chars array<int>, leaf_tokens array<int>")

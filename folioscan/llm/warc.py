@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import fresh_path, materialize
+from folioscan.llm.common import fresh_path, materialize, small_batches
 
 CHUNK_BYTES = 65_536
 LEAST_BYTES = 100
@@ -124,7 +124,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, chunk_bytes: int
     rows = chunk_rows(plan_records(pages, **columns), chunk_bytes)
     dealt = rows.repartition("row").sortWithinPartitions("row", "chunk_no")
     dealt = dealt.select("row", "page_id", "url", "payload_bytes", "digest", "record_type", "refers_to", "chunk")
-    return materialize(dealt.mapInArrow(_writer(folder), "name string, records long").select(F.lit(folder).alias("folder"), "name", "records"), "manifest")
+    return materialize(small_batches(dealt).mapInArrow(_writer(folder), "name string, records long").select(F.lit(folder).alias("folder"), "name", "records"), "manifest")
 
 
 def _members(stream) -> Iterator[tuple[bool, bytes]]:

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import doc_groups, materialize, text_buffers
+from folioscan.llm.common import doc_groups, materialize, small_batches, text_buffers
 from folioscan.llm.shingles import LOWER, PIECE, SEPARATOR, mix, stream, words
 
 WINDOW, WORDS_PER_CHUNK = 16, 4
@@ -80,19 +80,33 @@ def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in doc_groups(offsets, PIECE):
             row, digest, word, n, start, end = chunks(data, offsets[i : j + 1])
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i).take(pa.array(row)), pa.array(digest), pa.array(word, pa.int32()), pa.array(n, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
-                names=["doc_id", "digest", "word", "words", "byte_start", "byte_end"],
+                [ids.slice(i, j - i).take(pa.array(row)), pa.array(digest), pa.array(word << 32 | n, pa.int64()), pa.array(start << 32 | end, pa.int64())],
+                names=["doc_id", "digest", "in_words", "in_bytes"],
             )
 
 
+def _high(c: str) -> Column:
+    return F.shiftright(c, 32)
+
+
+def _low(c: str) -> Column:
+    return F.col(c).bitwiseAND(0xFFFFFFFF)
+
+
+def _packed_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, digest, in_words (first word and words), in_bytes (start and end): two numbers a column, each below 2**31."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
+    return small_batches(rows).mapInArrow(_chunker, "doc_id long, digest long, in_words long, in_bytes long")
+
+
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest, word (place of its first), words, byte_start, byte_end of every chunk of every row.
 
     Digests are over words in A-Z-insensitive form, white space aside. Null, empty and blank
     texts have no chunks. Offsets are UTF-8 bytes, end exclusive.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(_chunker, "doc_id long, digest long, word int, words int, byte_start long, byte_end long")
+    found = _packed_chunks(docs, id_col, text_col)
+    return found.select("doc_id", "digest", _high("in_words").alias("word"), _low("in_words").alias("words"), _high("in_bytes").alias("byte_start"), _low("in_bytes").alias("byte_end"))
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,9 +118,9 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: s
     through if it is 0. Rows that share an id count as one document's occurrences; a null id
     comes first. Documents without a repeated run give no row.
     """
-    found = chunk_table(docs, id_col, text_col)
+    found = _packed_chunks(docs, id_col, text_col)
     seen = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first_id")).where("n > 1").select("digest", "first_id")
-    shared = found.join(seen, "digest").select("doc_id", "word", "words", "byte_start", "byte_end", (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first_id")).alias("fresh"))
+    shared = found.join(seen, "digest").select("doc_id", _high("in_words").alias("word"), _low("in_words").alias("words"), _high("in_bytes").alias("byte_start"), _low("in_bytes").alias("byte_end"), (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first_id")).alias("fresh"))
     shared = materialize(shared, "shared-chunks")
     order = Window.partitionBy("doc_id").orderBy("word", "byte_start")
     gap = F.coalesce(F.col("word") > F.lag(F.col("word") + F.col("words")).over(order), F.lit(True))

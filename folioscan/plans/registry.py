@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscan.plans import catalog, corpus, dialogue, retrieval
+from folioscan.plans import catalog, corpus, dialogue, layout, retrieval
 from folioscan.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "keyword_topk"
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "catalog", "corpus", "dialogue", "retrieval"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "catalog", "corpus", "dialogue", "layout", "retrieval"]

@@ -50,7 +50,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"), max_repeats=4.0)
+    return mix_sources(table(spark, sf_dir, "documents"), max_repeats=4.0).withColumn("weight", F.round("weight", 9))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,4 +119,36 @@ ORACLES: dict[str, str] = {
                CASE WHEN first_id <> page_id OR payload_bytes = 0 THEN 1 ELSE CAST(ceil(payload_bytes / 65536.0) AS BIGINT) END AS n_chunks
         FROM f
     """,
+    # For a repetition limit the exponent has a closed form, which the bisection reaches to 2**-40.
+    "op5_mix_sources": r"""
+        WITH t AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents),
+        s AS (SELECT source, CAST(sum(n) AS BIGINT) AS tokens FROM t GROUP BY source),
+        g AS (SELECT CAST(sum(tokens) AS DOUBLE) AS total, CAST(max(tokens) AS DOUBLE) AS hi, CAST(min(tokens) FILTER (tokens > 0) AS DOUBLE) AS lo FROM s),
+        a AS (SELECT total, hi, CASE WHEN hi / lo <= 4 THEN 0.0::DOUBLE ELSE 1 - ln(4.0::DOUBLE) / ln(hi / lo) END AS alpha FROM g),
+        p AS (SELECT source, tokens, total, hi, alpha, CASE WHEN tokens > 0 THEN exp(alpha * ln(tokens / total)) ELSE 0 END AS e FROM s, a),
+        z AS (SELECT *, sum(e) OVER () AS z FROM p),
+        w AS (SELECT source, tokens, e / z AS weight, greatest(CAST(floor(e / z * (total * z * exp((1 - alpha) * ln(hi / total))) + 0.000001) AS BIGINT), tokens) AS budget, CAST(greatest(1, ceil(tokens / 65536.0)) AS BIGINT) AS blocks FROM z),
+        v AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM w),
+        d AS (SELECT doc_id, t.source, n, weight, whole, rest, CAST('0x' || substr(md5('5:' || doc_id), 1, 15) AS BIGINT) % blocks AS block FROM t JOIN v ON v.source IS NOT DISTINCT FROM t.source),
+        c AS (SELECT *, CAST('0x' || substr(md5('5:' || whole || ':' || coalesce(source, '-') || ':' || block), 1, 15) AS BIGINT) AS bk, CAST('0x' || substr(md5('5:' || whole || ':' || doc_id), 1, 15) AS BIGINT) AS dk FROM d WHERE rest > 0),
+        b AS (SELECT source, block, bk, rest, sum(n) AS size FROM c GROUP BY source, block, bk, rest),
+        f AS (SELECT *, rest - coalesce(sum(size) OVER (PARTITION BY source ORDER BY bk, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM b),
+        i AS (SELECT c.*, room, size, sum(n) OVER (PARTITION BY c.source, c.block ORDER BY dk, doc_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM c JOIN f ON f.source IS NOT DISTINCT FROM c.source AND f.block = c.block WHERE room > 0),
+        r AS (SELECT doc_id, source, n, unnest(range(whole)) AS pass, block, weight FROM d UNION ALL SELECT doc_id, source, n, whole, block, weight FROM i WHERE room >= size OR upto <= room)
+        SELECT doc_id, source, n AS n_tokens, pass, block, CAST('0x' || substr(md5('5:' || pass || ':' || coalesce(source, '-') || ':' || block), 1, 15) AS BIGINT) AS block_key,
+               CAST('0x' || substr(md5('5:' || pass || ':' || doc_id), 1, 15) AS BIGINT) AS doc_key, round(weight, 9) AS weight FROM r
+    """,
+    "op9_minhash": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                     ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END AS l FROM w),
+        s AS (SELECT DISTINCT doc_id, hash(x) AS h FROM (SELECT doc_id, unnest(l) AS x FROM g)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        k AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * i >= 80 * (x.n + y.n - i)),
+        e AS (SELECT u, v FROM k UNION ALL SELECT v, u FROM k),
+        r AS (SELECT doc_id AS node, doc_id AS label FROM documents UNION SELECT e.v, r.label FROM r JOIN e ON e.u = r.node)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.label AS component_id, c.label = d.doc_id AS kept
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(label) AS label FROM r GROUP BY node) c ON c.node = d.doc_id
+    """,
 }

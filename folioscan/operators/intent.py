@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import fixed
+from folioscan.functions import lexicon as lexicon_values
 from folioscan.functions.text import col, empty, first_pattern, words
 
 
@@ -76,6 +79,27 @@ def expand(queries: DataFrame, lexicon: DataFrame, id_col: str, text: Column | s
     return split.join(added, "query_id", "left").select("query_id", F.array_join(F.concat("list", more), " ").alias("expanded"))
 
 
+def default_lexicon(spark: SparkSession) -> DataFrame:
+    """The short forms that questions are expanded with, as a dimension table."""
+    return spark.createDataFrame(list(lexicon_values.ABBREVIATIONS.items()), "term string, expansion string")
+
+
+def rewritten(text: Column | str) -> Column:
+    """The lower-case question, its code-mixed phrases in English; word by word `expand` does the rest."""
+    low = F.trim(F.regexp_replace(F.lower(empty(text)), r"\s+", " "))
+    return reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), lexicon_values.MIXED_PHRASES, low)
+
+
+def retrieval_text(queries: DataFrame, lexicon: DataFrame, mixed: DataFrame, id_col: str, text: str) -> DataFrame:
+    """query_id, full: the question expanded by the lexicon, then its rewritten form with the mixed lexicon's words."""
+    first = expand(queries, lexicon, id_col, text)
+    own = queries.select(F.col(id_col).alias("query_id"), F.col(text).alias("text"))
+    plain = F.array_join(F.filter(F.split(F.lower(empty("text")), r"\s+"), lambda w: w != ""), " ")
+    added = expand(own, mixed, "query_id", "text").join(own.select("query_id", plain.alias("plain"), rewritten("text").alias("rewritten")), "query_id")
+    second = added.select("query_id", F.concat("rewritten", F.substr("expanded", F.char_length("plain") + 1)).alias("second"))
+    return first.join(second, "query_id").select("query_id", F.concat_ws(" ", "expanded", "second").alias("full"))
+
+
 def refolded(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """User turns with the question that retrieval should see.
 

@@ -126,6 +126,14 @@ def test_expansion(spark):
     assert {r.query_id: r.expanded for r in I.expand(q, lexicon, "id", "q").collect()} == {1: "wsp, kya wsp? wheel slide protection wheel slide protection", 2: "", 3: ""}
 
 
+def test_retrieval_text(spark):
+    mixed = spark.createDataFrame([("kaise", "how"), ("nahi", "not no failure"), ("hai", "")], "term string, expansion string")
+    q = spark.createDataFrame([(1, "WSP kaise  kare?"), (2, "valve kaam nahi kar raha hai"), (3, None)], "id int, q string")
+    got = {r.query_id: r.full for r in I.retrieval_text(q, I.default_lexicon(spark), mixed, "id", "q").collect()}
+    assert got[1] == "wsp kaise kare? wheel slide protection anti-skid braking wsp how to procedure steps? how"
+    assert got[2] == "valve kaam nahi kar raha hai valve not working failure hai not no failure"
+
+
 def test_metrics_and_drafts(spark):
     cases = spark.createDataFrame([(1, ["a", "b"], False), (2, ["c"], None), (3, [], True), (4, ["z"], False)], "case_id int, expect_doc array<string>, expect_absent boolean")
     found = spark.createDataFrame([(1, 1, "x"), (1, 2, "b"), (1, 3, "a"), (2, 1, "c"), (3, 1, "q")], "case_id int, rank int, doc_id string")

@@ -3,7 +3,7 @@
 A gear rolling hash over the last WINDOW bytes decides before which words a chunk begins, on
 average every WORDS_PER_CHUNK words. What was inserted before a passage doesn't move the cuts
 inside it. Chunks are deduplicated by a 64-bit digest; neighbouring chunks that all occur
-elsewhere form a repeated run.
+elsewhere form a repeated run. Runs too short to be sure of are compared word by word.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +20,9 @@ from folioscan.llm.common import doc_groups, materialize, small_batches, text_bu
 from folioscan.llm.shingles import LOWER, PIECE, SEPARATOR, mix, stream, words
 
 WINDOW, WORDS_PER_CHUNK = 16, 4
-#: Words that a run must surely have; both its ends are known only to a chunk, so a repeated
-#: passage of n words shows as a run of about n - 11.
-LEAST_WORDS = 20
+#: A passage has PASSAGE_WORDS words at least. As both ends of a run are known only to a chunk,
+#: a passage of n words shows as a run of about n - 11: runs of LEAST_WORDS are looked at.
+PASSAGE_WORDS, LEAST_WORDS = 50, 14
 _GEAR = stream(256, 31)
 _STEP = stream(1, 32)[0] | np.uint64(1)
 
@@ -109,21 +110,102 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select("doc_id", "digest", _high("in_words").alias("word"), _low("in_words").alias("words"), _high("in_bytes").alias("byte_start"), _low("in_bytes").alias("byte_end"))
 
 
-def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, byte_start, byte_end, words, fresh_words: the repeated runs of every row.
+def _runs(shared: DataFrame) -> DataFrame:
+    """Longest sequences of neighbouring repeated chunks of each document, with their first chunk's digest."""
+    order = Window.partitionBy("doc_id").orderBy("word", "byte_start")
+    gap = F.coalesce(F.col("word") > F.lag(F.col("word") + F.col("words")).over(order), F.lit(True))
+    rows = shared.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("doc_id", "run").agg(
+        F.min_by("digest", "word").alias("digest"),
+        F.min("byte_start").alias("byte_start"),
+        F.max("byte_end").alias("byte_end"),
+        (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("words"),
+        F.sum(F.when(F.col("fresh"), F.col("words")).otherwise(0)).alias("fresh_words"),
+    )
+
+
+def _window_hasher(length: int):
+    """Windows of `length` words that hold one of a row's spots (first word, words of a chunk)."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            found: list[list] = [[], [], [], [], []]
+            for doc_id, packed, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = np.frombuffer(unpack.decompress(packed), np.uint8)
+                bounds = np.array([0, len(text)])
+                hashed, _ = words(text, bounds)
+                solid = np.concatenate([[False], ~SEPARATOR[text], [False]])
+                edge = np.flatnonzero(solid[1:] != solid[:-1])
+                first, last = edge[::2], edge[1::2]
+                if len(hashed) < length:
+                    continue
+                at = np.unique(np.concatenate([np.arange(max(0, s["word"] + s["words"] - length), min(s["word"], len(hashed) - length) + 1) for s in spots]))
+                if len(at):
+                    with np.errstate(over="ignore"):
+                        step = np.cumprod(np.full(length, _STEP))
+                        total = np.zeros(len(at), np.uint64)
+                        for k in range(length):
+                            total += hashed[at + k] * step[k]
+                    for column, values in zip(found, (np.full(len(at), -1 if doc_id is None else doc_id), at, mix(total).view(np.int64), first[at], last[at + length - 1]), strict=True):
+                        column.append(values)
+            arrays = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in found]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "word", "window", "byte_start", "byte_end"])
+
+    return windows
+
+
+def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(t.as_py().encode()) if t.is_valid else None for t in batch.column(1)], pa.binary())], names=["doc_id", "packed"])
+
+
+def _repeated(rows: DataFrame, key: str, across: bool) -> DataFrame:
+    """key, first_id of what stands in two documents, or else in two places; no id comes before all ids."""
+    own = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    counts = rows.groupBy(key).agg(F.min(own).alias("first_id"), F.max(own).alias("last_id"), F.count(F.lit(1)).alias("n"))
+    return counts.where("first_id < last_id" if across else "n > 1").select(key, "first_id")
+
 
-    A run is a longest sequence of neighbouring chunks that each occur more than once in the
-    corpus, of least_words words or more. fresh_words counts those words in chunks whose
-    first occurrence (smallest doc_id, then place) this is: a run is a later copy through and
-    through if it is 0. Rows that share an id count as one document's occurrences; a null id
-    comes first. Documents without a repeated run give no row.
+def _verified(rows: DataFrame, shared: DataFrame, unsure: DataFrame, length: int, across: bool) -> DataFrame:
+    """Passages of `length` words or more around runs that show fewer, compared word by word.
+
+    Wherever the first chunk of such a run stands, all windows of `length` words that hold
+    it are hashed; windows that stand twice are repeated, and those that overlap are one passage.
     """
-    found = _packed_chunks(docs, id_col, text_col)
-    seen = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first_id")).where("n > 1").select("digest", "first_id")
-    shared = found.join(seen, "digest").select("doc_id", _high("in_words").alias("word"), _low("in_words").alias("words"), _high("in_bytes").alias("byte_start"), _low("in_bytes").alias("byte_end"), (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first_id")).alias("fresh"))
+    spots = shared.join(unsure.select("digest").distinct(), "digest", "left_semi").where("doc_id is not null")
+    by_doc = spots.groupBy("doc_id").agg(F.collect_set(F.struct("word", "words")).alias("spots"))
+    texts = small_batches(rows).mapInArrow(_packer, "doc_id long, packed binary").where("packed is not null")
+    windows = materialize(texts.join(by_doc, "doc_id").select("doc_id", "packed", "spots").mapInArrow(_window_hasher(length), "doc_id long, word long, window long, byte_start long, byte_end long"), "windows")
+    twice = _repeated(windows, "window", across)
+    repeated = windows.join(twice, "window").withColumn("fresh", F.col("doc_id") == F.col("first_id"))
+    order = Window.partitionBy("doc_id").orderBy("word")
+    gap = F.coalesce(F.col("word") > F.lag("word").over(order) + length, F.lit(True))
+    runs = repeated.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    words_ = F.max("word") - F.min("word") + length
+    return runs.groupBy("doc_id", "run").agg(F.min("byte_start").alias("byte_start"), F.max("byte_end").alias("byte_end"), words_.alias("words"), F.when(F.max("fresh"), words_).otherwise(0).alias("fresh_words")).drop("run")
+
+
+def repeated_passages(docs: DataFrame, length: int = PASSAGE_WORDS, least_words: int = LEAST_WORDS, across: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, byte_start, byte_end, words, fresh_words: passages of `length` words or more that stand in other documents too.
+
+    With across=False a second place in the same document counts as well. Runs of
+    neighbouring chunks that each occur in two documents name the places. A run of
+    `length` sure words is a passage as it stands (its ends are known to a chunk); one of
+    least_words or more is compared word by word with its surroundings, and so are all other
+    places of its first chunk. fresh_words counts the words whose first occurrence (smallest
+    doc_id) this document is: a passage with 0 is a later copy through and through.
+    Rows that share an id are one document; rows without id are one too, and are reported
+    only for sure runs, with a null id. Documents without such a passage give no row.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = _packed_chunks(rows, "doc_id", "text")
+    nobody = F.lit(-(1 << 63))
+    shared = found.join(_repeated(found, "digest", across), "digest").select("doc_id", "digest", _high("in_words").alias("word"), _low("in_words").alias("words"), _high("in_bytes").alias("byte_start"), _low("in_bytes").alias("byte_end"), (F.coalesce("doc_id", nobody) == F.col("first_id")).alias("fresh"))
     shared = materialize(shared, "shared-chunks")
-    order = Window.partitionBy("doc_id").orderBy("word", "byte_start")
-    gap = F.coalesce(F.col("word") > F.lag(F.col("word") + F.col("words")).over(order), F.lit(True))
-    runs = shared.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("doc_id", "run").agg(F.min("byte_start").alias("byte_start"), F.max("byte_end").alias("byte_end"), (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("words"), F.sum(F.when(F.col("fresh"), F.col("words")).otherwise(0)).alias("fresh_words"))
-    return runs.where(F.col("words") >= least_words).select("doc_id", "byte_start", "byte_end", F.col("words").cast("long"), F.col("fresh_words").cast("long"))
+    runs = materialize(_runs(shared).where(F.col("words") >= least_words), "runs")
+    sure = runs.where(F.col("words") >= length)
+    more = _verified(rows, shared, runs.where(F.col("words") < length), length, across)
+    names = ("doc_id", "byte_start", "byte_end", F.col("words").cast("long"), F.col("fresh_words").cast("long"))
+    return sure.select(*names).union(more.select(*names))

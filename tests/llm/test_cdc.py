@@ -39,30 +39,55 @@ def test_gear_is_the_rolling_hash():
         assert int(h[i]) == want
 
 
-def test_passages_are_found_and_clean_documents_left(docs):
-    passage = words(55, 50)
-    rows, dirty = [], set()
-    for i in range(60):
+def fifty(rows, length=50):
+    """Documents that share a window of `length` words with another, and the words that such windows cover."""
+    where = {}
+    for d, t in rows:
+        w = (t or "").lower().split()
+        for i in range(len(w) - length + 1):
+            where.setdefault(tuple(w[i : i + length]), []).append((d, i))
+    covered = {}
+    for places in where.values():
+        if len({d for d, _ in places}) > 1:
+            for d, i in places:
+                covered.setdefault(d, set()).update(range(i, i + length))
+    return covered
+
+
+def test_passages_are_found_to_the_word_and_clean_documents_left(docs):
+    rows, passage = [], {n: words(n, 50 + n) for n in (38, 49, 50, 51, 55, 90)}
+    for i in range(90):
         own = words(150, 1000 + i)
-        if i % 4 == 0:
-            own = own[:40] + passage + own[40:]
-            dirty.add(i)
+        if i % 3 == 0:
+            own = own[: i % 70] + passage[list(passage)[i // 3 % 6]] + own[i % 70 :]
         rows.append((i, " ".join(own) + " Licensed under the same short line."))
     whole = " ".join(words(70, 7))
-    rows += [(100, whole), (101, whole.upper()), (102, None), (103, ""), (104, " ".join(words(30_000, 8)))]
-    found = cdc.repeated_passages(docs(rows, digest=1, word=2)).collect()
-    assert {r.doc_id for r in found} == dirty | {100, 101}
+    rows += [(100, whole), (101, whole.upper()), (102, None), (103, ""), (104, " ".join(words(30_000, 8))), (105, " ".join(words(60, 77) * 2))]
+    found = cdc.repeated_passages(docs(rows, digest=1, word=2, run=3)).collect()
+    want = fifty(rows)
+    assert {r.doc_id for r in found} == set(want) and 105 not in want
     text = dict(rows)
     for r in found:
-        part = text[r.doc_id].encode()[r.byte_start : r.byte_end].decode()
-        assert len(part.split()) == r.words >= cdc.LEAST_WORDS
-        if r.doc_id in dirty:
-            assert " ".join(part.split()[:1]) in " ".join(passage) and set(part.split()) <= set(passage)
-    assert {r.doc_id: r.fresh_words for r in found}[100] == 70 and {r.doc_id: r.fresh_words for r in found}[101] == 0
+        part = text[r.doc_id].encode()[r.byte_start : r.byte_end].decode().split()
+        assert len(part) == r.words >= 50
+        size = len(want[r.doc_id])
+        assert r.words <= size and (size >= 62 or r.words == size)
+    fresh = {r.doc_id: r.fresh_words for r in found}
+    assert (fresh[100], fresh[101]) == (70, 0)
+    inside = {r.doc_id for r in cdc.repeated_passages(docs(rows), across=False).collect()}
+    assert inside == set(want) | {105}
+
+
+def test_documents_against_brute_force(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    want = fifty([(r.doc_id, r.text) for r in df.collect()])
+    found = {r.doc_id for r in cdc.repeated_passages(df).collect()}
+    assert set(want) == found & set(want) and len(found - set(want)) <= 0.02 * df.count()
 
 
 def test_edges(docs):
     assert cdc.repeated_passages(docs([])).collect() == []
-    text = " ".join(words(40, 4))
+    text = " ".join(words(80, 4))
     rows = cdc.repeated_passages(docs([(None, text), (3, text), (3, text)])).collect()
-    assert len(rows) >= 2
+    assert sorted(str(r.doc_id) for r in rows) == ["3", "None"]
+    assert cdc.repeated_passages(docs([(3, text), (3, text)])).collect() == []

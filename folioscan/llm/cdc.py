@@ -20,9 +20,7 @@ from folioscan.llm.common import doc_groups, materialize, small_batches, text_bu
 from folioscan.llm.shingles import LOWER, PIECE, SEPARATOR, mix, stream, words
 
 WINDOW, WORDS_PER_CHUNK = 16, 4
-#: A passage has PASSAGE_WORDS words at least. As both ends of a run are known only to a chunk,
-#: a passage of n words shows as a run of about n - 11: runs of LEAST_WORDS are looked at.
-PASSAGE_WORDS, LEAST_WORDS = 50, 14
+PASSAGE_WORDS = 50
 _GEAR = stream(256, 31)
 _STEP = stream(1, 32)[0] | np.uint64(1)
 
@@ -81,11 +79,20 @@ def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in doc_groups(offsets, PIECE):
             row, digest, word, n, start, end = chunks(data, offsets[i : j + 1])
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i).take(pa.array(row)), pa.array(digest), pa.array(word << 32 | n, pa.int64()), pa.array(start << 32 | end, pa.int64())],
-                names=["doc_id", "digest", "in_words", "in_bytes"],
+                [ids.slice(i, j - i).take(pa.array(row)), pa.array(digest), pa.array(word << 32 | n, pa.int64()), pa.array(start << 32 | end, pa.int64()), pa.array(_beside(row, n), pa.int64())],
+                names=["doc_id", "digest", "in_words", "in_bytes", "beside"],
             )
 
 
+def _beside(row: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Words of the chunk before and of the chunk behind in the same row, 0 where there is none."""
+    same = row[1:] == row[:-1]
+    before, behind = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    before[1:][same] = n[:-1][same]
+    behind[:-1][same] = n[1:][same]
+    return before << 32 | behind
+
+
 def _high(c: str) -> Column:
     return F.shiftright(c, 32)
 
@@ -95,9 +102,9 @@ def _low(c: str) -> Column:
 
 
 def _packed_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, digest, in_words (first word and words), in_bytes (start and end): two numbers a column, each below 2**31."""
+    """doc_id, digest, in_words (first word, words), in_bytes (start, end), beside (neighbours' words): two numbers a column, each below 2**31."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
-    return small_batches(rows).mapInArrow(_chunker, "doc_id long, digest long, in_words long, in_bytes long")
+    return small_batches(rows).mapInArrow(_chunker, "doc_id long, digest long, in_words long, in_bytes long, beside long")
 
 
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,102 +117,115 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select("doc_id", "digest", _high("in_words").alias("word"), _low("in_words").alias("words"), _high("in_bytes").alias("byte_start"), _low("in_bytes").alias("byte_end"))
 
 
-def _runs(shared: DataFrame) -> DataFrame:
-    """Longest sequences of neighbouring repeated chunks of each document, with their first chunk's digest."""
-    order = Window.partitionBy("doc_id").orderBy("word", "byte_start")
-    gap = F.coalesce(F.col("word") > F.lag(F.col("word") + F.col("words")).over(order), F.lit(True))
-    rows = shared.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("doc_id", "run").agg(
-        F.min_by("digest", "word").alias("digest"),
-        F.min("byte_start").alias("byte_start"),
-        F.max("byte_end").alias("byte_end"),
-        (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("words"),
-        F.sum(F.when(F.col("fresh"), F.col("words")).otherwise(0)).alias("fresh_words"),
-    )
+def _repeated(rows: DataFrame, key: str, across: bool, **more: Column) -> DataFrame:
+    """key, first_id of what stands in two documents, or else in two places; no id comes before all ids."""
+    own = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    last = F.max(own) if across else F.count(F.lit(1))
+    counts = rows.groupBy(key).agg(F.min(own).alias("first_id"), last.alias("last"), *(c.alias(n) for n, c in more.items()))
+    return counts.where("first_id < last" if across else "last > 1").select(key, "first_id", *more)
 
 
 def _window_hasher(length: int):
-    """Windows of `length` words that hold one of a row's spots (first word, words of a chunk)."""
+    """Windows of `length` words whose first word lies in one of a row's ranges (low, high, own)."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            found: list[list] = [[], [], [], [], []]
-            for doc_id, packed, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found: list[list] = [[], [], [], [], [], []]
+            for doc_id, packed, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = np.frombuffer(unpack.decompress(packed), np.uint8)
-                bounds = np.array([0, len(text)])
-                hashed, _ = words(text, bounds)
+                hashed, _ = words(text, np.array([0, len(text)]))
                 solid = np.concatenate([[False], ~SEPARATOR[text], [False]])
                 edge = np.flatnonzero(solid[1:] != solid[:-1])
-                first, last = edge[::2], edge[1::2]
-                if len(hashed) < length:
+                starts = lambda own: [np.arange(max(0, r["low"]), min(r["high"], len(hashed) - length) + 1) for r in ranges if r["own"] or not own]  # noqa: B023, E731
+                at = np.unique(np.concatenate([np.zeros(0, np.int64), *starts(False)]))
+                if not len(at):
                     continue
-                at = np.unique(np.concatenate([np.arange(max(0, s["word"] + s["words"] - length), min(s["word"], len(hashed) - length) + 1) for s in spots]))
-                if len(at):
-                    with np.errstate(over="ignore"):
-                        step = np.cumprod(np.full(length, _STEP))
-                        total = np.zeros(len(at), np.uint64)
-                        for k in range(length):
-                            total += hashed[at + k] * step[k]
-                    for column, values in zip(found, (np.full(len(at), -1 if doc_id is None else doc_id), at, mix(total).view(np.int64), first[at], last[at + length - 1]), strict=True):
-                        column.append(values)
-            arrays = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in found]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "word", "window", "byte_start", "byte_end"])
+                own = np.isin(at, np.concatenate([np.zeros(0, np.int64), *starts(True)]))
+                total, step = np.zeros(len(at), np.uint64), np.uint64(1)
+                with np.errstate(over="ignore"):
+                    for k in range(length):
+                        step = step * _STEP
+                        total += hashed[at + k] * step
+                for column, values in zip(found, (np.full(len(at), doc_id), at, mix(total).view(np.int64), edge[::2][at], edge[1::2][at + length - 1], own), strict=True):
+                    column.append(values)
+            arrays = [pa.array(np.concatenate(c) if c else [], pa.int64() if k < 5 else pa.bool_()) for k, c in enumerate(found)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "word", "window", "byte_start", "byte_end", "own"])
 
     return windows
 
 
 def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=6)
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(t.as_py().encode()) if t.is_valid else None for t in batch.column(1)], pa.binary())], names=["doc_id", "packed"])
 
 
-def _repeated(rows: DataFrame, key: str, across: bool) -> DataFrame:
-    """key, first_id of what stands in two documents, or else in two places; no id comes before all ids."""
-    own = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    counts = rows.groupBy(key).agg(F.min(own).alias("first_id"), F.max(own).alias("last_id"), F.count(F.lit(1)).alias("n"))
-    return counts.where("first_id < last_id" if across else "n > 1").select(key, "first_id")
-
+def _verified(rows: DataFrame, placed: DataFrame, runs: DataFrame, length: int, across: bool) -> DataFrame:
+    """Passages of `length` words or more around runs that are shorter, compared word by word.
 
-def _verified(rows: DataFrame, shared: DataFrame, unsure: DataFrame, length: int, across: bool) -> DataFrame:
-    """Passages of `length` words or more around runs that show fewer, compared word by word.
-
-    Wherever the first chunk of such a run stands, all windows of `length` words that hold
-    it are hashed; windows that stand twice are repeated, and those that overlap are one passage.
+    A run can't grow beyond its neighbouring chunks, which don't occur elsewhere, and the
+    WINDOW bytes (WINDOW / 2 words at most) that decide where the first of them begins:
+    windows of `length` words inside these bounds are hashed. They may also stand inside a
+    sure run elsewhere. Every window that may be repeated holds the middle of the bounds, so
+    the longest chunk there (all of the run's, if none lies there) is an anchor, and sure
+    runs give the windows around the anchors' places.
     """
-    spots = shared.join(unsure.select("digest").distinct(), "digest", "left_semi").where("doc_id is not null")
-    by_doc = spots.groupBy("doc_id").agg(F.collect_set(F.struct("word", "words")).alias("spots"))
+    unsure = runs.where((F.col("words") < length) & F.col("doc_id").isNotNull())
+    inside = (F.col("word") >= F.col("high") - length) & (F.col("word") + F.col("words") <= F.col("low") + length)
+    own = placed.join(unsure.select("doc_id", "run", "low", "high"), ["doc_id", "run"]).withColumn("inside", inside)
+    middle = own.where("inside").groupBy("doc_id", "run").agg(F.max_by("digest", F.struct("words", "digest")).alias("middle"))
+    anchors = own.join(middle, ["doc_id", "run"], "left").where("middle is null or middle = digest").select("digest").distinct()
+    sure = runs.where((F.col("words") >= length) & F.col("doc_id").isNotNull()).select("doc_id", "run")
+    spots = placed.join(anchors, "digest", "left_semi").join(sure, ["doc_id", "run"], "left_semi")
+    spots = spots.select("doc_id", F.struct((F.col("word") + F.col("words") - length).alias("low"), F.col("word").alias("high"), F.lit(False).alias("own")).alias("r"))
+    ranges = unsure.select("doc_id", F.struct("low", (F.col("high") - length).alias("high"), F.lit(True).alias("own")).alias("r")).union(spots)
+    by_doc = ranges.groupBy("doc_id").agg(F.collect_set("r").alias("ranges"))
     texts = small_batches(rows).mapInArrow(_packer, "doc_id long, packed binary").where("packed is not null")
-    windows = materialize(texts.join(by_doc, "doc_id").select("doc_id", "packed", "spots").mapInArrow(_window_hasher(length), "doc_id long, word long, window long, byte_start long, byte_end long"), "windows")
-    twice = _repeated(windows, "window", across)
-    repeated = windows.join(twice, "window").withColumn("fresh", F.col("doc_id") == F.col("first_id"))
+    hashed = texts.join(by_doc, "doc_id").select("doc_id", "packed", "ranges").mapInArrow(_window_hasher(length), "doc_id long, word long, window long, byte_start long, byte_end long, own boolean")
+    windows = materialize(hashed, "windows")
+    twice = _repeated(windows, "window", across, own_too=F.max("own")).where("own_too").drop("own_too")
+    repeated = windows.where("own").join(twice, "window").withColumn("fresh", F.col("doc_id") == F.col("first_id"))
     order = Window.partitionBy("doc_id").orderBy("word")
     gap = F.coalesce(F.col("word") > F.lag("word").over(order) + length, F.lit(True))
-    runs = repeated.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    words_ = F.max("word") - F.min("word") + length
-    return runs.groupBy("doc_id", "run").agg(F.min("byte_start").alias("byte_start"), F.max("byte_end").alias("byte_end"), words_.alias("words"), F.when(F.max("fresh"), words_).otherwise(0).alias("fresh_words")).drop("run")
+    joined = repeated.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    size = F.max("word") - F.min("word") + length
+    return joined.groupBy("doc_id", "run").agg(F.min("byte_start").alias("byte_start"), F.max("byte_end").alias("byte_end"), size.alias("words"), F.when(F.max("fresh"), size).otherwise(0).alias("fresh_words")).drop("run")
 
 
-def repeated_passages(docs: DataFrame, length: int = PASSAGE_WORDS, least_words: int = LEAST_WORDS, across: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = PASSAGE_WORDS, across: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, byte_start, byte_end, words, fresh_words: passages of `length` words or more that stand in other documents too.
 
     With across=False a second place in the same document counts as well. Runs of
-    neighbouring chunks that each occur in two documents name the places. A run of
-    `length` sure words is a passage as it stands (its ends are known to a chunk); one of
-    least_words or more is compared word by word with its surroundings, and so are all other
-    places of its first chunk. fresh_words counts the words whose first occurrence (smallest
-    doc_id) this document is: a passage with 0 is a later copy through and through.
-    Rows that share an id are one document; rows without id are one too, and are reported
-    only for sure runs, with a null id. Documents without such a passage give no row.
+    neighbouring chunks that each occur in two documents name the places. A run of `length`
+    words is a passage as it stands (its ends are known to a chunk); a shorter one that could
+    grow to that length within its neighbouring chunks is compared word by word.
+    fresh_words counts the words whose first occurrence (smallest doc_id) this document is: a
+    passage with 0 is a later copy through and through. Rows that share an id are one
+    document; rows without id are one too, and are reported only for runs that are long
+    enough as they stand, with a null id. Null, empty and blank texts have no passages;
+    documents without one give no row; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = _packed_chunks(rows, "doc_id", "text")
-    nobody = F.lit(-(1 << 63))
-    shared = found.join(_repeated(found, "digest", across), "digest").select("doc_id", "digest", _high("in_words").alias("word"), _low("in_words").alias("words"), _high("in_bytes").alias("byte_start"), _low("in_bytes").alias("byte_end"), (F.coalesce("doc_id", nobody) == F.col("first_id")).alias("fresh"))
-    shared = materialize(shared, "shared-chunks")
-    runs = materialize(_runs(shared).where(F.col("words") >= least_words), "runs")
-    sure = runs.where(F.col("words") >= length)
-    more = _verified(rows, shared, runs.where(F.col("words") < length), length, across)
+    shared = found.join(_repeated(found, "digest", across), "digest").select(
+        "doc_id", "digest", _high("in_words").alias("word"), _low("in_words").alias("words"), _high("in_bytes").alias("byte_start"), _low("in_bytes").alias("byte_end"),
+        _high("beside").alias("before"), _low("beside").alias("behind"), (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first_id")).alias("fresh"),
+    )
+    order = Window.partitionBy("doc_id").orderBy("word", "byte_start")
+    gap = F.coalesce(F.col("word") > F.lag(F.col("word") + F.col("words")).over(order), F.lit(True))
+    placed = shared.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("gap")
+    placed = materialize(placed, "chunks")
+    first, end = F.min("word"), F.max(F.col("word") + F.col("words"))
+    runs = placed.groupBy("doc_id", "run").agg(
+        (end - first).alias("words"),
+        F.min("byte_start").alias("byte_start"),
+        F.max("byte_end").alias("byte_end"),
+        F.sum(F.when(F.col("fresh"), F.col("words")).otherwise(0)).alias("fresh_words"),
+        F.greatest(first - F.min_by("before", "word") - WINDOW // 2, F.lit(0)).alias("low"),
+        (end + F.max_by("behind", "word")).alias("high"),
+    )
+    runs = materialize(runs.where(F.col("high") - F.col("low") >= length), "runs")
+    more = _verified(rows, placed, runs, length, across)
     names = ("doc_id", "byte_start", "byte_end", F.col("words").cast("long"), F.col("fresh_words").cast("long"))
-    return sure.select(*names).union(more.select(*names))
+    return runs.where(F.col("words") >= length).select(*names).union(more.select(*names))

@@ -161,6 +161,17 @@ def _scan(shared):
     return scan
 
 
+def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, least_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The distinct items that are long enough, folded, in one or more blocks of about block_chars characters."""
+    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_chars))
+    for k in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        folded = {(r["item_id"], fold(r["text"])) for r in rows}
+        yield sorted(((i, t) for i, t in folded if len(t) >= least_chars), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, match_start, match_end: one row per document and item it holds.
 
@@ -174,17 +185,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1,
     The items go to the executors in blocks of at most about block_chars characters, one
     pass over docs per block, so what is broadcast doesn't grow with the benchmark.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct()
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_chars))
+    broadcast = docs.sparkSession.sparkContext.broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = []
-    for k in range(blocks):
-        block = [(r[0], fold(r[1])) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        block = sorted({(i, t) for i, t in block if len(t) >= least_chars}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        found.append(small_batches(rows).mapInArrow(_scan(spark.sparkContext.broadcast((block, rate))), SCHEMA))
-    return reduce(DataFrame.unionByName, found)
+    blocks = _item_blocks(benchmark, item_col, item_text_col, least_chars, block_chars)
+    return reduce(DataFrame.unionByName, [small_batches(rows).mapInArrow(_scan(broadcast((block, rate))), SCHEMA) for block in blocks])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_chars: int = 24, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -192,14 +196,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1,
 
     The decision is taken where a row is read: texts aren't shuffled.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_chars))
     column = docs.columns.index("text")
-    for k in range(blocks):
-        block = [(r[0], fold(r[1])) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        shared = spark.sparkContext.broadcast(([x for x in block if len(x[1]) >= least_chars], rate))
+    for block in _item_blocks(benchmark, "item_id", "text", least_chars, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast((block, rate))
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(*shared.value)

@@ -24,3 +24,14 @@ def test_random_graphs_paths_and_stars(spark):
 
 def test_empty(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_scratch_can_be_cleared(spark):
+    from folioscan.llm.common import clear_scratch, materialize
+
+    held = materialize(spark.range(3), "held")
+    path = held.inputFiles()[0]
+    clear_scratch(spark)
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))

@@ -21,6 +21,8 @@ from folioscan.llm.shingles import LOWER, PIECE, SEPARATOR, mix, stream, words
 
 WINDOW, WORDS_PER_CHUNK = 16, 4
 PASSAGE_WORDS = 50
+SPOT, OWN, SURE = range(3)
+PLACES = ["doc_id", "word", "words", "window", "byte_start", "byte_end", "kind", "fresh_words"]
 _GEAR = stream(256, 31)
 _STEP = stream(1, 32)[0] | np.uint64(1)
 
@@ -126,31 +128,37 @@ def _repeated(rows: DataFrame, key: str, across: bool, **more: Column) -> DataFr
 
 
 def _window_hasher(length: int):
-    """Windows of `length` words whose first word lies in one of a row's ranges (low, high, own)."""
+    """Places of a row's ranges (low, high, kind, fresh_words).
+
+    Of a SURE range of words: itself. Of an OWN or a SPOT range: every window of `length`
+    words whose first word lies in it, once, as OWN if any own range has it.
+    """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            found: list[list] = [[], [], [], [], [], []]
+            found: list[list] = [[] for _ in PLACES]
             for doc_id, packed, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = np.frombuffer(unpack.decompress(packed), np.uint8)
-                hashed, _ = words(text, np.array([0, len(text)]))
                 solid = np.concatenate([[False], ~SEPARATOR[text], [False]])
                 edge = np.flatnonzero(solid[1:] != solid[:-1])
-                starts = lambda own: [np.arange(max(0, r["low"]), min(r["high"], len(hashed) - length) + 1) for r in ranges if r["own"] or not own]  # noqa: B023, E731
-                at = np.unique(np.concatenate([np.zeros(0, np.int64), *starts(False)]))
+                first, end = edge[::2], edge[1::2]
+                add = lambda kind, at, size, window, fresh: [c.append(v) for c, v in zip(found, (np.full(len(at), doc_id), at, np.full(len(at), size), window, first[at], end[at + size - 1], np.broadcast_to(kind, at.shape), np.full(len(at), fresh)), strict=True)]  # noqa: B023, E731
+                for r in ranges:
+                    if r["kind"] == SURE and r["high"] <= len(first):
+                        add(SURE, np.array([r["low"]]), r["high"] - r["low"], np.zeros(1, np.int64), r["fresh_words"])
+                starts = lambda *kinds: np.concatenate([np.zeros(0, np.int64), *(np.arange(max(0, r["low"]), min(r["high"], len(first) - length) + 1) for r in ranges if r["kind"] in kinds)])  # noqa: B023, E731
+                at = np.unique(starts(OWN, SPOT))
                 if not len(at):
                     continue
-                own = np.isin(at, np.concatenate([np.zeros(0, np.int64), *starts(True)]))
+                hashed, _ = words(text, np.array([0, len(text)]))
                 total, step = np.zeros(len(at), np.uint64), np.uint64(1)
                 with np.errstate(over="ignore"):
                     for k in range(length):
                         step = step * _STEP
                         total += hashed[at + k] * step
-                for column, values in zip(found, (np.full(len(at), doc_id), at, mix(total).view(np.int64), edge[::2][at], edge[1::2][at + length - 1], own), strict=True):
-                    column.append(values)
-            arrays = [pa.array(np.concatenate(c) if c else [], pa.int64() if k < 5 else pa.bool_()) for k, c in enumerate(found)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "word", "window", "byte_start", "byte_end", "own"])
+                add(np.where(np.isin(at, starts(OWN)), OWN, SPOT), at, length, mix(total).view(np.int64), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in found], names=PLACES)
 
     return windows
 
@@ -161,31 +169,37 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(t.as_py().encode()) if t.is_valid else None for t in batch.column(1)], pa.binary())], names=["doc_id", "packed"])
 
 
-def _verified(rows: DataFrame, placed: DataFrame, runs: DataFrame, length: int, across: bool) -> DataFrame:
-    """Passages of `length` words or more around runs that are shorter, compared word by word.
+def _ranges(placed: DataFrame, length: int) -> DataFrame:
+    """doc_id, ranges: what to look at in each document's text.
 
     A run can't grow beyond its neighbouring chunks, which don't occur elsewhere, and the
-    WINDOW bytes (WINDOW / 2 words at most) that decide where the first of them begins:
-    windows of `length` words inside these bounds are hashed. They may also stand inside a
-    sure run elsewhere. Every window that may be repeated holds the middle of the bounds, so
-    the longest chunk there (all of the run's, if none lies there) is an anchor, and sure
-    runs give the windows around the anchors' places.
+    WINDOW bytes (WINDOW / 2 words at most) that decide where the first of them begins: of a
+    run shorter than `length`, the windows inside these bounds are looked at. They may also
+    stand inside a sure run elsewhere. Every window that may be repeated holds the middle of
+    the bounds, so the longest chunk there (all of the run's, if none lies there) is an
+    anchor, and sure runs give the windows around the anchors' places.
     """
-    unsure = runs.where((F.col("words") < length) & F.col("doc_id").isNotNull())
+    struct = lambda low, high, kind, fresh=F.lit(0): F.struct(low.alias("low"), high.alias("high"), F.lit(kind).alias("kind"), fresh.cast("long").alias("fresh_words")).alias("r")
+    unsure = placed.where(F.col("size") < length)
     inside = (F.col("word") >= F.col("high") - length) & (F.col("word") + F.col("words") <= F.col("low") + length)
-    own = placed.join(unsure.select("doc_id", "run", "low", "high"), ["doc_id", "run"]).withColumn("inside", inside)
-    middle = own.where("inside").groupBy("doc_id", "run").agg(F.max_by("digest", F.struct("words", "digest")).alias("middle"))
-    anchors = own.join(middle, ["doc_id", "run"], "left").where("middle is null or middle = digest").select("digest").distinct()
-    sure = runs.where((F.col("words") >= length) & F.col("doc_id").isNotNull()).select("doc_id", "run")
-    spots = placed.join(anchors, "digest", "left_semi").join(sure, ["doc_id", "run"], "left_semi")
-    spots = spots.select("doc_id", F.struct((F.col("word") + F.col("words") - length).alias("low"), F.col("word").alias("high"), F.lit(False).alias("own")).alias("r"))
-    ranges = unsure.select("doc_id", F.struct("low", (F.col("high") - length).alias("high"), F.lit(True).alias("own")).alias("r")).union(spots)
-    by_doc = ranges.groupBy("doc_id").agg(F.collect_set("r").alias("ranges"))
-    texts = small_batches(rows).mapInArrow(_packer, "doc_id long, packed binary").where("packed is not null")
-    hashed = texts.join(by_doc, "doc_id").select("doc_id", "packed", "ranges").mapInArrow(_window_hasher(length), "doc_id long, word long, window long, byte_start long, byte_end long, own boolean")
-    windows = materialize(hashed, "windows")
-    twice = _repeated(windows, "window", across, own_too=F.max("own")).where("own_too").drop("own_too")
-    repeated = windows.where("own").join(twice, "window").withColumn("fresh", F.col("doc_id") == F.col("first_id"))
+    bounds = unsure.groupBy("doc_id", "run", "low", "high").agg(F.max_by(F.when(inside, F.col("digest")), F.struct(inside.alias("i"), "words", "digest")).alias("middle"), F.max(inside).alias("inside"), F.collect_set("digest").alias("all"))
+    anchors = bounds.select(F.explode(F.when(F.col("inside"), F.array("middle")).otherwise(F.col("all"))).alias("digest")).distinct()
+    long = placed.where(F.col("size") >= length)
+    spots = long.select("doc_id", "digest", "word", "words").join(anchors, "digest", "left_semi")
+    fresh = F.sum(F.when(F.col("fresh"), F.col("words")).otherwise(0))
+    sure = long.groupBy("doc_id", "run").agg(F.min("word").alias("first"), F.first("size").alias("size"), fresh.alias("fresh_words"))
+    rows = (
+        bounds.select("doc_id", struct(F.col("low"), F.col("high") - length, OWN))
+        .union(spots.select("doc_id", struct(F.col("word") + F.col("words") - length, F.col("word"), SPOT)))
+        .union(sure.select("doc_id", struct(F.col("first"), F.col("first") + F.col("size"), SURE, F.col("fresh_words"))))
+    )
+    return rows.groupBy("doc_id").agg(F.collect_set("r").alias("ranges"))
+
+
+def _joined(windows: DataFrame, length: int, across: bool) -> DataFrame:
+    """Repeated windows that lie in short runs, as passages; neighbouring ones are one."""
+    twice = _repeated(windows, "window", across, own=F.max("kind")).where(F.col("own") == OWN).drop("own")
+    repeated = windows.where(F.col("kind") == OWN).drop("fresh_words").join(twice, "window").withColumn("fresh", F.col("doc_id") == F.col("first_id"))
     order = Window.partitionBy("doc_id").orderBy("word")
     gap = F.coalesce(F.col("word") > F.lag("word").over(order) + length, F.lit(True))
     joined = repeated.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -202,30 +216,28 @@ def repeated_passages(docs: DataFrame, length: int = PASSAGE_WORDS, across: bool
     grow to that length within its neighbouring chunks is compared word by word.
     fresh_words counts the words whose first occurrence (smallest doc_id) this document is: a
     passage with 0 is a later copy through and through. Rows that share an id are one
-    document; rows without id are one too, and are reported only for runs that are long
-    enough as they stand, with a null id. Null, empty and blank texts have no passages;
-    documents without one give no row; other columns are ignored.
+    document, reported for each row; rows without id take part in the counts and aren't
+    reported. Null, empty and blank texts have no passages; documents without one give no
+    row; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = _packed_chunks(rows, "doc_id", "text")
-    shared = found.join(_repeated(found, "digest", across), "digest").select(
-        "doc_id", "digest", _high("in_words").alias("word"), _low("in_words").alias("words"), _high("in_bytes").alias("byte_start"), _low("in_bytes").alias("byte_end"),
-        _high("beside").alias("before"), _low("beside").alias("behind"), (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first_id")).alias("fresh"),
-    )
-    order = Window.partitionBy("doc_id").orderBy("word", "byte_start")
-    gap = F.coalesce(F.col("word") > F.lag(F.col("word") + F.col("words")).over(order), F.lit(True))
-    placed = shared.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("gap")
-    placed = materialize(placed, "chunks")
-    first, end = F.min("word"), F.max(F.col("word") + F.col("words"))
-    runs = placed.groupBy("doc_id", "run").agg(
-        (end - first).alias("words"),
-        F.min("byte_start").alias("byte_start"),
-        F.max("byte_end").alias("byte_end"),
-        F.sum(F.when(F.col("fresh"), F.col("words")).otherwise(0)).alias("fresh_words"),
-        F.greatest(first - F.min_by("before", "word") - WINDOW // 2, F.lit(0)).alias("low"),
-        (end + F.max_by("behind", "word")).alias("high"),
-    )
-    runs = materialize(runs.where(F.col("high") - F.col("low") >= length), "runs")
-    more = _verified(rows, placed, runs, length, across)
+    found = _packed_chunks(rows, "doc_id", "text").drop("in_bytes")
+    fresh = (F.col("doc_id") == F.col("first_id")).alias("fresh")
+    shared = found.where("doc_id is not null").join(_repeated(found, "digest", across), "digest").select("doc_id", "digest", "in_words", "beside", fresh)
+    # Only runs that are long enough, or could be, are written.
+    order = Window.partitionBy("doc_id").orderBy("in_words")
+    gap = F.coalesce(_high("in_words") > F.lag(_high("in_words") + _low("in_words")).over(order), F.lit(True))
+    placed = shared.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = placed.select("doc_id", "run", "digest", _high("in_words").alias("word"), _low("in_words").alias("words"), "beside", "fresh")
+    run = Window.partitionBy("doc_id", "run")
+    ordered = run.orderBy("word").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first, end = F.min("word").over(run), F.max(F.col("word") + F.col("words")).over(run)
+    before, behind = F.first(_high("beside")).over(ordered), F.last(_low("beside")).over(ordered)
+    placed = placed.withColumn("size", end - first).withColumn("low", F.greatest(first - before - WINDOW // 2, F.lit(0))).withColumn("high", end + behind)
+    placed = materialize(placed.where(F.col("high") - F.col("low") >= length).drop("beside"), "chunks")
+
+    texts = small_batches(rows).mapInArrow(_packer, "doc_id long, packed binary").where("packed is not null")
+    looked = texts.join(_ranges(placed, length), "doc_id").select("doc_id", "packed", "ranges")
+    places = materialize(looked.mapInArrow(_window_hasher(length), ", ".join(f"{c} long" for c in PLACES)), "places")
     names = ("doc_id", "byte_start", "byte_end", F.col("words").cast("long"), F.col("fresh_words").cast("long"))
-    return runs.where(F.col("words") >= length).select(*names).union(more.select(*names))
+    return places.where(F.col("kind") == SURE).select(*names).union(_joined(places.where(F.col("kind") < SURE), length, across).select(*names))

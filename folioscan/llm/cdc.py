@@ -143,11 +143,19 @@ def _window_hasher(length: int):
                 solid = np.concatenate([[False], ~SEPARATOR[text], [False]])
                 edge = np.flatnonzero(solid[1:] != solid[:-1])
                 first, end = edge[::2], edge[1::2]
-                add = lambda kind, at, size, window, fresh: [c.append(v) for c, v in zip(found, (np.full(len(at), doc_id), at, np.full(len(at), size), window, first[at], end[at + size - 1], np.broadcast_to(kind, at.shape), np.full(len(at), fresh)), strict=True)]  # noqa: B023, E731
+
+                def add(kind, at, size, window, fresh, doc_id=doc_id, first=first, end=end, found=found):
+                    n = len(at)
+                    values = (np.full(n, doc_id), at, np.full(n, size), window, first[at], end[at + size - 1], np.broadcast_to(kind, n), np.full(n, fresh))
+                    for column, v in zip(found, values, strict=True):
+                        column.append(v)
+
+                def starts(*kinds, ranges=ranges, last=len(first) - length):
+                    return np.concatenate([np.zeros(0, np.int64), *(np.arange(max(0, r["low"]), min(r["high"], last) + 1) for r in ranges if r["kind"] in kinds)])
+
                 for r in ranges:
                     if r["kind"] == SURE and r["high"] <= len(first):
                         add(SURE, np.array([r["low"]]), r["high"] - r["low"], np.zeros(1, np.int64), r["fresh_words"])
-                starts = lambda *kinds: np.concatenate([np.zeros(0, np.int64), *(np.arange(max(0, r["low"]), min(r["high"], len(first) - length) + 1) for r in ranges if r["kind"] in kinds)])  # noqa: B023, E731
                 at = np.unique(starts(OWN, SPOT))
                 if not len(at):
                     continue

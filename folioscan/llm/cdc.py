@@ -1,13 +1,18 @@
-"""Substring dedup by content-defined chunking (operator 7).
+"""Substring dedup by content-defined places (operator 7).
 
-A gear rolling hash over the last WINDOW bytes decides before which words a chunk begins, on
-average every WORDS_PER_CHUNK words. What was inserted before a passage doesn't move the cuts
-inside it. Chunks are deduplicated by a 64-bit digest; neighbouring chunks that all occur
-elsewhere form a repeated run. Runs too short to be sure of are compared word by word.
+Marks: in every passage of PASSAGE_WORDS words the words' grams (half as long) with the least
+hash are chosen, so that equal passages hold an equal mark at the same place, whatever
+surrounds them. Marks that occur twice name the places to look at. There every passage is
+hashed by itself; only where a whole stretch of a passage or more is known to stand in an
+earlier document this is spared.
+
+Chunks: a gear rolling hash over the last WINDOW bytes decides before which words a chunk
+begins, on average every WORDS_PER_CHUNK words.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import doc_groups, materialize, small_batches, text_buffers
-from folioscan.llm.shingles import LOWER, PIECE, SEPARATOR, mix, stream, words
+from folioscan.llm.shingles import LOWER, PIECE, SEPARATOR, mix, power_sums, stream, words
 
 WINDOW, WORDS_PER_CHUNK = 16, 4
 PASSAGE_WORDS = 50
-SPOT, OWN, SURE = range(3)
-PLACES = ["doc_id", "word", "words", "window", "byte_start", "byte_end", "kind", "fresh_words"]
+OPEN, SHARED, LATER = range(3)
+PLACES = "row long, doc_id long, word int, words int, window long, byte_start int, byte_end int, kind int"
+NO_ID = -(1 << 63)
 _GEAR = stream(256, 31)
 _STEP = stream(1, 32)[0] | np.uint64(1)
 
@@ -80,93 +86,135 @@ def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0)
         for i, j in doc_groups(offsets, PIECE):
             row, digest, word, n, start, end = chunks(data, offsets[i : j + 1])
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i).take(pa.array(row)), pa.array(digest), pa.array(word << 32 | n, pa.int64()), pa.array(start << 32 | end, pa.int64()), pa.array(_beside(row, n), pa.int64())],
-                names=["doc_id", "digest", "in_words", "in_bytes", "beside"],
-            )
+            columns = (digest, word, n, start, end)
+            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(row)), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "digest", "word", "words", "byte_start", "byte_end"])
 
 
-def _beside(row: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Words of the chunk before and of the chunk behind in the same row, 0 where there is none."""
-    same = row[1:] == row[:-1]
-    before, behind = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-    before[1:][same] = n[:-1][same]
-    behind[:-1][same] = n[1:][same]
-    return before << 32 | behind
+def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, digest, word (place of its first), words, byte_start, byte_end of every chunk of every row.
 
+    Digests are over words in A-Z-insensitive form, white space aside. Null, empty and blank
+    texts have no chunks. Offsets are UTF-8 bytes, end exclusive.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
+    return small_batches(rows).mapInArrow(_chunker, "doc_id long, digest long, word long, words long, byte_start long, byte_end long")
 
-def _high(c: str) -> Column:
-    return F.shiftright(c, 32)
 
+def _sliding(best: np.ufunc, x: np.ndarray, size: int) -> np.ndarray:
+    """best of x[i : i + size] at each i that has so many."""
+    span = 1
+    while 2 * span <= size:
+        x = best(x[:-span], x[span:])
+        span *= 2
+    return best(x[: len(x) - (size - span)], x[size - span :]) if size > span else x
 
-def _low(c: str) -> Column:
-    return F.col(c).bitwiseAND(0xFFFFFFFF)
 
+def marks(hashed: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(row, gram, chain, first word, words of the chain) of the marks of the rows' words.
 
-def _packed_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, digest, in_words (first word, words), in_bytes (start, end), beside (neighbours' words): two numbers a column, each below 2**31."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
-    return small_batches(rows).mapInArrow(_chunker, "doc_id long, digest long, in_words long, in_bytes long, beside long")
+    A gram has length - length // 2 words, so that `length` words in a row hold length // 2 + 1
+    grams; those with the least hash among them are marks. A chain goes from a mark over
+    the next ones to the first that makes it `length` words or longer; 0 words: there is none.
+    """
+    size = length - length // 2
+    many = length // 2 + 1
+    n = len(hashed) - length + 1
+    if n < 1:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
+    span = power_sums(hashed)
+    every = np.arange(len(hashed) - size + 1)
+    gram = span(every, size)
+    whole = row[length - 1 :] == row[:n]
+    least = np.where(whole, _sliding(np.minimum, gram, many), np.uint64(0))
+    none = np.zeros(many - 1, np.uint64)
+    most = _sliding(np.maximum, np.concatenate([none, least, none]), many)
+    inside = np.concatenate([np.zeros(many - 1, bool), whole, np.zeros(many - 1, bool)])
+    held = _sliding(np.logical_or, inside, many)
+    at = np.flatnonzero(held & (gram == most))
+    if not len(at):
+        return marks(hashed[:0], row[:0], length)
+    to = np.searchsorted(at, at + (length - size))
+    last = at[np.minimum(to, len(at) - 1)]
+    linked = (to < len(at)) & (row[last] == row[at])
+    words_ = np.where(linked, last + size - at, 0)
+    chain = np.where(linked, span(at, words_), mix(gram[at]))
+    first = np.searchsorted(row, row[at])
+    return row[at], gram[at], chain, at - first, words_
+
+
+def _marker(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            ids = batch.column(0)
+            for i, j in doc_groups(offsets, PIECE):
+                row, gram, chain, word, n = marks(*words(data, offsets[i : j + 1]), length)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(i, j - i).take(pa.array(row)), pa.array(gram.view(np.int64)), pa.array(chain.view(np.int64)), pa.array(word << 32 | n, pa.int64())],
+                    names=["doc_id", "gram", "chain", "place"],
+                )
 
+    return run
 
-def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest, word (place of its first), words, byte_start, byte_end of every chunk of every row.
 
-    Digests are over words in A-Z-insensitive form, white space aside. Null, empty and blank
-    texts have no chunks. Offsets are UTF-8 bytes, end exclusive.
-    """
-    found = _packed_chunks(docs, id_col, text_col)
-    return found.select("doc_id", "digest", _high("in_words").alias("word"), _low("in_words").alias("words"), _high("in_bytes").alias("byte_start"), _low("in_bytes").alias("byte_end"))
+def _repeated(rows: DataFrame, key: str, across: bool, **more: Column) -> DataFrame:
+    """key, first_id, twice (it stands in two documents, or else in two places), more."""
+    last = F.max("doc_id") if across else F.count(F.lit(1))
+    counts = rows.groupBy(key).agg(F.min("doc_id").alias("first_id"), last.alias("last"), *(c.alias(n) for n, c in more.items()))
+    return counts.select(key, "first_id", F.expr("first_id < last" if across else "last > 1").alias("twice"), *more)
 
 
-def _repeated(rows: DataFrame, key: str, across: bool, **more: Column) -> DataFrame:
-    """key, first_id of what stands in two documents, or else in two places; no id comes before all ids."""
-    own = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    last = F.max(own) if across else F.count(F.lit(1))
-    counts = rows.groupBy(key).agg(F.min(own).alias("first_id"), last.alias("last"), *(c.alias(n) for n, c in more.items()))
-    return counts.where("first_id < last" if across else "last > 1").select(key, "first_id", *more)
+def _covered(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which of n places lie in any of the ranges, high exclusive."""
+    low, high = np.clip(low, 0, n), np.clip(high, 0, n)
+    some = low < high
+    turns = np.bincount(low[some], minlength=n + 1) - np.bincount(high[some], minlength=n + 1)
+    return np.cumsum(turns[:n]) > 0
 
 
 def _window_hasher(length: int):
-    """Places of a row's ranges (low, high, kind, fresh_words).
+    """The windows of `length` words of a text that may be repeated, by the marks in them.
 
-    Of a SURE range of words: itself. Of an OWN or a SPOT range: every window of `length`
-    words whose first word lies in it, once, as OWN if any own range has it.
+    A row for each: OPEN if nothing else is known of it, SHARED if it is known to stand in two
+    places. Windows known to stand in an earlier document are one LATER row for each run of
+    them. `row` tells texts apart, whatever their ids.
     """
+    size = length - length // 2
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            found: list[list] = [[] for _ in PLACES]
-            for doc_id, packed, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found: list[list] = [[] for _ in PLACES.split(",")]
+            for doc_id, packed, ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = np.frombuffer(unpack.decompress(packed), np.uint8)
+                hashed, _ = words(text, np.array([0, len(text)]))
+                n = len(hashed) - length + 1
+                if n < 1:
+                    continue
                 solid = np.concatenate([[False], ~SEPARATOR[text], [False]])
                 edge = np.flatnonzero(solid[1:] != solid[:-1])
-                first, end = edge[::2], edge[1::2]
-
-                def add(kind, at, size, window, fresh, doc_id=doc_id, first=first, end=end, found=found):
-                    n = len(at)
-                    values = (np.full(n, doc_id), at, np.full(n, size), window, first[at], end[at + size - 1], np.broadcast_to(kind, n), np.full(n, fresh))
-                    for column, v in zip(found, values, strict=True):
-                        column.append(v)
-
-                def starts(*kinds, ranges=ranges, last=len(first) - length):
-                    return np.concatenate([np.zeros(0, np.int64), *(np.arange(max(0, r["low"]), min(r["high"], last) + 1) for r in ranges if r["kind"] in kinds)])
-
-                for r in ranges:
-                    if r["kind"] == SURE and r["high"] <= len(first):
-                        add(SURE, np.array([r["low"]]), r["high"] - r["low"], np.zeros(1, np.int64), r["fresh_words"])
-                at = np.unique(starts(OWN, SPOT))
-                if not len(at):
-                    continue
-                hashed, _ = words(text, np.array([0, len(text)]))
-                total, step = np.zeros(len(at), np.uint64), np.uint64(1)
-                with np.errstate(over="ignore"):
-                    for k in range(length):
-                        step = step * _STEP
-                        total += hashed[at + k] * step
-                add(np.where(np.isin(at, starts(OWN)), OWN, SPOT), at, length, mix(total).view(np.int64), 0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in found], names=PLACES)
+                start, end = edge[::2], edge[1::2]
+                place, chain, link = (ranges.values.field(k).to_numpy() for k in ("place", "chain", "link"))
+                word, m = place >> 32, place & 0xFFFFFFFF
+                span = power_sums(hashed)
+                # Rows that share an id share their ranges: a chain counts only where it stands.
+                fits = (m > 0) & (word + m <= len(hashed))
+                fits[fits] = span(word[fits], m[fits]).view(np.int64) == chain[fits]
+                known = [_covered(n, word[k], (word + m)[k] - length + 1) for k in (fits & (link == kind) for kind in (SHARED, LATER))]
+                open_ = _covered(n, word + size - length, word + 1) & ~known[1]
+                at = np.flatnonzero(open_)
+                turn = np.flatnonzero(np.diff(np.concatenate([[False], known[1], [False]]).astype(np.int8)))
+                low, high = turn[::2], turn[1::2] - 1
+                first, stop = np.concatenate([at, low]), np.concatenate([at, high]) + length
+                window = np.concatenate([span(at, length).view(np.int64), np.zeros(len(low), np.int64)])
+                kind = np.concatenate([np.where(known[0][at], SHARED, OPEN), np.full(len(low), LATER)])
+                key = int.from_bytes(os.urandom(8), "little", signed=True)
+                values = (np.full(len(first), key), np.full(len(first), doc_id), first, stop - first, window, start[first], end[stop - 1], kind)
+                for column, v in zip(found, values, strict=True):
+                    column.append(v)
+            schema = [pair.split() for pair in PLACES.split(", ")]
+            kinds = {"long": pa.int64(), "int": pa.int32()}
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64) if c else [], pa.int64()).cast(kinds[t]) for c, (_, t) in zip(found, schema, strict=True)], names=[name for name, _ in schema])
 
     return windows
 
@@ -177,75 +225,55 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(t.as_py().encode()) if t.is_valid else None for t in batch.column(1)], pa.binary())], names=["doc_id", "packed"])
 
 
-def _ranges(placed: DataFrame, length: int) -> DataFrame:
-    """doc_id, ranges: what to look at in each document's text.
+def _ranges(found: DataFrame, across: bool) -> DataFrame:
+    """doc_id, ranges (place, chain, link) of the marks that stand in two places: what to look at in each document's text.
+
+    link tells what is known of the mark's chain: LATER if an earlier document has it, SHARED if
+    only later places do, else OPEN.
+    """
+    shared = materialize(found.join(_repeated(found, "gram", across).where("twice").select("gram"), "gram").select("doc_id", "chain", "place"), "marks")
+    chains = _repeated(shared, "chain", across).where("twice").select("chain", "first_id")
+    link = F.when(F.col("first_id") < F.col("doc_id"), LATER).when(F.col("first_id") == F.col("doc_id"), SHARED).otherwise(OPEN)
+    linked = shared.join(chains, "chain", "left").select("doc_id", F.struct("place", "chain", link.alias("link")).alias("r"))
+    return linked.groupBy("doc_id").agg(F.collect_list("r").alias("ranges"))
+
+
+def _joined(places: DataFrame, across: bool) -> DataFrame:
+    """Repeated windows and stretches as passages; neighbouring ones are one.
 
-    A run can't grow beyond its neighbouring chunks, which don't occur elsewhere, and the
-    WINDOW bytes (WINDOW / 2 words at most) that decide where the first of them begins: of a
-    run shorter than `length`, the windows inside these bounds are looked at. They may also
-    stand inside a sure run elsewhere. Every window that may be repeated holds the middle of
-    the bounds, so the longest chunk there (all of the run's, if none lies there) is an
-    anchor, and sure runs give the windows around the anchors' places.
+    The first document that has a window never has it as LATER. So the smallest id among the
+    other rows is the first of all, and a window of a document is repeated if another
+    has a row for it, or if this one knows it as SHARED.
     """
-    struct = lambda low, high, kind, fresh=F.lit(0): F.struct(low.alias("low"), high.alias("high"), F.lit(kind).alias("kind"), fresh.cast("long").alias("fresh_words")).alias("r")
-    unsure = placed.where(F.col("size") < length)
-    inside = (F.col("word") >= F.col("high") - length) & (F.col("word") + F.col("words") <= F.col("low") + length)
-    bounds = unsure.groupBy("doc_id", "run", "low", "high").agg(F.max_by(F.when(inside, F.col("digest")), F.struct(inside.alias("i"), "words", "digest")).alias("middle"), F.max(inside).alias("inside"), F.collect_set("digest").alias("all"))
-    anchors = bounds.select(F.explode(F.when(F.col("inside"), F.array("middle")).otherwise(F.col("all"))).alias("digest")).distinct()
-    long = placed.where(F.col("size") >= length)
-    spots = long.select("doc_id", "digest", "word", "words").join(anchors, "digest", "left_semi")
-    fresh = F.sum(F.when(F.col("fresh"), F.col("words")).otherwise(0))
-    sure = long.groupBy("doc_id", "run").agg(F.min("word").alias("first"), F.first("size").alias("size"), fresh.alias("fresh_words"))
-    rows = (
-        bounds.select("doc_id", struct(F.col("low"), F.col("high") - length, OWN))
-        .union(spots.select("doc_id", struct(F.col("word") + F.col("words") - length, F.col("word"), SPOT)))
-        .union(sure.select("doc_id", struct(F.col("first"), F.col("first") + F.col("size"), SURE, F.col("fresh_words"))))
-    )
-    return rows.groupBy("doc_id").agg(F.collect_set("r").alias("ranges"))
-
-
-def _joined(windows: DataFrame, length: int, across: bool) -> DataFrame:
-    """Repeated windows that lie in short runs, as passages; neighbouring ones are one."""
-    twice = _repeated(windows, "window", across, own=F.max("kind")).where(F.col("own") == OWN).drop("own")
-    repeated = windows.where(F.col("kind") == OWN).drop("fresh_words").join(twice, "window").withColumn("fresh", F.col("doc_id") == F.col("first_id"))
-    order = Window.partitionBy("doc_id").orderBy("word")
-    gap = F.coalesce(F.col("word") > F.lag("word").over(order) + length, F.lit(True))
-    joined = repeated.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    size = F.max("word") - F.min("word") + length
-    return joined.groupBy("doc_id", "run").agg(F.min("byte_start").alias("byte_start"), F.max("byte_end").alias("byte_end"), size.alias("words"), F.when(F.max("fresh"), size).otherwise(0).alias("fresh_words")).drop("run")
+    windows = places.where(F.col("kind") < LATER)
+    counts = _repeated(windows, "window", across, shared=F.max("kind")).where(F.col("twice") | (F.col("shared") == SHARED)).drop("shared")
+    columns = ("row", "doc_id", "word", "words", "byte_start", "byte_end")
+    repeated = windows.join(counts, "window").where(F.col("twice") | (F.col("kind") == SHARED)).select(*columns, (F.col("doc_id") > F.col("first_id")).alias("later"))
+    rows = repeated.union(places.where(F.col("kind") == LATER).select(*columns, F.lit(True))).where(F.col("doc_id") != NO_ID)
+    order = Window.partitionBy("row").orderBy("word", "words")
+    past, end = order.rowsBetween(Window.unboundedPreceding, -1), F.col("word") + F.col("words")
+    rows = rows.withColumn("gap", F.coalesce(F.col("word") > F.max(end).over(past), F.lit(True)).cast("int"))
+    upto = F.coalesce(F.max(F.when(F.col("later"), end)).over(past), F.lit(0))
+    rows = rows.withColumn("stale", F.when(F.col("later"), F.greatest(end - F.greatest("word", upto), F.lit(0))).otherwise(0))
+    rows = rows.withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    size = (F.max(end) - F.min("word")).cast("long")
+    passages = rows.groupBy("row", "run").agg(F.first("doc_id").alias("doc_id"), F.min("byte_start").alias("byte_start"), F.max("byte_end").alias("byte_end"), size.alias("words"), (size - F.sum("stale")).alias("fresh_words"))
+    return passages.select("doc_id", F.col("byte_start").cast("long"), F.col("byte_end").cast("long"), "words", "fresh_words")
 
 
 def repeated_passages(docs: DataFrame, length: int = PASSAGE_WORDS, across: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, byte_start, byte_end, words, fresh_words: passages of `length` words or more that stand in other documents too.
 
-    With across=False a second place in the same document counts as well. Runs of
-    neighbouring chunks that each occur in two documents name the places. A run of `length`
-    words is a passage as it stands (its ends are known to a chunk); a shorter one that could
-    grow to that length within its neighbouring chunks is compared word by word.
-    fresh_words counts the words whose first occurrence (smallest doc_id) this document is: a
-    passage with 0 is a later copy through and through. Rows that share an id are one
-    document, reported for each row; rows without id take part in the counts and aren't
-    reported. Null, empty and blank texts have no passages; documents without one give no
-    row; other columns are ignored.
+    With across=False a second place in the same document counts as well. A passage is what
+    windows of `length` words cover that each stand, as a whole, in two documents.
+    fresh_words counts the passage's words outside all windows that stand in a document of a
+    smaller doc_id too: a passage with 0 is a later copy through and through. Rows that share an
+    id are one document, reported for each row; rows without id take part in the counts, before
+    all others, and aren't reported. Null, empty and blank texts have no passages; documents
+    without one give no row; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = _packed_chunks(rows, "doc_id", "text").drop("in_bytes")
-    fresh = (F.col("doc_id") == F.col("first_id")).alias("fresh")
-    shared = found.where("doc_id is not null").join(_repeated(found, "digest", across), "digest").select("doc_id", "digest", "in_words", "beside", fresh)
-    # Only runs that are long enough, or could be, are written.
-    order = Window.partitionBy("doc_id").orderBy("in_words")
-    gap = F.coalesce(_high("in_words") > F.lag(_high("in_words") + _low("in_words")).over(order), F.lit(True))
-    placed = shared.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.select("doc_id", "run", "digest", _high("in_words").alias("word"), _low("in_words").alias("words"), "beside", "fresh")
-    run = Window.partitionBy("doc_id", "run")
-    ordered = run.orderBy("word").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first, end = F.min("word").over(run), F.max(F.col("word") + F.col("words")).over(run)
-    before, behind = F.first(_high("beside")).over(ordered), F.last(_low("beside")).over(ordered)
-    placed = placed.withColumn("size", end - first).withColumn("low", F.greatest(first - before - WINDOW // 2, F.lit(0))).withColumn("high", end + behind)
-    placed = materialize(placed.where(F.col("high") - F.col("low") >= length).drop("beside"), "chunks")
-
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = small_batches(rows).mapInArrow(_marker(length), "doc_id long, gram long, chain long, place long")
     texts = small_batches(rows).mapInArrow(_packer, "doc_id long, packed binary").where("packed is not null")
-    looked = texts.join(_ranges(placed, length), "doc_id").select("doc_id", "packed", "ranges")
-    places = materialize(looked.mapInArrow(_window_hasher(length), ", ".join(f"{c} long" for c in PLACES)), "places")
-    names = ("doc_id", "byte_start", "byte_end", F.col("words").cast("long"), F.col("fresh_words").cast("long"))
-    return places.where(F.col("kind") == SURE).select(*names).union(_joined(places.where(F.col("kind") < SURE), length, across).select(*names))
+    looked = texts.join(_ranges(found, across), "doc_id").select("doc_id", "packed", "ranges")
+    return _joined(materialize(looked.mapInArrow(_window_hasher(length), PLACES), "places"), across)

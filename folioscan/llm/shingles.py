@@ -94,6 +94,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(hashes), np.searchsorted(offsets, start, "right") - 1
 
 
+def power_sums(hashed: np.ndarray):
+    """A function of (first, n): the hash of n words from the word `first` on, for arrays of both."""
+    power, inverse = _power_tables(len(hashed))
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, _U), np.cumsum(hashed * power[: len(hashed)], dtype=_U)])
+
+    def span(first: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((total[first + n] - total[first]) * inverse[first] + np.asarray(n).astype(_U) * _U(0x9E3779B97F4A7C15))
+
+    return span
+
+
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """Of each row in order: the sorted distinct hashes of its word shingles.
 

@@ -91,3 +91,33 @@ def test_edges(docs):
     rows = cdc.repeated_passages(docs([(None, text), (3, text), (3, text)])).collect()
     assert sorted(str(r.doc_id) for r in rows) == ["3", "3"]
     assert cdc.repeated_passages(docs([(3, text), (3, text)])).collect() == []
+
+
+def as_words(rows, found):
+    """Words of each document that its passages hold."""
+    text, held = dict(rows), {}
+    for r in found:
+        data = text[r.doc_id].encode()
+        first = len(data[: r.byte_start].split())
+        assert len(data[r.byte_start : r.byte_end].split()) == r.words
+        held.setdefault(r.doc_id, set()).update(range(first, first + r.words))
+    return held
+
+
+def test_frequent_phrases_alone_are_no_passages(docs):
+    import random
+
+    r, phrases = random.Random(5), [" ".join(words(7, 300 + i)) for i in range(200)]
+    rows = [(i, " ".join(r.choices(phrases, k=30))) for i in range(1500)]
+    shared = " ".join(words(60, 999))
+    rows += [(2000 + i, " ".join([*r.choices(phrases, k=12), shared, *r.choices(phrases, k=12)])) for i in range(3)]
+    want = fifty(rows)
+    assert as_words(rows, cdc.repeated_passages(docs(rows)).collect()) == want and set(want) == {2000, 2001, 2002}
+
+
+def test_fresh_words_are_those_of_no_earlier_document(docs):
+    a, b = words(120, 61), words(200, 62)
+    rows = [(1, " ".join(b[60:130])), (2, " ".join(a)), (3, " ".join(words(9, 1) + a + b)), (4, " ".join(b)), (5, " ".join(b[:140] + a))]
+    found = cdc.repeated_passages(docs(rows)).collect()
+    assert as_words(rows, found) == fifty(rows)
+    assert sorted((r.doc_id, r.words, r.fresh_words) for r in found) == [(1, 70, 70), (2, 120, 120), (3, 320, 130), (4, 200, 0), (5, 260, 0)]

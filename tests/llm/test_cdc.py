@@ -121,3 +121,16 @@ def test_fresh_words_are_those_of_no_earlier_document(docs):
     found = cdc.repeated_passages(docs(rows)).collect()
     assert as_words(rows, found) == fifty(rows)
     assert sorted((r.doc_id, r.words, r.fresh_words) for r in found) == [(1, 70, 70), (2, 120, 120), (3, 320, 130), (4, 200, 0), (5, 260, 0)]
+
+
+def test_periodic_passages_are_found(docs):
+    rows = []
+    for period in (1, 1, 1, 2, 2, 3, 5, 5, 7, 11, 24, 25, 40):
+        for repeated in (50, 53, 80):
+            unit, n = words(period, 400 + len(rows)), len(rows)
+            for k in range(2):
+                inner = (unit * 80)[:repeated]
+                rows.append((n + k, " ".join([*words(20 + 7 * k, 5000 + n + k), *inner, *words(30, 6000 + n + k)])))
+    want = fifty(rows)
+    assert set(want) == {d for d, _ in rows}
+    assert as_words(rows, cdc.repeated_passages(docs(rows)).collect()) == want

@@ -103,9 +103,10 @@ def first_pattern(text: Column | str, patterns: dict[str, str], lower: bool = Tr
 def spoken(text: Column | str, limit: int = 800) -> Column:
     """Markdown reduced to what is read aloud: the direct answer, without marks, at most `limit` characters."""
     text = empty(text)
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     direct = F.regexp_extract(text, r"(?s)\*\*Direct Answer:\*\*\s*(.*?)(?:\*\*Step|$)", 1)
-    chosen = F.when(text.contains("**Direct Answer:**"), F.trim(direct)).otherwise(text)
-    steps = F.trim(F.regexp_extract(text, r"(?s)\*\*Step-by-step Action:\*\*\s*(.*?)(?:\*\*Safety|\*\*Reference|---|\n📚|$)", 1))
+    chosen = F.when(text.contains("**Direct Answer:**"), bare(direct)).otherwise(text)
+    steps = bare(F.regexp_extract(text, r"(?s)\*\*Step-by-step Action:\*\*\s*(.*?)(?:\*\*Safety|\*\*Reference|---|\n📚|$)", 1))
     chosen = F.when((F.length(chosen) < 50) & text.contains("**Step-by-step Action:**"), F.concat(chosen, F.lit(". "), steps)).otherwise(chosen)
     passes = (
         (r"\*\*([^*]+)\*\*", "$1"), (r"#{1,3}\s*", ""), (r"\[Source.*?\]", ""), (r"(?s)---.*$", ""), (r"(?s)📚.*$", ""),

@@ -28,9 +28,9 @@ def html_lines(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     return rows.withColumn("heading", F.col("text").startswith("\x01")).withColumn("text", F.trim(F.translate("text", "\x01", "")))
 
 
-def reading_order(words: DataFrame, page: str, x: str, y: str) -> DataFrame:
-    """words with `place`: by height to one decimal, then from the left."""
-    return words.withColumn("place", F.row_number().over(Window.partitionBy(page).orderBy(F.round(y, 1), x)))
+def reading_order(words: DataFrame, page: str, x: str, y: str, tie: str) -> DataFrame:
+    """words with `place`: by height to one decimal, then from the left, at one spot by `tie`."""
+    return words.withColumn("place", F.row_number().over(Window.partitionBy(page).orderBy(F.round(y, 1), x, tie)))
 
 
 def body_size(runs: DataFrame, doc: str, size: str, chars: str) -> DataFrame:

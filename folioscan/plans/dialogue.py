@@ -66,15 +66,28 @@ def intent_signals(t: Tables) -> DataFrame:
     return I.signals(rows, "id", "text").select("query_id.conv_id", "query_id.turn", "procedural", "k")
 
 
+def _detected(part: DataFrame) -> DataFrame:
+    """Detectors over a question generated for each part."""
+    k = F.col("p_partkey")
+    pick = lambda n, *words: F.element_at(F.array(*map(F.lit, words)), (k % n + 1).cast("int"))
+    text = F.concat_ws(" ", pick(3, "Smoke alarm", "dump valve test", "door"), pick(4, "on LHB", "in vande  bharat", "now", "again"), pick(5, "by Knorr", "x", "y", "z", "w"), pick(2, "how many circulars", "how many bolts"))
+    rows = part.withColumn("q", text)
+    return rows.select("p_partkey", I.asked_system("q").alias("system"), I.asked_coach("q").alias("coach"), I.asked_maker("q").alias("maker"), I.asked_doc_type("q").alias("doc_type"), I.is_corpus_count("q").alias("counting"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'FSDS' WHEN p_partkey % 3 = 1 THEN 'WSP' END AS system, CASE p_partkey % 4 WHEN 0 THEN 'LHB' WHEN 1 THEN 'Vande Bharat' END AS coach,
     CASE p_partkey % 5 WHEN 0 THEN 'KNORR BREMSE' END AS maker, CASE p_partkey % 2 WHEN 0 THEN 'circular' END AS doc_type, p_partkey % 2 = 0 AS counting FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 3 = 1""")
 def detectors(t: Tables) -> DataFrame:
     """System, coach, maker and document kind that generated questions name."""
     k = F.col("p_partkey")
-    pick = lambda n, *words: F.element_at(F.array(*map(F.lit, words)), (k % n + 1).cast("int"))
-    text = F.concat_ws(" ", pick(3, "Smoke alarm", "dump valve test", "door"), pick(4, "on LHB", "in vande  bharat", "now", "again"), pick(5, "by Knorr", "x", "y", "z", "w"), pick(2, "how many circulars", "how many bolts"))
-    rows = t.part.where((k % 5 != 0) | (k % 3 == 1)).withColumn("q", text)
-    return rows.select("p_partkey", I.asked_system("q").alias("system"), I.asked_coach("q").alias("coach"), I.asked_maker("q").alias("maker"), I.asked_doc_type("q").alias("doc_type"), I.is_corpus_count("q").alias("counting"))
+    return _detected(t.part.where((k % 5 != 0) | (k % 3 == 1)))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 5 <> 0 THEN 'FSDS' WHEN p_partkey % 3 = 1 OR p_partkey % 3 = 2 AND p_partkey % 5 = 0 THEN 'WSP' END AS system, CASE p_partkey % 4 WHEN 0 THEN 'LHB' WHEN 1 THEN 'Vande Bharat' END AS coach,
+    CASE p_partkey % 5 WHEN 0 THEN 'KNORR BREMSE' END AS maker, CASE p_partkey % 2 WHEN 0 THEN 'circular' END AS doc_type, p_partkey % 2 = 0 AS counting FROM part""")
+def detectors_all(t: Tables) -> DataFrame:
+    """The same of all questions: Knorr is a sign of wheel slide too, and with one of fire there is no system."""
+    return _detected(t.part)
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'LHB brakes' WHEN p_partkey % 4 = 1 THEN 'brakes' WHEN p_partkey % 4 = 2 THEN 'brakes of ICF' ELSE 'brakes' END AS scoped FROM part""")
@@ -127,6 +140,13 @@ def spoken(t: Tables) -> DataFrame:
     return rows.select("conv_id", "turn", X.spoken("text").alias("spoken"))
 
 
+@query()
+def spoken_all(t: Tables) -> DataFrame:
+    """All turns as they are read aloud, every second one as the direct answer of a reply with steps and sources."""
+    reply = F.concat(F.lit("**Direct Answer:** Use `M8` bolts.\n**Step-by-step Action:**\n1. Lift\n- "), "text", F.lit("\n---\n[Source 1]"))
+    return t.conversations.select("conv_id", "turn", X.spoken(F.when(F.col("turn") % 2 == 1, reply).otherwise(F.col("text"))).alias("spoken"))
+
+
 def _answers(t: Tables) -> DataFrame:
     """Each assistant turn with made-up claims, and the turn before it as its context."""
     own = Window.partitionBy("conv_id").orderBy("turn")

@@ -34,7 +34,13 @@ def reading_order(t: Tables) -> DataFrame:
     """Words of pages without two at one spot, in reading order."""
     boxes = _boxes(t)
     double = boxes.groupBy("page", "x0", "y0").count().where("count > 1").select("page").distinct()
-    return L.reading_order(boxes.join(double, "page", "left_anti"), "page", "x0", "y0").select("page", "n", "place")
+    return L.reading_order(boxes.join(double, "page", "left_anti"), "page", "x0", "y0", "n").select("page", "n", "place")
+
+
+@query("SELECT l_orderkey AS page, l_linenumber AS n, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY round(l_tax * 100, 1), l_quantity, l_linenumber) AS INTEGER) AS place FROM lineitem")
+def reading_order_all(t: Tables) -> DataFrame:
+    """Words of all pages in reading order; those at one spot by their numbers."""
+    return L.reading_order(_boxes(t), "page", "x0", "y0", "n").select("page", "n", "place")
 
 
 @query("""WITH s AS (SELECT l_suppkey AS doc, round(l_quantity * 2) / 2 AS s, sum(l_linenumber) AS n FROM lineitem GROUP BY 1, 2) SELECT doc, arg_max(s, (n, s)) AS body_size FROM s GROUP BY doc""")

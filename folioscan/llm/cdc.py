@@ -1,13 +1,13 @@
-"""Substring dedup by content-defined places (operator 7).
+"""Substring dedup by content-defined chunking with a gear rolling hash (operator 7).
 
-Marks: in every passage of PASSAGE_WORDS words the words' grams (half as long) with the least
-hash are chosen, so that equal passages hold an equal mark at the same place, whatever
-surrounds them. Marks that occur twice name the places to look at. There every passage is
-hashed by itself; only where a whole stretch of a passage or more is known to stand in an
-earlier document this is spared.
+Cuts: a gear hash rolls over the words. In every passage of `length` words the places where it
+is least (all of equal ones) are cuts, so that equal passages are cut at the same places,
+whatever was inserted before them; periodic text is cut like any other.
 
-Chunks: a gear rolling hash over the last WINDOW bytes decides before which words a chunk
-begins, on average every WORDS_PER_CHUNK words.
+Chunks run from cut to cut, so their lengths vary, and are deduplicated by digest. Chunks
+shorter than a passage only name the places to look at: around cuts whose rolling hash occurs
+twice every passage is hashed by itself and compared as a whole. This is spared where a chunk
+of a passage's length or more is known by its digest to stand in an earlier document.
 """
 
 from __future__ import annotations
@@ -22,62 +22,74 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import doc_groups, materialize, small_batches, text_buffers
-from folioscan.llm.shingles import LOWER, PIECE, SEPARATOR, mix, power_sums, stream, words
+from folioscan.llm.shingles import PIECE, SEPARATOR, mix, power_sums, stream, words
 
-WINDOW, WORDS_PER_CHUNK = 16, 4
 PASSAGE_WORDS = 50
 OPEN, SHARED, LATER = range(3)
 PLACES = "row long, doc_id long, word int, words int, window long, byte_start int, byte_end int, kind int"
 NO_ID = -(1 << 63)
-_GEAR = stream(256, 31)
-_STEP = stream(1, 32)[0] | np.uint64(1)
+_GEAR = stream(1, 31)[0]
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """At each byte the gear hash of the WINDOW bytes up to it: sum of table[byte] << distance, 64 bits."""
-    h = _GEAR[data]
-    span = 1
+def gear(hashed: np.ndarray, size: int) -> np.ndarray:
+    """At each word the gear hash of at most `size` words up to it: h = (h << shift) + table[word].
+
+    The shift moves a word out of the 64 bits before `size` further ones came. The table of
+    a word is its mixed hash.
+    """
+    shift = -(-64 // size)
     with np.errstate(over="ignore"):
-        while span < WINDOW:
-            h[span:] = h[span:] + (h[:-span] << np.uint64(4 * span))
+        h = mix(hashed + _GEAR)
+        span = 1
+        while span * shift < 64:
+            h[span:] = h[span:] + (h[:-span] << np.uint64(span * shift))
             span *= 2
     return h
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def cuts(hashed: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, rolling hash) of the windows before whose first word a row is cut.
+
+    A window has length - length // 2 words, so that `length` words in a row hold
+    length // 2 + 1 of them; those with the least hash among them count.
+    """
+    size, many = length - length // 2, length // 2 + 1
+    n = len(hashed) - length + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    rolling = gear(hashed, size)[size - 1 :]
+    whole = row[length - 1 :] == row[:n]
+    least = np.where(whole, _sliding(np.minimum, rolling, many), np.uint64(0))
+    none = np.zeros(many - 1, np.uint64)
+    most = _sliding(np.maximum, np.concatenate([none, least, none]), many)
+    inside = np.concatenate([np.zeros(many - 1, bool), whole, np.zeros(many - 1, bool)])
+    at = np.flatnonzero(_sliding(np.logical_or, inside, many) & (rolling == most))
+    return at, rolling[at]
+
+
+def chunks(data: np.ndarray, offsets: np.ndarray, length: int = PASSAGE_WORDS) -> tuple[np.ndarray, ...]:
     """(row, digest, first word, words, start, end) of every chunk of the rows; bytes from the row's start."""
     low, high = int(offsets[0]), int(offsets[-1])
     hashed, row = words(data, offsets)
     n = len(hashed)
     if not n:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
-    text = data[low:high]
-    solid = ~SEPARATOR[text]
-    first = solid.copy()
+    solid = ~SEPARATOR[data[low:high]]
+    first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
-    inner = offsets[1:-1] - low
-    inner = inner[inner < len(text)]
-    first[inner] = solid[inner]
-    last = solid.copy()
     last[:-1] &= ~solid[1:]
-    ends = offsets[1:] - low - 1
-    ends = ends[ends >= 0]
-    last[ends] = solid[ends]
+    inner = offsets[1:-1] - low
+    inner = inner[(inner > 0) & (inner < len(solid))]
+    first[inner], last[inner - 1] = solid[inner], solid[inner - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    rolling = gear(LOWER[text])
-    fresh = np.ones(n, bool)  # the first word of a row always begins a chunk
+    fresh = np.ones(n, bool)
     fresh[1:] = row[1:] != row[:-1]
-    before = np.maximum(start - 1, 0)  # the byte before the word closes the window
-    own = start - (offsets[:-1][row] - low) >= WINDOW  # a window never reaches into the row before
-    fresh |= own & (mix(rolling[before]) % np.uint64(WORDS_PER_CHUNK) == 0)
+    fresh[cuts(hashed, row, length)[0]] = True
     at = np.flatnonzero(fresh)
     stop = np.append(at[1:], n)
-    with np.errstate(over="ignore"):
-        order = (np.arange(n) - np.repeat(at, stop - at)).astype(np.uint64)
-        digest = mix(np.add.reduceat(mix(hashed + (order + np.uint64(1)) * _STEP), at) + (stop - at).astype(np.uint64))
+    digest = power_sums(hashed)(at, stop - at)
     base = offsets[:-1][row[at]] - low
-    word0 = np.searchsorted(row, row[at])
-    return row[at], digest.view(np.int64), at - word0, stop - at, start[at] - base, end[stop - 1] - base
+    return row[at], digest.view(np.int64), at - np.searchsorted(row, row[at]), stop - at, start[at] - base, end[stop - 1] - base
 
 
 def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,36 +122,22 @@ def _sliding(best: np.ufunc, x: np.ndarray, size: int) -> np.ndarray:
 
 
 def marks(hashed: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, gram, chain, first word, words of the chain) of the marks of the rows' words.
+    """(row, rolling hash, digest, first word, words of the chunk) of the cuts of the rows' words.
 
-    A gram has length - length // 2 words, so that `length` words in a row hold length // 2 + 1
-    grams; those with the least hash among them are marks. A chain goes from a mark over
-    the next ones to the first that makes it `length` words or longer; 0 words: there is none.
+    The chunk goes from the cut over the next ones to the end of the first window that makes it
+    `length` words or longer; 0 words: there is none.
     """
     size = length - length // 2
-    many = length // 2 + 1
-    n = len(hashed) - length + 1
-    if n < 1:
+    at, rolling = cuts(hashed, row, length)
+    if not len(at):
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
     span = power_sums(hashed)
-    every = np.arange(len(hashed) - size + 1)
-    gram = span(every, size)
-    whole = row[length - 1 :] == row[:n]
-    least = np.where(whole, _sliding(np.minimum, gram, many), np.uint64(0))
-    none = np.zeros(many - 1, np.uint64)
-    most = _sliding(np.maximum, np.concatenate([none, least, none]), many)
-    inside = np.concatenate([np.zeros(many - 1, bool), whole, np.zeros(many - 1, bool)])
-    held = _sliding(np.logical_or, inside, many)
-    at = np.flatnonzero(held & (gram == most))
-    if not len(at):
-        return marks(hashed[:0], row[:0], length)
     to = np.searchsorted(at, at + (length - size))
     last = at[np.minimum(to, len(at) - 1)]
     linked = (to < len(at)) & (row[last] == row[at])
     words_ = np.where(linked, last + size - at, 0)
-    chain = np.where(linked, span(at, words_), mix(gram[at]))
-    first = np.searchsorted(row, row[at])
-    return row[at], gram[at], chain, at - first, words_
+    digest = np.where(linked, span(at, words_), mix(rolling))
+    return row[at], rolling, digest, at - np.searchsorted(row, row[at]), words_
 
 
 def _marker(length: int):
@@ -148,17 +146,17 @@ def _marker(length: int):
             data, offsets = text_buffers(batch.column(1))
             ids = batch.column(0)
             for i, j in doc_groups(offsets, PIECE):
-                row, gram, chain, word, n = marks(*words(data, offsets[i : j + 1]), length)
+                row, rolling, digest, word, n = marks(*words(data, offsets[i : j + 1]), length)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i).take(pa.array(row)), pa.array(gram.view(np.int64)), pa.array(chain.view(np.int64)), pa.array(word << 32 | n, pa.int64())],
-                    names=["doc_id", "gram", "chain", "place"],
+                    [ids.slice(i, j - i).take(pa.array(row)), pa.array(rolling.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(word << 32 | n, pa.int64())],
+                    names=["doc_id", "rolling", "digest", "place"],
                 )
 
     return run
 
 
 def _repeated(rows: DataFrame, key: str, across: bool, **more: Column) -> DataFrame:
-    """key, first_id, twice (it stands in two documents, or else in two places), more."""
+    """key, first_id, twice (it stands in two documents, or else in two places), more. Counted per task before it moves."""
     last = F.max("doc_id") if across else F.count(F.lit(1))
     counts = rows.groupBy(key).agg(F.min("doc_id").alias("first_id"), last.alias("last"), *(c.alias(n) for n, c in more.items()))
     return counts.select(key, "first_id", F.expr("first_id < last" if across else "last > 1").alias("twice"), *more)
@@ -173,7 +171,7 @@ def _covered(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _window_hasher(length: int):
-    """The windows of `length` words of a text that may be repeated, by the marks in them.
+    """The windows of `length` words of a text that may be repeated, by the cuts in them.
 
     A row for each: OPEN if nothing else is known of it, SHARED if it is known to stand in two
     places. Windows known to stand in an earlier document are one LATER row for each run of
@@ -194,12 +192,12 @@ def _window_hasher(length: int):
                 solid = np.concatenate([[False], ~SEPARATOR[text], [False]])
                 edge = np.flatnonzero(solid[1:] != solid[:-1])
                 start, end = edge[::2], edge[1::2]
-                place, chain, link = (ranges.values.field(k).to_numpy() for k in ("place", "chain", "link"))
+                place, digest, link = (ranges.values.field(k).to_numpy() for k in ("place", "digest", "link"))
                 word, m = place >> 32, place & 0xFFFFFFFF
                 span = power_sums(hashed)
-                # Rows that share an id share their ranges: a chain counts only where it stands.
+                # Rows that share an id share their ranges: a chunk counts only where it stands.
                 fits = (m > 0) & (word + m <= len(hashed))
-                fits[fits] = span(word[fits], m[fits]).view(np.int64) == chain[fits]
+                fits[fits] = span(word[fits], m[fits]).view(np.int64) == digest[fits]
                 known = [_covered(n, word[k], (word + m)[k] - length + 1) for k in (fits & (link == kind) for kind in (SHARED, LATER))]
                 open_ = _covered(n, word + size - length, word + 1) & ~known[1]
                 at = np.flatnonzero(open_)
@@ -226,15 +224,18 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ranges(found: DataFrame, across: bool) -> DataFrame:
-    """doc_id, ranges (place, chain, link) of the marks that stand in two places: what to look at in each document's text.
+    """doc_id, ranges (place, digest, link) of the cuts that stand in two places: what to look at in each document's text.
 
-    link tells what is known of the mark's chain: LATER if an earlier document has it, SHARED if
-    only later places do, else OPEN.
+    link tells what is known of the chunk from the cut on: LATER if an earlier document has its
+    digest, SHARED if only later places do, else OPEN. Counts are written before rows are
+    joined to them: both sides of the join are plain shuffles, which adaptive execution can
+    split where one key holds many rows.
     """
-    shared = materialize(found.join(_repeated(found, "gram", across).where("twice").select("gram"), "gram").select("doc_id", "chain", "place"), "marks")
-    chains = _repeated(shared, "chain", across).where("twice").select("chain", "first_id")
+    twice = materialize(_repeated(found, "rolling", across).where("twice").select("rolling"), "cuts")
+    shared = materialize(found.join(twice, "rolling").select("doc_id", "digest", "place"), "chunks")
+    known = materialize(_repeated(shared, "digest", across).where("twice").select("digest", "first_id"), "digests")
     link = F.when(F.col("first_id") < F.col("doc_id"), LATER).when(F.col("first_id") == F.col("doc_id"), SHARED).otherwise(OPEN)
-    linked = shared.join(chains, "chain", "left").select("doc_id", F.struct("place", "chain", link.alias("link")).alias("r"))
+    linked = shared.join(known, "digest", "left").select("doc_id", F.struct("place", "digest", link.alias("link")).alias("r"))
     return linked.groupBy("doc_id").agg(F.collect_list("r").alias("ranges"))
 
 
@@ -246,7 +247,7 @@ def _joined(places: DataFrame, across: bool) -> DataFrame:
     has a row for it, or if this one knows it as SHARED.
     """
     windows = places.where(F.col("kind") < LATER)
-    counts = _repeated(windows, "window", across, shared=F.max("kind")).where(F.col("twice") | (F.col("shared") == SHARED)).drop("shared")
+    counts = materialize(_repeated(windows, "window", across, shared=F.max("kind")).where(F.col("twice") | (F.col("shared") == SHARED)).drop("shared"), "windows")
     columns = ("row", "doc_id", "word", "words", "byte_start", "byte_end")
     repeated = windows.join(counts, "window").where(F.col("twice") | (F.col("kind") == SHARED)).select(*columns, (F.col("doc_id") > F.col("first_id")).alias("later"))
     rows = repeated.union(places.where(F.col("kind") == LATER).select(*columns, F.lit(True))).where(F.col("doc_id") != NO_ID)
@@ -273,7 +274,7 @@ def repeated_passages(docs: DataFrame, length: int = PASSAGE_WORDS, across: bool
     without one give no row; other columns are ignored.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = small_batches(rows).mapInArrow(_marker(length), "doc_id long, gram long, chain long, place long")
+    found = small_batches(rows).mapInArrow(_marker(length), "doc_id long, rolling long, digest long, place long")
     texts = small_batches(rows).mapInArrow(_packer, "doc_id long, packed binary").where("packed is not null")
     looked = texts.join(_ranges(found, across), "doc_id").select("doc_id", "packed", "ranges")
     return _joined(materialize(looked.mapInArrow(_window_hasher(length), PLACES), "places"), across)

@@ -4,7 +4,9 @@ A test item with an error budget of k edits is split into k + 1 pieces: in any o
 with at most k edits, one piece stands unchanged. One automaton finds the exact hits of all
 pieces of a block of items in a document. A hit is verified by Myers' bit-parallel distance
 on ever larger parts of the item (a part of p pieces may have p - 1 edits), so that chance
-hits fall after a short comparison; whole items that pass are matches.
+hits fall after a short comparison. Where all parts pass, the whole item is compared, once
+for all places that overlap; an item with so many hits that verifying them costs more than
+comparing it with the whole text is compared with that instead.
 
 Texts are compared in lower case with white space runs folded to one space.
 """
@@ -19,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import small_batches
+from folioscan.llm.common import materialize, small_batches
 
 #: Characters of items in one broadcast block; a larger benchmark takes more passes.
 BLOCK_CHARS = 2_000_000
+#: Folded characters below which an item has to stand word for word.
+EXACT_BELOW = 24
+MEMO = 1 << 17
 SCHEMA = "doc_id long, item_id long, distance int, match_start long, match_end long"
 
 
@@ -30,18 +35,24 @@ def fold(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def distance(pattern: str, text: str, most: int) -> tuple[int, int]:
+def places(pattern: str) -> dict[str, int]:
+    """Of each character the bits at which it stands in pattern."""
+    found: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        found[c] = found.get(c, 0) | 1 << i
+    return found
+
+
+def distance(pattern: str, text: str, most: int, anchored: bool = False, at: dict[str, int] | None = None) -> tuple[int, int]:
     """Myers: (least edit distance of pattern to a substring of text, where the first such one ends).
 
-    The distance is most + 1 or more if no substring is within `most` edits.
+    The distance is most + 1 or more if no substring is within `most` edits. anchored: the
+    substring begins where text begins. at: places(pattern), if known.
     """
     m = len(pattern)
-    full, high = (1 << m) - 1, 1 << (m - 1)
-    peq: dict[str, int] = {}
-    for i, c in enumerate(pattern):
-        peq[c] = peq.get(c, 0) | 1 << i
+    full, high, carry = (1 << m) - 1, 1 << (m - 1), int(anchored)
     vp, vn, score, best, end = full, 0, m, m, 0
-    get = peq.get
+    get = (places(pattern) if at is None else at).get
     for i, c in enumerate(text, 1):
         eq = get(c, 0)
         xv = eq | vn
@@ -54,7 +65,9 @@ def distance(pattern: str, text: str, most: int) -> tuple[int, int]:
             score -= 1
             if score < best:
                 best, end = score, i
-        ph = ph << 1 & full
+                if not best:
+                    break
+        ph = (ph << 1 | carry) & full
         vp = (mh << 1 & full) | (~(xv | ph) & full)
         vn = ph & xv
     return best, end
@@ -69,85 +82,115 @@ def pieces(item: str, budget: int) -> list[tuple[int, int]]:
 class Matcher:
     """Items of one block, their pieces and the automaton over the pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, exact_below: int):
         self.items = []
         self.automaton = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
         for item_id, item in items:
-            cut = pieces(item, int(len(item) * rate))
+            short = len(item) < exact_below
+            cut = pieces(item, 0 if short else int(len(item) * rate))
             for k, (a, b) in enumerate(cut):
                 where.setdefault(item[a:b], []).append((len(self.items), k))
-            self.items.append((item_id, item, cut))
+            self.items.append((item_id, item, cut, short))
         for piece, owners in where.items():
             self.automaton.add_word(piece, (len(piece), owners))
         if where:
             self.automaton.make_automaton()
+        self.known: dict[int, dict[str, int]] = {}
 
-    def _grows(self, item: str, cut: list[tuple[int, int]], k: int, text: str, at: int) -> tuple[int, int, int] | None:
-        """Verifies the hit of piece k at `at`, on parts that double up to the whole: (distance, start, end)."""
-        low, high = k, k + 1
+    def _parts_pass(self, i: int, k: int, text: str, offset: int, memo: dict) -> tuple[bool, int]:
+        """Whether the parts around piece k, doubled up to but without the whole, stand in text where the
+        item would begin at `offset`; how many characters were compared."""
+        _, item, cut, _ = self.items[i]
         path = []
         a, b = 0, len(cut)
         while b - a > 1:  # the halvings that lead to the piece
-            path.append((a, b))
             middle = (a + b) // 2
             a, b = (a, middle) if k < middle else (middle, b)
-        found = (0, at, at + cut[k][1] - cut[k][0])
-        for low, high in reversed(path):
-            part = item[cut[low][0] : cut[high - 1][1]]
-            most = high - low - 1
-            start = max(0, at - (cut[k][0] - cut[low][0]) - most)
-            window = text[start : at + (cut[high - 1][1] - cut[k][0]) + most]
-            d, end = distance(part, window, most)
-            if d > most:
-                return None
-            found = (d, start, start + end)
-        d, start, end = found
-        if path:  # where it starts: the same from the right
-            part = item[::-1]
-            back = text[max(0, end - len(item) - d) : end][::-1]
-            start = end - self._prefix(part, back, d)
-        return d, start, end
-
-    @staticmethod
-    def _prefix(pattern: str, text: str, d: int) -> int:
-        """Length of the shortest prefix of text within distance d of pattern (there is one)."""
-        row = list(range(len(pattern) + 1))
-        if row[-1] == d:
-            return 0
-        for i, c in enumerate(text, 1):
-            before, row[0] = row[0], i
-            for j, p in enumerate(pattern, 1):
-                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (p != c))
-            if row[-1] == d:
-                return i
-        return len(text)
+            path.append((a, b))
+        spent = 0
+        for low, high in reversed(path[:-1]):
+            passed = memo.get((i, offset, low, high))
+            if passed is None:
+                most = high - low - 1
+                start = max(0, offset + cut[low][0] - most)
+                window = text[start : max(start, offset + cut[high - 1][1] + most)]
+                spent += len(window)
+                passed = distance(item[cut[low][0] : cut[high - 1][1]], window, most)[0] <= most
+                if len(memo) > MEMO:
+                    memo.clear()
+                memo[i, offset, low, high] = passed
+            if not passed:
+                return False, spent
+        return True, spent
+
+    def _best(self, i: int, text: str, windows: list[tuple[int, int]]) -> tuple[int, int, int] | None:
+        """(distance, start, end) of the item's best match in the windows of text."""
+        _, item, cut, _ = self.items[i]
+        most = len(cut) - 1
+        at = self.known.get(i)
+        if at is None:
+            at = self.known[i] = places(item)
+        best = (most + 1, 0)
+        for low, high in windows:
+            d, end = distance(item, text[low:high], most, at=at)
+            best = min(best, (d, low + end))
+            if not best[0]:
+                break
+        d, end = best
+        if d > most:
+            return None
+        # Where it starts: the same from the right, from its end on.
+        back = text[max(0, end - len(item) - d) : end][::-1]
+        return d, end - distance(item[::-1], back, d, anchored=True)[1], end
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, start, end) of the best match of each item; offsets are in the folded text."""
         if not self.items:
             return []
-        best: dict[int, tuple[int, int, int]] = {}
-        tried: set[tuple[int, int]] = set()
+        passed: dict[int, set[int]] = {}
+        spent: dict[int, int] = {}
+        found: dict[int, tuple[int, int, int]] = {}
+        memo: dict[tuple[int, int, int, int], bool] = {}
+        n = len(text)
         for last, (length, owners) in self.automaton.iter(text):
-            at = last - length + 1
             for i, k in owners:
-                item_id, item, cut = self.items[i]
+                _, item, cut, short = self.items[i]
+                at = last - length + 1
+                if len(cut) == 1:
+                    bounded = not short or not (text[at - 1 : at].isalnum() or text[last + 1 : last + 2].isalnum())
+                    if bounded and i not in found:
+                        found[i] = (0, at, last + 1)
+                    continue
                 offset = at - cut[k][0]
-                if best.get(i, (1,))[0] == 0 or (i, offset) in tried:
+                own = passed.setdefault(i, set())
+                used = spent.get(i, 0)
+                if used > n or offset in own:
                     continue
-                found = self._grows(item, cut, k, text, at)
-                if found and found < best.get(i, (len(item) + 1, 0, 0)):
-                    best[i] = found
-                    tried.add((i, offset))
-        return [(self.items[i][0], *x) for i, x in sorted(best.items())]
+                good, more = self._parts_pass(i, k, text, offset, memo)
+                spent[i] = used + more
+                if good:
+                    own.add(offset)
+        for i, offsets in passed.items():
+            _, item, cut, _ = self.items[i]
+            if spent.get(i, 0) > n:
+                windows = [(0, n)]
+            else:
+                windows, slack = [], len(cut) - 1
+                for offset in sorted(offsets):
+                    low, high = max(0, offset - slack), min(n, offset + len(item) + slack)
+                    if windows and low <= windows[-1][1]:
+                        windows[-1] = (windows[-1][0], high)
+                    else:
+                        windows.append((low, high))
+            if windows and (best := self._best(i, text, windows)):
+                found[i] = best
+        return [(self.items[i][0], *x) for i, x in sorted(found.items())]
 
 
 def _scan(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = shared.value
-        if not isinstance(matcher, Matcher):
-            matcher = Matcher(*matcher)
+        matcher = Matcher(*shared.value)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -161,50 +204,82 @@ def _scan(shared):
     return scan
 
 
-def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, least_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The distinct items that are long enough, folded, in one or more blocks of about block_chars characters."""
+def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The distinct items with a character, folded, in one or more blocks of about block_chars characters."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_chars))
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         folded = {(r["item_id"], fold(r["text"])) for r in rows}
-        yield sorted(((i, t) for i, t in folded if len(t) >= least_chars), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        yield sorted(((i, t) for i, t in folded if t), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, exact_below: int = EXACT_BELOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, match_start, match_end: one row per document and item it holds.
 
     An item of n folded characters is held by a text with a substring within floor(rate * n)
-    edits; of an item's matches in a text the one with the fewest edits counts, then the
-    first. Items that are null or shorter than least_chars folded characters match nothing
-    (a few common words prove no leak); null and empty texts hold nothing. Repeated rows are
-    reported each, an item that is given twice (same id and text) once. Offsets are in the
-    folded text. Columns other than the named ones are ignored.
+    edits; of an item's matches in a text the one with the fewest edits counts, then the one
+    that ends first, then the shortest. An item of fewer than exact_below folded characters is
+    held only as it stands, between characters that are no letters or digits. Null and blank
+    items match nothing; null and empty texts hold nothing. Repeated rows are reported each,
+    an item that is given twice (same id and text) once. Offsets are in the folded text.
+    Columns other than the named ones are ignored.
 
     The items go to the executors in blocks of at most about block_chars characters, one
-    pass over docs per block, so what is broadcast doesn't grow with the benchmark.
+    pass over docs per block. With more than one block each pass is written before the next
+    block is read, so neither the driver nor a broadcast grows with the benchmark.
     """
-    broadcast = docs.sparkSession.sparkContext.broadcast
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = _item_blocks(benchmark, item_col, item_text_col, least_chars, block_chars)
-    return reduce(DataFrame.unionByName, [small_batches(rows).mapInArrow(_scan(broadcast((block, rate))), SCHEMA) for block in blocks])
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_chars: int = 24, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    spark = docs.sparkSession
+    rows = small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    return _by_blocks(spark, _item_blocks(benchmark, item_col, item_text_col, block_chars), lambda shared: rows.mapInArrow(_scan(shared), SCHEMA), rate, exact_below)
+
+
+def _by_blocks(spark, blocks: Iterator[list[tuple[int, str]]], scan, rate: float, exact_below: int) -> DataFrame:
+    """The rows of scan(broadcast) for all blocks; each but an only one is written before the next is read."""
+    done: list[DataFrame] = []
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        shared = spark.sparkContext.broadcast((block, rate, exact_below))
+        found = scan(shared)
+        if done or following is not None:
+            found = materialize(found, "block")
+            shared.destroy()
+        done.append(found)
+        block = following
+    return reduce(DataFrame.unionByName, done)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, exact_below: int = EXACT_BELOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs, with all their columns, whose text holds no item; see find_contamination.
 
-    The decision is taken where a row is read: texts aren't shuffled.
+    With one block the decision is taken where a row is read: texts aren't shuffled. With
+    more, each pass writes the MD5 of the texts that hold an item, and rows with one of them go.
     """
     column = docs.columns.index("text")
-    for block in _item_blocks(benchmark, "item_id", "text", least_chars, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast((block, rate))
+    blocks = _item_blocks(benchmark, "item_id", "text", block_chars)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast((first, rate, exact_below))
 
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(*shared.value)
             for batch in batches:
                 keep = [not (t and matcher.matches(fold(t))) for t in (x.as_py() for x in batch.column(column))]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = small_batches(docs).mapInArrow(clean, docs.schema)
-    return docs
+        return small_batches(docs).mapInArrow(clean, docs.schema)
+
+    def held(shared) -> DataFrame:
+        def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(*shared.value)
+            for batch in batches:
+                keep = [bool(t and matcher.matches(fold(t))) for t in (x.as_py() for x in batch.column(1))]
+                yield batch.filter(pa.array(keep, pa.bool_())).select([0])
+
+        return small_batches(docs.select(F.md5("text").alias("held"), "text")).mapInArrow(texts, "held string").distinct()
+
+    rest = (b for part in ([first, second], blocks) for b in part)
+    found = materialize(_by_blocks(docs.sparkSession, rest, held, rate, exact_below).distinct(), "held")
+    return docs.join(found, F.md5(docs["text"]) == found["held"], "left_anti")

@@ -77,3 +77,55 @@ def test_redaction_keeps_every_row_and_all_else(docs):
     assert out[3].text == 'token = "[SECRET]" done' and out[3].n_chars == len(out[3].text)
     assert out[99].text == long.replace("abcdef123456", "[SECRET]")
     assert secrets.redact_secrets(docs([])).collect() == []
+
+
+def plain_tags(text, model):
+    """The whole chain decoded at once, scores added up one feature at a time."""
+    weights, steps = model
+    tokens = secrets.TOKEN.findall(text)
+    on = [secrets.shape(t) for t in tokens]
+    near = secrets.neighbours(secrets.np.array([secrets.shown(t, o) for t, o in zip(tokens, on, strict=True)], secrets.np.int32)).tolist()
+    names = [[*o, *secrets.file_features(text), *(f for k, f in enumerate(secrets.NEAR) if n >> k & 1)] for o, n in zip(on, near, strict=True)]
+    emissions = [tuple(sum(weights[secrets.INDEX[f]][t] for f in own) for t in range(3)) for own in names]
+    best = secrets.viterbi(emissions, steps)
+    return [(m.start(), m.end(), t) for m, t in zip(secrets.TOKEN.finditer(text), best, strict=True) if t]
+
+
+def test_every_token_is_decoded_as_in_the_whole_chain(monkeypatch):
+    model = secrets.train()
+    lines = [t for t, _ in secrets.labelled_lines(500, 91, held_out=True)]
+    texts = [*lines, "\n".join(lines), "", "...", "a" * 5000, "x=" * 400, " ".join(["Zm9vYmFy" * 6] * 300), *filter(None, TEXTS)]
+    want = [plain_tags(t, model) for t in texts]
+    found = secrets.tagger(model).tagged(texts)
+    assert [[tuple(x) for x in f] for f in found] == want
+    monkeypatch.setattr(secrets, "SLICE", 7)
+    assert [secrets.tagger(model)._of_long(t) for t in texts] == want
+    monkeypatch.setattr(secrets, "VOCABULARY", 50)
+    assert [secrets.Tagger(model).tagged([t])[0] for t in texts] == want
+
+
+def test_held_out_lines_precision_and_recall():
+    """Lines of a second generator: other names, key prefixes, sentences and words than in training."""
+    model, lines = secrets.train(), secrets.labelled_lines(2000, 78, held_out=True)
+    hit = wrong = missed = 0
+    for (text, spans), found in zip(lines, secrets.tagger(model).tagged([t for t, _ in lines]), strict=True):
+        gold = {m.start() for m, tag in zip(secrets.TOKEN.finditer(text), secrets.tags(text, spans)[1], strict=True) if tag}
+        mine = {s for s, _, _ in found}
+        hit, wrong, missed = hit + len(gold & mine), wrong + len(mine - gold), missed + len(gold - mine)
+    assert hit / (hit + wrong) >= 0.98 and hit / (hit + missed) >= 0.98
+
+
+def test_secrets_of_letters_only_and_in_prose():
+    model = secrets.train()
+    added = lambda t: [t[a:b] for a, b, k in secrets.all_spans(t, model) if k == 3]
+    assert added("key ghp_ABCdefGHIjklMNOpqrSTUvwxYZabcdEFGHij done") == ["ghp_ABCdefGHIjklMNOpqrSTUvwxYZabcdEFGHij"]
+    assert added("the password is HorseBattery9 today") == ["HorseBattery9"]
+    wrapped = 'token = "' + "Ab3dE6gH1jK4mN7pQ0sT" * 2 + "\n" + "Zy8xW5vU2tS9rQ6pO3nM" * 2 + '"'
+    assert added(wrapped) in ([], [wrapped.split("\n")[1].rstrip('"')])
+
+
+def test_very_long_text(docs):
+    body = "plain words stand here " * 60_000
+    text = body + "Authorization: Bearer abcDEF123ghiJKL456mnoPQR789 " + body
+    (row,) = secrets.find_secrets(docs([(1, text)])).collect()
+    assert [text[s.start : s.end] for s in row.spans] == ["abcDEF123ghiJKL456mnoPQR789"]

@@ -46,6 +46,23 @@ def clear_scratch(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def written() -> int:
+    """How many tables operators wrote in this process so far: a mark for only_read."""
+    return len(_written)
+
+
+def only_read(result: DataFrame, since: int) -> DataFrame:
+    """result, after the tables written since a mark that it doesn't read are deleted."""
+    spark, read = result.sparkSession, "\n".join(result.inputFiles())
+    conf, own = spark.sparkContext._jsc.hadoopConfiguration(), _written[since:]
+    _written[since:] = [path for path in own if path.rsplit("/", 1)[-1] in read]
+    for path in own:
+        if path not in _written[since:]:
+            gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            gone.getFileSystem(conf).delete(gone, True)
+    return result
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it again: a short lineage that outlives executors."""
     spark = df.sparkSession

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import materialize, small_batches
+from folioscan.llm.common import materialize, only_read, small_batches, written
 
 ROWS_PER_RANGE, MOST_RANGES = 4_000, 20_000
 
@@ -53,12 +53,19 @@ def groups_of(rows: DataFrame) -> DataFrame:
     """doc_id, group_id from doc_id, fingerprint, packed (compressed canonical bytes): byte comparison inside equal buckets.
 
     Equal bytes compress to equal bytes, so grouping by (fingerprint, packed) compares them.
-    The minimum is taken per task before anything moves; a hot group is one row per task.
+    The minimum is taken per task before anything moves; a hot group is one row per task. It
+    is written before rows meet it: both sides of that join are plain shuffles, which adaptive
+    execution can split.
     """
-    same = rows.groupBy("fingerprint", "packed").agg(F.min("doc_id").alias("group_id"))
+    same = materialize(rows.groupBy("fingerprint", "packed").agg(F.min("doc_id").alias("group_id")), "groups")
     return rows.join(same, ["fingerprint", "packed"]).select("doc_id", "group_id", F.col("fingerprint").alias("g_fingerprint"))
 
 
+def _shared(printed: DataFrame) -> DataFrame:
+    """The fingerprints that more than one row has, written: see groups_of."""
+    return materialize(printed.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint"), "shared")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, group_id (smallest doc_id with the same canonical bytes) of every row.
 
@@ -67,7 +74,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     printed = materialize(fingerprints(rows), "prints")
-    shared = printed.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
+    shared = _shared(printed)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -75,7 +82,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             forms = [canonical(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_hexdigest(f) for f in forms]), pa.array([squeeze.compress(f) for f in forms], pa.binary())], names=["doc_id", "fingerprint", "packed"])
 
-    packed = small_batches(rows).mapInArrow(pack, "doc_id long, fingerprint string, packed binary").join(shared, "fingerprint", "left_semi")
+    packed = materialize(small_batches(rows).mapInArrow(pack, "doc_id long, fingerprint string, packed binary").join(shared, "fingerprint", "left_semi"), "packed")
     grouped = groups_of(packed).distinct()
     return printed.join(grouped, (printed["fingerprint"] == grouped["g_fingerprint"]) & printed["doc_id"].eqNullSafe(grouped["doc_id"]), "left").select(printed["doc_id"], "fingerprint", F.coalesce("group_id", printed["doc_id"]).alias("group_id"))
 
@@ -161,6 +168,7 @@ def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     largest. Rows that repeat an id follow each other by their texts; a null id is the
     smallest. Null texts are empty. Texts move once, compressed, dealt by ranges of the id.
     """
+    since = written()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ids = rows.select("doc_id")
     bounds = _bounds(ids)
@@ -173,7 +181,7 @@ def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         tails.setdefault(found[behind], []).append(p)
 
     printed = materialize(fingerprints(rows), "prints")
-    shared = printed.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
+    shared = _shared(printed)
     marked = printed.join(shared, "fingerprint").select("doc_id").distinct()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +193,7 @@ def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shape = "part int, tail boolean, doc_id long, packed binary"
     dealt = small_batches(rows).mapInArrow(_packer(bounds, tails), shape).union(small_batches(marked).mapInArrow(mark, shape))
     dealt = dealt.repartition("part").sortWithinPartitions("part", "tail", F.desc_nulls_last("doc_id"), F.asc_nulls_first("packed"))
-    done = materialize(small_batches(dealt).mapInArrow(_editor, _EDITED), "edited")
+    done = only_read(materialize(small_batches(dealt).mapInArrow(_editor, _EDITED), "edited"), since)
     grouped = groups_of(done.where("canonical is not null").select("doc_id", "fingerprint", F.col("canonical").alias("packed"))).distinct().withColumnRenamed("doc_id", "g_doc_id")
     result = done.join(grouped, F.col("doc_id").eqNullSafe(F.col("g_doc_id")) & (F.col("fingerprint") == F.col("g_fingerprint")), "left")
     return result.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"), F.coalesce("group_id", "doc_id").alias("group_id"))

@@ -1,8 +1,9 @@
 """WARC archives as a chunked record table (operator 10).
 
-Writing: pages become rows of record and chunk number, sorted by record, and each task
-streams its rows into one archive of gzip members, a member per record, without holding a
-whole payload. Of equal payloads of LEAST_BYTES or more the one with the smallest page id is
+Writing: pages become rows of record identifier and chunk number, sorted by record, and each
+task streams its rows into one archive of gzip members, a member per record, without holding a
+whole payload. A record's identifier is made of its page's values and its number among equal
+pages, so a task that runs again deals the same rows to the same archives. Of equal payloads of LEAST_BYTES or more the one with the smallest page id is
 a response, the others are revisits that refer to it.
 
 Reading: a task streams one archive and yields (record, chunk number) rows with the SHA-256
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import fresh_path, materialize, small_batches
+from folioscan.llm.common import fresh_path, materialize, only_read, small_batches, written
 
 CHUNK_BYTES = 65_536
 LEAST_BYTES = 100
@@ -35,24 +36,39 @@ CRLF = b"\r\n"
 ROWS = "page_id long, record_id string, record_type string, refers_to long, declared_digest string, declared_bytes long, chunk_no long, chunk binary, bytes_so_far long, digest_so_far string"
 
 
+RECORD = ("page_id", "digest", "url", "copy")
+
+
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """One row per page: row, page_id, url, payload (binary), payload_bytes, digest, record_type, refers_to.
+    """One row per page: page_id, digest, url, copy, payload (binary), payload_bytes, record_type, refers_to.
 
-    The decision needs digests and ids only; payloads move once, by page id, to meet it.
+    (page_id, digest, url, copy) tell records apart: copy numbers pages that are equal in all
+    of the rest. The decision needs digests and ids only; payloads move once, by page id, to
+    meet it, unless it is small enough to be broadcast. Pages that repeat in everything are
+    one row with their number before the copies are made again from it.
     """
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    keys = rows.where(F.col("payload_bytes") >= least_bytes).select("digest", "page_id")
-    first = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = keys.join(first, "digest").where("first is not null and not (page_id <=> first)").select(F.col("page_id").alias("l_page"), F.col("digest").alias("l_digest"), F.col("first").alias("refers_to")).distinct()
-    later = materialize(later, "revisits")
-    return (
-        rows.join(later, F.col("page_id").eqNullSafe(F.col("l_page")) & (F.col("digest") == F.col("l_digest")), "left")
-        .withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
-        .withColumn("row", F.monotonically_increasing_id())
-        .select("row", "page_id", "url", "payload", "payload_bytes", "digest", "record_type", "refers_to")
-    )
+    keys = rows.groupBy("page_id", "digest", "url", "payload_bytes").agg(F.count(F.lit(1)).alias("copies"))
+    keys = materialize(keys, "keys")
+    large = keys.where(F.col("payload_bytes") >= least_bytes)
+    first = materialize(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("copies").alias("n")).where("n > 1").select("digest", "first"), "first")
+    later = large.join(first, "digest").where("first is not null and not (page_id <=> first)").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    notes = keys.where("copies > 1").select("page_id", "digest", "url", "copies")
+    noted = materialize(later.select(F.col("page_id").alias("l_page"), F.col("digest").alias("l_digest"), "refers_to"), "revisits")
+    planned = rows.join(noted, F.col("page_id").eqNullSafe(F.col("l_page")) & (F.col("digest") == F.col("l_digest")), "left").drop("l_page", "l_digest")
+    if not notes.isEmpty():
+        notes = notes.select(F.col("page_id").alias("n_page"), F.col("digest").alias("n_digest"), F.col("url").alias("n_url"), "copies")
+        same = F.col("page_id").eqNullSafe(F.col("n_page")) & (F.col("digest") == F.col("n_digest")) & (F.col("url") == F.col("n_url"))
+        planned = planned.join(notes, same, "left").drop("n_page", "n_digest", "n_url")
+        repeated = planned.where("copies is not null").groupBy("page_id", "digest", "url").agg(*(F.first(c).alias(c) for c in ("payload", "payload_bytes", "refers_to", "copies")))
+        repeated = repeated.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
+        planned = planned.where("copies is null").drop("copies").withColumn("copy", F.lit(0).cast("long")).unionByName(repeated)
+    else:
+        planned = planned.withColumn("copy", F.lit(0).cast("long"))
+    kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
+    return planned.withColumn("record_type", kind).select(*RECORD, "payload", "payload_bytes", "record_type", "refers_to")
 
 
 def chunk_rows(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -101,12 +117,12 @@ def _writer(folder: str):
             for i, row in enumerate(batch.drop_columns(["chunk"]).to_pylist()):
                 if out is None:
                     out = store.open_output_stream(draft, compression=None)
-                if row["row"] != last:
+                if (record := tuple(row[c] for c in RECORD)) != last:
                     if member is not None:
                         out.write(member.compress(CRLF * 2) + member.flush())
                     member = zlib.compressobj(1, zlib.DEFLATED, 31)
                     out.write(member.compress(_head(row)))
-                    last, records = row["row"], records + 1
+                    last, records = record, records + 1
                 out.write(member.compress(chunks[i].as_buffer()))
         if out is not None:
             out.write(member.compress(CRLF * 2) + member.flush())
@@ -121,10 +137,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, chunk_bytes: int
     """Writes the pages' records and returns the manifest (folder, name, records), a row per archive."""
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
+    since = written()
     rows = chunk_rows(plan_records(pages, **columns), chunk_bytes)
-    dealt = rows.repartition("row").sortWithinPartitions("row", "chunk_no")
-    dealt = dealt.select("row", "page_id", "url", "payload_bytes", "digest", "record_type", "refers_to", "chunk")
-    return materialize(small_batches(dealt).mapInArrow(_writer(folder), "name string, records long").select(F.lit(folder).alias("folder"), "name", "records"), "manifest")
+    dealt = rows.repartition(*RECORD).sortWithinPartitions(*RECORD, "chunk_no")
+    dealt = dealt.select(*RECORD, "payload_bytes", "record_type", "refers_to", "chunk")
+    manifest = materialize(small_batches(dealt).mapInArrow(_writer(folder), "name string, records long").select(F.lit(folder).alias("folder"), "name", "records"), "manifest")
+    return only_read(manifest, since)
 
 
 def _members(stream) -> Iterator[tuple[bool, bytes]]:

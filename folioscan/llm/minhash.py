@@ -4,13 +4,14 @@ Every text becomes its set of word shingles; 32 bands of 4 minima name the bucke
 candidates meet; the low 2 bits of the 128 minima, packed in four longs, estimate similarity
 by bit counts with the collision correction; surviving pairs are confirmed on the full sets.
 
-No bucket is expanded into all its pairs. Texts with equal sets form one node first. Then
-every member of a bucket is compared with the bucket's best-connected member (its leader),
-which joins most of a group of near copies. What is left are members of one bucket that are
-in different classes: for these, exact counts of the shingles that a set shares with any
-other left-over set bound the similarity it can reach, and only pairs that pass this bound
-and the estimate are confirmed. A link is lost only if its pair meets in no band, which at
-the similarity 0.8 has a chance of (1 - 0.8**4)**32 = 5e-8.
+Texts with equal sets form one node first. Then every member of a bucket is compared with the
+bucket's best-connected member (its leader), which joins most of a group of near copies; for
+what is left in buckets whose members are in different classes, other leaders follow. What
+still is left goes through an exact join: counts of the shingles that a set shares with any
+other left-over set bound the similarity that it can reach and the sizes of the sets that it
+can reach it with; sets meet on prefixes of rare shingles, within these sizes only, and
+pairs that pass the bounds and the estimate are confirmed. A link is lost only if its pair
+meets in no band, which at the similarity 0.8 has a chance of (1 - 0.8**4)**32 = 5e-8.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import materialize, small_batches
+from folioscan.llm.common import materialize, only_read, small_batches, written
 from folioscan.llm.components import connected_components
 from folioscan.llm.shingles import mix, shingle_sets, stream
 
@@ -34,6 +35,8 @@ _A = stream(MINIMA, 11) | np.uint64(1)
 _B = stream(MINIMA, 12)
 _BAND = stream(BANDS, 13)
 _CHUNK = 2048
+#: Turns of further leaders before the exact join, and how much wider a size level is than the one below.
+LEADER_TURNS, LEVEL = 2, 1.05
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -155,11 +158,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs are ignored, so their names can't clash. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    since = written()
     signed = materialize(small_batches(rows).mapInArrow(_signer(size), "doc_id long, n long, digest binary, bands array<long>, sign array<long>"), "signed")
     nodes = materialize(signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sign", "bands")).alias("x")).select("digest", "x.*"), "nodes")
 
     buckets = nodes.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    # Counts are written before rows meet them: joins of plain shuffles can be split where a key is hot.
+    shared = materialize(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
     members = materialize(buckets.join(shared, "bucket"), "members")
     if members.isEmpty():
         links = members.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v"))
@@ -167,12 +172,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = _links(rows, nodes, members, size, percent)
     labels = connected_components(links)
     own = nodes.select("digest", F.col("doc_id").alias("node"))
-    return (
+    result = (
         signed.join(own, "digest", "left")
         .join(labels, "node", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+    return only_read(result, since)
 
 
 def _links(rows: DataFrame, nodes: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
@@ -183,48 +189,81 @@ def _links(rows: DataFrame, nodes: DataFrame, members: DataFrame, size: int, per
 
     degree = members.groupBy("doc_id").agg(F.sum("members").alias("degree"))
     leader = members.join(degree, "doc_id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("first"))).alias("x")).select("bucket", (-F.col("x.first")).alias("leader"))
-    pairs = members.join(leader, "bucket").where("doc_id <> leader").select(F.col("leader").alias("u"), F.col("doc_id").alias("v")).distinct()
-    likely = _estimated(pairs, signs, percent)
-    first = materialize(_confirmed(likely, texts, size, percent), "confirmed")
+    pairs = members.join(materialize(leader, "leaders"), "bucket").where("doc_id <> leader").select(F.col("leader").alias("u"), F.col("doc_id").alias("v")).distinct()
+    links = materialize(_confirmed(_estimated(pairs, signs, percent), texts, size, percent), "confirmed")
 
-    labels = connected_components(first)
-    labelled = members.where("members > 2").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    labelled = materialize(labelled.select("bucket", "doc_id", "label"), "labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    left = materialize(labelled.join(mixed, "bucket", "left_semi"), "left")
+    labels = connected_components(links)
+    labelled = members.where("members > 2").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    left = _unsettled(labelled.select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    for turn in range(LEADER_TURNS):
+        if left.isEmpty():
+            return links
+        more = materialize(_confirmed(_estimated(_led(left, turn), signs, percent), texts, size, percent), "confirmed")
+        if more.isEmpty():
+            break
+        links, left = links.union(more), _unsettled(_relabelled(left, more))
     if left.isEmpty():
-        return first
+        return links
     crossed = _crossed(left.select("doc_id", "label").distinct(), signs, texts, size, percent)
-    return first.union(_confirmed(crossed, texts, size, percent))
+    return links.union(_confirmed(crossed, texts, size, percent))
+
+
+def _unsettled(labelled: DataFrame) -> DataFrame:
+    """Of bucket, doc_id, label those rows whose bucket holds more than one label."""
+    labelled = materialize(labelled, "labelled")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    return materialize(labelled.join(materialize(mixed, "mixed"), "bucket", "left_semi"), "left")
+
+
+def _led(left: DataFrame, turn: int) -> DataFrame:
+    """(u, v): another leader of each bucket, drawn by a hash, and the members of other classes."""
+    one = left.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("leader"), F.col("label").alias("own"))).alias("x")).select("bucket", "x.leader", "x.own")
+    met = left.join(materialize(one, "leaders"), "bucket").where("label <> own")
+    return met.select(F.least("leader", "doc_id").alias("u"), F.greatest("leader", "doc_id").alias("v")).distinct()
+
+
+def _relabelled(left: DataFrame, links: DataFrame) -> DataFrame:
+    """left with the classes that new links join as one."""
+    label = left.select("doc_id", "label").distinct()
+    met = links.join(label.select(F.col("doc_id").alias("u"), F.col("label").alias("a")), "u").join(label.select(F.col("doc_id").alias("v"), F.col("label").alias("b")), "v")
+    classes = connected_components(met.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return left.join(classes.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("bucket", "doc_id", F.coalesce("new", "label").alias("label"))
+
+
+def _level(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / float(np.log(LEVEL))).cast("int")
 
 
 def _crossed(left: DataFrame, signs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs of left-over nodes of different classes that may still reach `percent`; loses none that does.
 
-    A shingle that no other left-over set has can't be in an intersection of two of them. In
-    the order of rarity, two sets that are similar enough meet within short prefixes, and
-    what lies behind the place where they first meet bounds their intersection.
+    A shingle that no other left-over set has can't be in an intersection of two of them: of
+    n shingles at most `most` are shared, so a partner has at most
+    most * (100 + percent) / percent - n. In the order of rarity, two sets that are similar
+    enough meet within short prefixes, and what lies behind the place where they first meet
+    bounds their intersection. A family whose members each have too much of their own for any
+    other of its sizes meets nowhere.
     """
     ids = left.select("doc_id")
     held = texts.join(ids, "doc_id", "left_semi").mapInArrow(_exploder(size), "doc_id long, shingle long")
-    counts = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("doc_id"))
-    lone = counts.where("c = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lone"))
-    able = left.join(signs, "doc_id").join(lone, "doc_id", "left").withColumn("lone", F.coalesce("lone", F.lit(0))).withColumn("most", F.col("n") - F.col("lone"))
+    common = materialize(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "common")
+    placed = materialize(held.join(common, "shingle"), "shared")
+    able = left.join(signs, "doc_id").join(placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("most")), "doc_id")
     able = materialize(able.where(F.col("most") * 100 >= F.col("n") * percent), "able")
 
-    common = counts.where("c > 1").select("shingle", "c")
     rarest = Window.partitionBy("doc_id").orderBy("c", "shingle")
-    placed = held.join(able.select("doc_id"), "doc_id", "left_semi").join(common, "shingle").withColumn("place", F.row_number().over(rarest))
-    placed = placed.join(able, "doc_id").withColumn("place", F.col("place") + F.col("lone") - 1)
+    placed = placed.join(able, "doc_id").withColumn("place", F.row_number().over(rarest) + F.col("n") - F.col("most") - 1)
     placed = placed.where(F.col("place") <= F.col("n") - _ceil(F.col("n") * percent, 100)).select("shingle", "place", "doc_id", "label", "n", "most", "sign")
     placed = materialize(placed, "prefixes")
-    a = placed.where(F.col("place") <= F.col("n") - _ceil(F.col("n") * (2 * percent), 100 + percent))
-    b = placed.select("shingle", *(F.col(c).alias(f"{c}_") for c in ("place", "doc_id", "label", "n", "most", "sign")))
+    largest = F.least(F.floor(F.col("n") * 100 / percent), F.floor(F.col("most") * (100 + percent) / percent) - F.col("n"))
+    a = placed.where((F.col("place") <= F.col("n") - _ceil(F.col("n") * (2 * percent), 100 + percent)) & (largest >= F.col("n")))
+    a = a.withColumn("level", F.explode(F.sequence(_level(F.col("n")), _level(largest))))
+    b = placed.select(_level(F.col("n")).alias("level_"), F.col("shingle").alias("shingle_"), *(F.col(c).alias(f"{c}_") for c in ("place", "doc_id", "label", "n", "most", "sign")))
     need = _ceil((F.col("n") + F.col("n_")) * percent, 100 + percent)
     smaller = F.struct("n", "most", "doc_id") < F.struct(F.col("n_").alias("n"), F.col("most_").alias("most"), F.col("doc_id_").alias("doc_id"))
     behind = F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_"))
     possible = smaller & (F.col("label") != F.col("label_")) & (F.least("most", "most_", behind) >= need) & (similarity_estimate("sign", "sign_") >= least_estimate(percent))
-    met = a.join(b, (a["shingle"] == b["shingle"]) & possible)
+    met = a.join(b, (a["shingle"] == b["shingle_"]) & (a["level"] == b["level_"]) & possible)
     return met.select(F.col("doc_id").alias("u"), F.col("doc_id_").alias("v")).distinct()
 
 

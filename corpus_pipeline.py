@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import materialize
+from folioscan.llm.common import materialize, only_read, written
 from folioscan.llm.decontaminate import drop_contaminated
 from folioscan.llm.langid import keep_identified, train, training_sample
 from folioscan.llm.minhash import near_duplicates
@@ -47,7 +47,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents of sf_dir; returns the rows of the last."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = only_read(materialize(stage(spark, docs, sf_dir), name), since)
     return docs

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import doc_groups, materialize, small_batches, text_buffers
+from folioscan.llm.common import doc_groups, materialize, only_read, small_batches, text_buffers, written
 from folioscan.llm.shingles import PIECE, SEPARATOR, mix, power_sums, stream, words
 
 PASSAGE_WORDS = 50
@@ -273,8 +273,10 @@ def repeated_passages(docs: DataFrame, length: int = PASSAGE_WORDS, across: bool
     all others, and aren't reported. Null, empty and blank texts have no passages; documents
     without one give no row; other columns are ignored.
     """
+    since = written()
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = small_batches(rows).mapInArrow(_marker(length), "doc_id long, rolling long, digest long, place long")
     texts = small_batches(rows).mapInArrow(_packer, "doc_id long, packed binary").where("packed is not null")
     looked = texts.join(_ranges(found, across), "doc_id").select("doc_id", "packed", "ranges")
-    return _joined(materialize(looked.mapInArrow(_window_hasher(length), PLACES), "places"), across)
+    places = only_read(materialize(looked.mapInArrow(_window_hasher(length), PLACES), "places"), since)
+    return _joined(places, across)

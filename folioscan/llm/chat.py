@@ -56,7 +56,7 @@ def _rendered(role: Column, text: Column, mark: str = "") -> Column:
 
 
 def render_turns(turns: DataFrame, role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """turns with `_role`, `_text` (nulls made empty), `_body` (the escaped text) and `_rendered`."""
+    """turns with `_role`, `_text` (nulls made empty), `_body` (the escaped text), `_strong` (by which escape) and `_rendered`."""
     role, text, weak = F.col("_role"), F.col("_text"), F.col("_weak")
     name = F.url_encode(role)
     source = F.array(F.struct(role.alias("role"), text.alias("text")))
@@ -65,42 +65,47 @@ def render_turns(turns: DataFrame, role_col: str = "role", text_col: str = "text
     done = turns.withColumn("_role", F.coalesce(F.col(role_col).cast("string"), F.lit(""))).withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     done = done.withColumn("_weak", F.when(conflicting, _weak(text)).otherwise(text))
     done = done.withColumn("_plain", F.when(conflicting | text.contains("\\"), back == source).otherwise(F.lit(True)))
-    done = done.withColumn("_body", F.when(F.col("_plain"), weak).otherwise(_strong(text)))
+    done = done.withColumn("_strong", ~F.col("_plain")).withColumn("_body", F.when(F.col("_plain"), weak).otherwise(_strong(text)))
     return done.withColumn("_rendered", F.when(F.col("_plain"), _rendered(name, F.col("_body"))).otherwise(_rendered(name, F.col("_body"), STRONG))).drop("_weak", "_plain")
 
 
 def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, loss_spans, identical of every conversation.
 
-    loss_spans: array<struct<start,end>> of code points, end exclusive: the escaped texts of
-    loss_role's turns. identical: whether parsing `formatted` gives back the source turns.
+    loss_spans: array<struct<start,end,strong>> of code points, end exclusive: the escaped
+    texts of loss_role's turns, and by which escape. identical: whether parsing `formatted`
+    gives back the source turns (compared by MD5 here; each turn by itself was compared whole).
     Turns go by turn, then role, then text, so repeated turns all stay, in a fixed order,
     and null turns come first. Null texts and roles count as empty, rows with a null id form
     one conversation, other columns are ignored. A conversation is one string by nature: its
-    turns meet in one task, which holds that one conversation and no others.
+    rendered turns meet in one task, which holds that one conversation and no others.
     """
     rows = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("_turn"), F.col(role_col).alias("_in_role"), F.col(text_col).alias("_in_text"))
     rows = render_turns(rows, "_in_role", "_in_text")
     before = Window.partitionBy("conv_id").orderBy("_turn", "_role", "_text").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_at", F.coalesce(F.sum(F.char_length("_rendered")).over(before), F.lit(0)))
     body_at = F.col("_at") + F.char_length("_rendered") - F.char_length("_body") - len(END)
-    span = F.struct(body_at.alias("start"), (body_at + F.char_length("_body")).alias("end"))
-    one = F.struct("_at", "_turn", "_role", "_text", "_rendered", F.when(F.col("_role") == loss_role, span).alias("_span"))
+    span = F.struct(body_at.alias("start"), (body_at + F.char_length("_body")).alias("end"), F.col("_strong").alias("strong"))
+    one = F.struct("_at", "_rendered", F.when(F.col("_role") == loss_role, span).alias("_span"), _digest(F.col("_role"), F.col("_text")).alias("_md5"))
     joined = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("t"))
     joined = joined.withColumn("formatted", F.array_join(F.transform("t", lambda x: x["_rendered"]), ""))
     return joined.select(
         "conv_id",
         "formatted",
         F.filter(F.transform("t", lambda x: x["_span"]), lambda s: s.isNotNull()).alias("loss_spans"),
-        (parse(F.col("formatted")) == F.transform("t", lambda x: F.struct(x["_role"].alias("role"), x["_text"].alias("text")))).alias("identical"),
+        (F.transform(parse(F.col("formatted")), lambda x: _digest(x["role"], x["text"])) == F.transform("t", lambda x: x["_md5"])).alias("identical"),
     )
 
 
-def unescape(body: Column) -> Column:
-    """The text of a loss span (of the weak escape, which every text that it restores gets)."""
-    return F.when(body.contains("\\"), _unweak(body)).otherwise(body)
+def _digest(role: Column, text: Column) -> Column:
+    return F.md5(F.concat(role, F.lit("\n"), text))
 
 
-def loss_text(formatted: Column, loss_role: str = "assistant") -> Column:
-    """All text under the loss mask of a rendered conversation, in order, unescaped."""
-    return F.array_join(F.transform(F.filter(parse(formatted), lambda t: t["role"] == loss_role), lambda t: t["text"]), "")
+def unescape(body: Column, strong: Column) -> Column:
+    """The text of a loss span."""
+    return F.when(strong, _unstrong(body)).when(body.contains("\\"), _unweak(body)).otherwise(body)
+
+
+def loss_text(formatted: Column, loss_spans: Column) -> Column:
+    """All text under the loss mask of a rendered conversation, cut out by its spans, in order, unescaped."""
+    return F.array_join(F.transform(loss_spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), s["strong"])), "")

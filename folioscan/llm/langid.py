@@ -13,12 +13,12 @@ is coded whole in bounded memory.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +26,10 @@ from folioscan.llm.common import small_batches
 
 ORDER = 4
 #: Bounds of the training sample and the model, all parameters of train().
-DOCS_PER_LANG, MAX_DOC_BYTES, MAX_NODES, LEAST_COUNT = 300, 16_384, 16_000, 6
+DOCS_PER_LANG, MAX_DOC_CHARS, MAX_LANGS, MAX_NODES, LEAST_COUNT = 300, 16_384, 256, 16_000, 6
 UNIT = 1024  # code lengths are whole numbers of 1/1024 bit: sums are exact in any order
 PIECE = 1 << 19
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 
 
@@ -53,20 +53,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, max_doc_bytes: int = MAX_DOC_BYTES) -> list[tuple[str, str]]:
+def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, max_doc_chars: int = MAX_DOC_CHARS, max_langs: int = MAX_LANGS) -> list[tuple[str, str]]:
     """At most about docs_per_lang (text, lang) of each language from the rows that aren't held out.
 
-    Rows without id, text or language and texts of over max_doc_bytes aren't drawn; the draw
-    depends on a hash of the id alone. The bound makes the sample fit in the driver.
+    Rows without id, text or language aren't drawn; of a longer text the sample holds the
+    first max_doc_chars characters. The draw depends on a hash of the id alone, and its share
+    never becomes 0. The bounds make the sample fit in the driver; more than max_langs
+    languages are an error.
     """
-    able = docs.where(~held_out(F.col(id_col)) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in able.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    able = docs.where(~held_out(F.col(id_col)) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    counts = {r[0]: r[1] for r in able.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
+    if len(counts) > max_langs:
+        raise ValueError(f"more than {max_langs} languages are labelled; raise max_langs if the driver can hold their samples")
     if not counts:
         return []
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(41)), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, docs_per_lang / n) * 1_000_000))])
-    drawn = able.where((draw < share[F.col(lang_col)]) & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= max_doc_bytes))
-    return sorted((r[0], r[1]) for r in drawn.select(F.col(text_col), F.col(lang_col)).collect())
+    space = 1 << 40
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(41)), F.lit(space))
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, max(1, min(space, docs_per_lang * space // n)))])
+    drawn = able.where(draw < share[F.col(lang_col)]).select(F.substring(text_col, 1, max_doc_chars), F.col(lang_col))
+    return sorted((r[0], r[1]) for r in drawn.collect())
 
 
 def _counts(texts: list[str], symbol: np.ndarray, end: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -265,7 +270,7 @@ def predict_language(docs: DataFrame, model: Model | None, id_col: str = "doc_id
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds: int) -> DataFrame:
     """Learns from the rows that aren't held out, then predicts every row."""
-    drawn = {k: v for k, v in bounds.items() if k in ("docs_per_lang", "max_doc_bytes")}
+    drawn = {k: v for k, v in bounds.items() if k in ("docs_per_lang", "max_doc_chars", "max_langs")}
     grown = {k: v for k, v in bounds.items() if k in ("max_nodes", "least_count")}
     return predict_language(docs, train(training_sample(docs, id_col, text_col, lang_col, **drawn), **grown), id_col, text_col)
 

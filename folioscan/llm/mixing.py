@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import materialize
+from folioscan.llm.common import materialize, only_read, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Levels of bisection; BATCH of them share one job, which tries all their 2**BATCH - 1 midpoints.
@@ -122,8 +122,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Nulls: a null source is one source, a null text has no tokens, a null id is one id.
     Repeated rows are read each; ties in an order go by doc_id, then n_tokens.
     """
+    since = written()
     tokens = materialize(token_table(docs, id_col, text_col, source_col), "tokens")
     weights = materialize(source_weights(tokens, target_entropy, max_repeats, budget_tokens, block_tokens), "weights")
+    only_read(tokens.select("source").union(weights.select("source")), since)
     side = weights.withColumnRenamed("source", "of")
     side = F.broadcast(side) if weights.count() <= BROADCAST_SOURCES else side
     placed = tokens.join(side, F.col("source").eqNullSafe(F.col("of")))

@@ -31,9 +31,9 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    done = format_conversations(turns).withColumn("turns", parse(F.col("formatted"))).withColumn("loss", loss_text(F.col("formatted")))
+    done = format_conversations(turns).withColumn("turns", parse(F.col("formatted"))).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
     line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
     return done.select(
         "conv_id",

@@ -1,8 +1,11 @@
 """Edit-aware token counts (operator 6).
 
 A text is cut into leaves: runs of pre-tokens of about LEAF_CHARS characters. A cut lies
-before a space that follows a non-space and precedes a non-space, where the tokenizer's
-pattern always starts a new pre-token, so leaves are encoded on their own. A complete binary
+where the tokenizer's pattern always starts a new pre-token, so leaves are encoded on their
+own: before a space that follows a non-space and precedes a non-space, and, for text without
+spaces, where a letter, a digit or another sign follows one of another kind. No pre-token
+holds two of these kinds but for contractions, which begin with an apostrophe: behind one
+there is no cut. A longer run of one kind is one pre-token, hence one leaf. A complete binary
 tree holds the leaves' token and character sums. An edit re-encodes only the leaves that it
 touches and the next to each side, and replaces their sums; the sums above follow.
 """
@@ -10,11 +13,11 @@ touches and the next to each side, and replaces their sums; the sums above follo
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +28,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF_CHARS = 256
-CUT = re.compile(r"(?<=\S) (?=\S)")
+# Letters, digits and the rest as far as every version of Unicode's tables knows them: ASCII, Latin, kana, Han, Thai.
+_L, _N = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F\u0E01-\u0E30\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5", "0-9"
+_O = r"!-&(-/:-@\[-`{-~\u3001-\u3003\u3008-\u3011\uFF01-\uFF0F\uFF1A-\uFF20"
+CUT = regex.compile(rf"(?<=\S) (?=\S)|(?<=[{_L}])(?=[{_N}{_O}'])|(?<=[{_N}])(?=[{_L}{_O}'])|(?<=[{_O}])(?=[{_L}{_N}])")
 EDIT = pa.struct([("at", pa.int64()), ("removed", pa.int64()), ("added", pa.string())])
 TREE = "n_tokens long, n_chars long, leaf_chars array<int>, leaf_tokens array<int>"
 

@@ -15,15 +15,16 @@ def turns_of(rows):
 
 def check(spark, rows):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1)).withColumn("t", F.lit(2))
-    done = chat.format_conversations(df).withColumn("back", chat.parse(F.col("formatted"))).collect()
+    done = chat.format_conversations(df).withColumn("back", chat.parse(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).collect()
     want = turns_of(rows)
     assert {r.conv_id for r in done} == set(want)
     for r in done:
         assert r.identical
         assert [(x.role, x.text) for x in r.back] == want[r.conv_id]
-        spans = [r.formatted[s.start : s.end] for s in r.loss_spans]
+        spans = [(r.formatted[s.start : s.end], s.strong) for s in r.loss_spans]
         texts = [x for role, x in want[r.conv_id] if role == "assistant"]
-        assert [unescape(s) for s in spans] == texts
+        assert [unescape(s) for s, strong in spans if not strong] == [x for x, (_, strong) in zip(texts, spans, strict=True) if not strong]
+        assert r.loss == "".join(texts)
     return done
 
 

@@ -91,3 +91,19 @@ def test_edges(docs, spark, sf):
 def test_held_out_and_unlabelled_rows_do_not_teach(docs):
     rows = [(i, f"word{i} text", "en" if zlib.crc32(str(i).encode()) % 3 == 1 else None) for i in range(200)]
     assert L.training_sample(docs(rows)) == []
+
+
+def test_signs_that_are_no_letters_are_undetermined(docs):
+    rows = [(1, "\u00bd \u00b2 \u2460 12 ..."), (2, "\u00bd a"), (3, "\u4e2d"), (4, "_"), (5, "\u0660")]
+    found = {r.doc_id: r.lang_pred for r in L.predict_language(docs(rows), L.train(SAMPLE, least_count=1)).collect()}
+    assert [d for d, x in sorted(found.items()) if x == L.UNDETERMINED] == [1, 4, 5]
+
+
+def test_long_texts_are_drawn_in_part_and_languages_are_bounded(docs):
+    rows = [(i, ("lang alone words " * 3000), None, None) for i in range(9)]
+    table = docs(rows).drop("lang").selectExpr("doc_id", "text", "'xx' AS lang")
+    sample = L.training_sample(table)
+    assert sample and {len(t) for t, _ in sample} == {L.MAX_DOC_CHARS}
+    many = docs(rows).drop("lang").selectExpr("doc_id", "text", "cast(doc_id as string) AS lang")
+    with pytest.raises(ValueError, match="languages"):
+        L.training_sample(many, max_langs=3)

@@ -48,5 +48,29 @@ def test_an_edit_encodes_its_surroundings_only():
     assert tree.total == len(encode(after)) and again < 8 * T.LEAF_CHARS
 
 
+def test_text_without_spaces_has_leaves_too():
+    encode = T.encoding(T.VOCABULARY).encode_ordinary
+    r = random.Random(4)
+    for text in (
+        "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/") for _ in range(40_000)),
+        "".join(r.choice("function(){return}[];x=1,'s'") for _ in range(40_000)),
+        "".join(r.choice("\u4e2d\u6587\u5b57\u7b26\u4e32") + r.choice(["", "", "", "\uff0c", "\u3002", "2024"]) for _ in range(20_000)),
+        "".join(r.choice("\u0e01\u0e02\u0e32\u0e41\u0e19\u0e48") + r.choice(["", "", "", "7"]) for _ in range(20_000)),
+    ):
+        tree = T.build(text, encode)
+        assert tree.total == len(encode(text)) and tree.leaves > len(text) / 600
+        after, again = T.edit(text, tree, len(text) // 2, 9, "edit", encode)
+        assert tree.total == len(encode(after)) and again < 8 * T.LEAF_CHARS
+
+
+def test_cuts_are_safe_in_any_text():
+    encode = T.encoding(T.VOCABULARY).encode_ordinary
+    r = random.Random(14)
+    bits = [*"aZ09'-_\u00e9\u00d7\u00f7 \n\t.\u4e2d\u3042\uff0c\u0e19\u0e48\u00bd\u2460\u4e00", "'s", "'ll", "'re", "  ", "''"]
+    for _ in range(400):
+        text = "".join(r.choice(bits) for _ in range(r.randint(1, 80)))
+        assert T.build(text, encode, leaf_chars=1).total == len(encode(text))
+
+
 def test_edges(spark):
     assert T.token_trees(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -152,3 +152,26 @@ GREEK = {
     "mu": "µ", "Omega": "Ω", "omega": "ω", "deg": "°", "circ": "°", "times": "×", "cdot": "·", "pm": "±",
     "approx": "≈", "leq": "≤", "geq": "≥", "le": "≤", "ge": "≥",
 }
+
+# --- fixed values: page numbers as they are printed ------------------------------------------------------
+PAGE_FOOTER = r"(?i)^\s*(page\s+)?\d+\s*(of|/)\s*\d+\s*$"
+PRINTED_PAGE = r"(?i)^\s*page\s+(\d+)(?:\s+of\s+\d+)?\s*$"
+
+
+# --- fixed values: words that name no area; letter numbers, dates and types of registered documents -------
+AREA_STOP_WORDS = ("and", "the", "of", "for", "amp", "protection", "general", "information")
+LETTERHEAD_CHARS = 1200
+LETTERHEAD_DATE = r"(?i)\bDate[d]?\s*[:\-]\s*(\d{1,2})[.\-/](\d{1,2})[.\-/](\d{4})"
+LETTER_NUMBERS = (
+    r"(?i)\b(MC[/\-][A-Za-z0-9/\-\.]{2,30})",
+    r"(?i)\b(VB\s*/\s*SMI\s*/\s*[A-Z]\s*/\s*\d+)",
+    r"(?i)\b(IRCAMTECH/[A-Za-z0-9/\-\.&]{3,40})",
+    r"(?i)\bNo\.?\s*[:\-]?\s*(I\s*C\s*F/[A-Za-z0-9/\-\.'\s]{4,40})",
+    r"\bNo\.?\s*[:\-]?\s*([A-Z][A-Za-z0-9]*(?:[/\-][A-Za-z0-9\.]+){2,})",
+)
+FILENAME_SMI, FILENAME_CAI = r"(?i)VB[_\s]*SMI[_\s]*([A-Z])[_\s]*(\d{1,2})", r"(?i)\bCAI\s*([AB])[\s\-]*(\d{4})[\-/](\d{1,2})"
+DOC_TYPES = (
+    ("coach_alteration_instruction", r"\bCAI\b"),
+    ("special_maintenance_instruction", r"\bSMI\b|VB[_/]SMI"),
+    ("report", r"\breport\b|guidelines?"),
+)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscan.functions import fixed
+from folioscan.functions import fixed, rules
 
 
 def col(c: Column | str) -> Column:
@@ -192,3 +192,51 @@ def url_path(path: Column | str) -> Column:
 
 def thread_title(text: Column | str, limit: int = 60) -> Column:
     return F.substring(whitespace_folded(text), 1, limit)
+
+
+def page_footer(line: Column | str) -> Column:
+    """Whether a line is nothing but 'page n of m' or 'n / m'."""
+    return empty(line).rlike(fixed.PAGE_FOOTER)
+
+
+def printed_page(line: Column | str) -> Column:
+    """The number in a line that is nothing but 'page n' or 'page n of m', else null."""
+    return F.regexp_extract(empty(line), fixed.PRINTED_PAGE, 1).try_cast("int")
+
+
+DOC_TYPES = fixed.DOC_TYPES
+
+
+def classified(text: Column | str, table: tuple[tuple[str, str], ...], default: str) -> Column:
+    """The first name of the table whose pattern the text has, in any case; else the default."""
+    return F.coalesce(*(F.when(empty(text).rlike(f"(?i){p}"), F.lit(name)) for name, p in table), F.lit(default))
+
+
+def letterhead_date(text: Column | str) -> Column:
+    """ISO date of the letterhead's date field (valid day and month, 2000-2035), else ''."""
+    head = F.substring(empty(text), 1, fixed.LETTERHEAD_CHARS)
+    day, month, year = (F.regexp_extract(head, fixed.LETTERHEAD_DATE, g).try_cast("int") for g in (1, 2, 3))
+    good = day.between(1, 31) & month.between(1, 12) & year.between(2000, 2035)
+    return F.when(good, F.format_string("%04d-%02d-%02d", year, month, day)).otherwise("")
+
+
+def letter_of_text(text: Column | str) -> Column:
+    """The letter number of a letterhead by the first of the known forms, else ''."""
+    head = F.substring(empty(text), 1, fixed.LETTERHEAD_CHARS)
+    found = F.coalesce(*(F.nullif(F.regexp_extract(head, p, 1), F.lit("")) for p in fixed.LETTER_NUMBERS), F.lit(""))
+    return F.trim(whitespace_folded(found), F.lit(" .,;:"))
+
+
+def letter_of_filename(name: Column | str) -> Column:
+    """The letter number that a file name holds, in its printed form, else ''."""
+    part = lambda p, g: F.regexp_extract(empty(name), p, g)
+    two = lambda x: F.lpad(x, 2, "0")
+    smi = F.concat(F.lit("VB/SMI/"), F.upper(part(fixed.FILENAME_SMI, 1)), F.lit("/"), two(part(fixed.FILENAME_SMI, 2)))
+    cai = F.concat(F.lit("CAI "), F.upper(part(fixed.FILENAME_CAI, 1)), F.lit("-"), part(fixed.FILENAME_CAI, 2), F.lit("/"), two(part(fixed.FILENAME_CAI, 3)))
+    return F.when(empty(name).rlike(fixed.FILENAME_SMI), smi).when(empty(name).rlike(fixed.FILENAME_CAI), cai).otherwise("")
+
+
+def title_of_text(text: Column | str, fallback: Column | str) -> Column:
+    """The subject line without marks, if it has 8 to 160 characters, else the fallback."""
+    subject = F.trim(whitespace_folded(F.regexp_replace(F.regexp_extract(empty(text), rules.SUBJECT, 1), r"[*_`]", "")), F.lit(" .:-"))
+    return F.when(F.char_length(subject).between(8, 160), subject).otherwise(col(fallback))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.functions.text import empty
+from folioscan.functions.text import empty, value_in_context
+from folioscan.operators.guards import values_guard
 
 
 def first_relevant(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
@@ -58,3 +59,23 @@ def draft_cases(feedback: DataFrame, seen: DataFrame | None = None, also_up: boo
     )
     first = drafts.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("notes", "question"))).where("_n = 1").drop("_n")
     return first.join(seen.select("id"), "id", "left_anti") if seen is not None else first
+
+
+def all_metrics(cases: DataFrame) -> DataFrame:
+    """One row: cases, recall, mrr, value_retrieved, guard, absence, ctx_chars_mean; shares are 0 without a case.
+
+    cases: case_id, gold, wrong, context, expect_absent, best_rank. A value is retrieved if the
+    squeezed context holds it. The guard is right if of an answer with the gold and a wrong
+    value the first stays and the second goes; on absence cases, if the wrong value goes.
+    """
+    absent = F.coalesce("expect_absent", F.lit(False))
+    answer = F.when(absent, F.concat(F.lit("The specified value is "), "wrong", F.lit("."))).otherwise(F.concat(F.lit("The correct value is "), "gold", F.lit(". An incorrect claim would be "), "wrong", F.lit(".")))
+    rows = cases.select(absent.alias("absent"), "best_rank", "gold", "wrong", F.char_length(empty("context")).alias("chars"), value_in_context("gold", "context").alias("got"), values_guard(answer, "context")["clean"].alias("clean"))
+    gone, kept = ~value_in_context("wrong", "clean"), value_in_context("gold", "clean")
+    scored, held = ~F.col("absent"), ~F.col("absent") & F.col("got")
+    share = lambda part, of: F.round(F.coalesce(F.count(F.when(of & part, 1)) / F.nullif(F.count(F.when(of, 1)), F.lit(0)), F.lit(0.0)), 6)
+    mrr = F.coalesce(F.sum(F.when(scored, 1 / F.col("best_rank"))) / F.nullif(F.count(F.when(scored, 1)), F.lit(0)), F.lit(0.0))
+    return rows.agg(
+        F.count(F.lit(1)).alias("cases"), share(F.col("best_rank").isNotNull(), scored).alias("recall"), F.round(mrr, 6).alias("mrr"), share(F.col("got"), scored).alias("value_retrieved"),
+        share(gone & kept, held).alias("guard"), share(gone, F.col("absent")).alias("absence"), F.round(F.avg("chars"), 6).alias("ctx_chars_mean"),
+    )

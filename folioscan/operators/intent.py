@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -90,14 +91,32 @@ def rewritten(text: Column | str) -> Column:
     return reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), lexicon_values.MIXED_PHRASES, low)
 
 
-def retrieval_text(queries: DataFrame, lexicon: DataFrame, mixed: DataFrame, id_col: str, text: str) -> DataFrame:
-    """query_id, full: the question expanded by the lexicon, then its rewritten form with the mixed lexicon's words."""
-    first = expand(queries, lexicon, id_col, text)
+def enriched(queries: DataFrame, mixed: DataFrame, id_col: str, text: str) -> DataFrame:
+    """query_id, enriched: the question's rewritten form, then what its words mean by the mixed lexicon (term, expansion)."""
     own = queries.select(F.col(id_col).alias("query_id"), F.col(text).alias("text"))
     plain = F.array_join(F.filter(F.split(F.lower(empty("text")), r"\s+"), lambda w: w != ""), " ")
     added = expand(own, mixed, "query_id", "text").join(own.select("query_id", plain.alias("plain"), rewritten("text").alias("rewritten")), "query_id")
-    second = added.select("query_id", F.concat("rewritten", F.substr("expanded", F.char_length("plain") + 1)).alias("second"))
-    return first.join(second, "query_id").select("query_id", F.concat_ws(" ", "expanded", "second").alias("full"))
+    return added.select("query_id", F.concat("rewritten", F.substr("expanded", F.char_length("plain") + 1)).alias("enriched"))
+
+
+def retrieval_text(queries: DataFrame, lexicon: DataFrame, mixed: DataFrame, id_col: str, text: str) -> DataFrame:
+    """query_id, full: the question expanded by the lexicon, then its rewritten form with the mixed lexicon's words."""
+    first, second = expand(queries, lexicon, id_col, text), enriched(queries, mixed, id_col, text)
+    return first.join(second, "query_id").select("query_id", F.concat_ws(" ", "expanded", "enriched").alias("full"))
+
+
+def area_words(areas: tuple[tuple[str, str, tuple[str, ...]], ...]) -> dict[str, list[str]]:
+    """The words that name each area (id, label, parts): its id, and words of three letters of its label and parts."""
+    named = {}
+    for area, label, parts in areas:
+        found = [w for source in (label, *parts) for w in re.findall("[a-z]{3,}", source.lower()) if w not in fixed.AREA_STOP_WORDS]
+        named[area] = list(dict.fromkeys([area.replace("-", " "), *found]))
+    return named
+
+
+def asked_area(text: Column | str, named: dict[str, list[str]]) -> Column:
+    """The first area, in the given order, of which a word stands in the question as a whole; else null."""
+    return first_pattern(text, {area: r"\b(?:" + "|".join(map(re.escape, found)) + r")\b" for area, found in named.items()})
 
 
 def refolded(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -103,6 +103,30 @@ def carried_headers(tables: DataFrame, doc: str, order: str, page: str, header:
     return rows.withColumn("used_header", F.coalesce(led, F.col(header))).drop("_n", "_good", "_break", "_run")
 
 
+def header_names(header: Column | str) -> Column:
+    """The distinct labels of a header row that name something, without marks and white space."""
+    named = F.filter(markdown_cells(header), lambda c: (F.trim(F.regexp_replace(c, r"\*+", "")) != "") & ~F.trim(F.regexp_replace(c, r"\*+", "")).rlike(r"^Col\d+$"))
+    return F.array_distinct(F.filter(F.transform(named, lambda c: F.lower(F.regexp_replace(c, r"[\s|*_`]+", ""))), lambda c: c != ""))
+
+
+def carried_labels(tables: DataFrame, doc: str, order: str, page: str, header: str, label: str) -> DataFrame:
+    """tables with `carried_label`: the group label still open where a table goes on from the one before, else ''.
+
+    label: the last group label inside each table, null if it has none. A table goes on from
+    the one before it if no page lies between and their headers share three names, or half
+    of the shorter header's. An open label passes through tables without one.
+    """
+    own = Window.partitionBy(doc).orderBy(page, order)
+    rows = tables.withColumn("_names", header_names(header))
+    names, before = F.col("_names"), F.lag("_names").over(own)
+    shared = F.size(F.array_intersect(names, before))
+    goes_on = (F.col(page) - F.lag(page).over(own) <= 1) & (F.size(names) > 0) & (F.size(before) > 0) & ((shared >= 3) | (shared >= F.least(F.size(names), F.size(before)) * 0.5))
+    rows = rows.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+    rows = rows.withColumn("_run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(doc, "_run").orderBy(page, order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("carried_label", F.coalesce(F.last(label, True).over(run), F.lit(""))).drop("_names", "_new", "_run")
+
+
 def group_label(row: Column | str) -> Column:
     """The one text that all filled cells of a spanning row repeat, else ''."""
     cells = F.transform(markdown_cells(row), lambda c: whitespace_folded(F.regexp_replace(F.regexp_replace(c, r"\*+", ""), r"\s*<br>\s*", " ")))
@@ -177,3 +201,24 @@ def drawing_items(index: DataFrame, groups: DataFrame) -> DataFrame:
     rows = listed.join(groups, "gid").withColumn("exact", F.size("items") == F.col("high") - F.col("low") + 1)
     rows = rows.select("gid", "low", "exact", F.posexplode("items").alias("k", "item"))
     return rows.select("gid", F.regexp_extract("item", r"^(\d+)", 1).cast("int").alias("number"), F.trim(F.regexp_extract("item", r"^\d+\.\s+(.+)$", 1)).alias("name"), F.when(F.col("exact"), F.col("low") + F.col("k")).otherwise(F.col("low")).alias("page"), "exact")
+
+
+def read_sections(pages: DataFrame, native: str, read: str, title: str, page: str) -> DataFrame:
+    """pages with `text` and `section`, of documents whose native text isn't to be trusted: one section per page.
+
+    What was read from the page's image comes first, native text only where nothing was read;
+    pages without either go.
+    """
+    text = F.coalesce(F.nullif(F.col(read), F.lit("")), whitespace_folded(native))
+    rows = pages.withColumn("text", text).where("text <> ''")
+    return rows.withColumn("section", subject_title("text", title, page))
+
+
+def per_page(sections: DataFrame, pages: DataFrame, doc: str, least_sections: int = 3, least_pages: int = 4) -> DataFrame:
+    """doc of the documents whose headings failed: fewer than least_sections sections on least_pages pages or more.
+
+    sections: doc, section_no; pages: doc, page. A document without any section counts too.
+    """
+    found = sections.groupBy(doc).agg(F.countDistinct("section_no").alias("_sections"))
+    sizes = pages.groupBy(doc).agg(F.countDistinct("page").alias("_pages"))
+    return sizes.join(found, doc, "left").where((F.coalesce("_sections", F.lit(0)) < least_sections) & (F.col("_pages") >= least_pages)).select(doc)

@@ -99,3 +99,13 @@ def histogram(rows: DataFrame, value: Column, most: int = 25) -> DataFrame:
 def missing_vectors(chunks: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     """Distinct keys of chunks without a cached vector."""
     return chunks.select(key).distinct().join(cache.select(key), key, "left_anti")
+
+
+def system_canaries(chunks: DataFrame, system: str, text: str, wanted: tuple[tuple[str, str, str], ...]) -> DataFrame:
+    """system, canary, matches of the wanted (system, canary, pattern): counted in the system's own chunks, in one pass.
+
+    A canary of a system that the corpus doesn't have is inactive: its matches are null.
+    """
+    own = lambda s: F.col(system) == s
+    one = chunks.agg(*(F.sum(F.when(own(s), F.regexp_count(empty(text), F.lit(p)))).cast("long").alias(f"c{i}") for i, (s, _, p) in enumerate(wanted)))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(s).alias("system"), F.lit(name).alias("canary"), F.col(f"c{i}").alias("matches")) for i, (s, name, _) in enumerate(wanted)))).alias("x")).select("x.*")

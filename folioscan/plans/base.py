@@ -21,6 +21,20 @@ class Tables:
         return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
 
 
+class Shared:
+    """Input columns made from a driver table by expressions that Spark and plain SQL read alike."""
+
+    def __init__(self, table: str, **columns: str):
+        self._table, self._columns = table, columns
+
+    @property
+    def sql(self) -> str:
+        return f"SELECT {', '.join(f'{e} AS {name}' for name, e in self._columns.items())} FROM {self._table}"
+
+    def of(self, t: Tables) -> DataFrame:
+        return getattr(t, self._table).selectExpr(*(f"{e} AS {name}" for name, e in self._columns.items()))
+
+
 def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Query]:
     """Registers a function of the tables under its name; sql: the same result in SQL."""
 

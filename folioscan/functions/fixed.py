@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # --- fixed values: retrieval -----------------------------------------------------------------
 TOP_K_SEMANTIC, TOP_K_FINAL, TOP_K_ENUMERATE = 60, 8, 20
 SEMANTIC_WEIGHT, KEYWORD_WEIGHT = 0.55, 0.45
@@ -112,6 +114,13 @@ UNITS = (
     "khz", "mhz", "hz", "kohm", "mohm", "ohm", "Ω", "mm²", "sqmm", "µm", "um", "mm", "cm", "km", "m", "kg", "g", "t",
     "°c", "℃", "degc", "ms", "µs", "sec", "s", "min", "hr", "h", "rpm", "%", "lpm",
 )
+_NUMBER = r"\d+(?:[.,]\d+)?"
+VALUE = (
+    rf"(?P<val>(?:±\s*)?{_NUMBER}(?:\s*(?:±|\+/-|to|–|—|~|-)\s*{_NUMBER})?\s*"
+    rf"(?:{'|'.join(re.escape(u) for u in sorted(UNITS, key=len, reverse=True))}))(?![A-Za-z0-9µ])"
+)
+VALUE_RANGE = r"([\d.]+)-([\d.]+)([a-zµ°℃%²Ω]+)"
+SENTENCE_END = r"(?<=[.!?])\s+|\n+"
 FAULT_CODE = r"(?:fault|error|failure|trip|alarm|display)\s*code[s]?\s*(?:no\.?|number|[:#\-])?\s*(?P<code>[A-Za-z]?\d{1,4}(?:\.\d+)?)"
 PART_NUMBER = r"\b(?=[A-Za-z0-9][A-Za-z0-9/\-]{3,})(?=[A-Za-z0-9/\-]*[A-Za-z])(?=[A-Za-z0-9/\-]*\d)[A-Za-z0-9]+(?:[/\-][A-Za-z0-9]+)*\b"
 SCHEDULE_NAME = r"^(?:ss[-\s]?(?:1|2|3|i{1,3})|poh|ioh|aoh|toh|d[-\s]?[123](?:[-\s]?d?[123])?|\d{1,2}[-\s]?m(?:onthly)?|ss\d?/\d+m?)$"
@@ -175,3 +184,21 @@ DOC_TYPES = (
     ("special_maintenance_instruction", r"\bSMI\b|VB[_/]SMI"),
     ("report", r"\breport\b|guidelines?"),
 )
+
+# --- fixed values: dates in file names (pattern, groups of year, month and day) ---------------------------------
+FILENAME_DATES = (
+    (r"(20\d{2})[_\-](\d{2})[_\-](\d{2})", 1, 2, 3),
+    (r"\b(\d{2})[_\-](\d{2})[_\-](20\d{2})", 3, 2, 1),
+    (r"(\d{2})\.(\d{2})\.(20\d{2})", 3, 2, 1),
+    (r"\b(\d{2})(\d{2})(20\d{2})\b", 3, 2, 1),
+)
+FILENAME_YEAR = r"\b(20\d{2})\b"
+
+# --- fixed values: parts of an answer and marks that a voice leaves out, in this order -------------------------
+DIRECT_ANSWER, STEPS = "**Direct Answer:**", "**Step-by-step Action:**"
+DIRECT_PART = r"(?s)\*\*Direct Answer:\*\*\s*(.*?)(?:\*\*Step|$)"
+STEPS_PART = r"(?s)\*\*Step-by-step Action:\*\*\s*(.*?)(?:\*\*Safety|\*\*Reference|---|\n📚|$)"
+SPOKEN_PASSES = (
+    (r"\*\*([^*]+)\*\*", "$1"), (r"#{1,3}\s*", ""), (r"\[Source.*?\]", ""), (r"(?s)---.*$", ""), (r"(?s)📚.*$", ""),
+    (r"\n\s*\d+\.\s*", ". "), (r"\n\s*[-→✔]\s*", ". "), (r"[*_`~]", ""),
+)

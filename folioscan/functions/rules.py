@@ -67,6 +67,7 @@ EQUIPMENT_COLUMN = r"(?i)equipment|sub-?\s*assy|sub-?assembly"
 
 # --- fixed values: words that say nothing about a row ---------------------------------------------
 SNIPPET_STOP_WORDS = "the and for with kya hai hona chahiye kitna kitne kaise mein kar ka ke ki me per are what how much should vande bharat".split()
+TABLE_LEAD, TABLE_RULE, LINE_END = r"^Table —.*:$", r"^\|?[\s|:-]*$", r"\r\n|[\n\r\x0B\f]"
 NUMBER_WITH_UNIT = r"[0-9]+(?:\.[0-9]+)?\s*[A-Za-z%°/]"
 
 # --- fixed values: names of an answer's parts ---------------------------------------------------------

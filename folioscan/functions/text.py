@@ -104,15 +104,11 @@ def spoken(text: Column | str, limit: int = 800) -> Column:
     """Markdown reduced to what is read aloud: the direct answer, without marks, at most `limit` characters."""
     text = empty(text)
     bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    direct = F.regexp_extract(text, r"(?s)\*\*Direct Answer:\*\*\s*(.*?)(?:\*\*Step|$)", 1)
-    chosen = F.when(text.contains("**Direct Answer:**"), bare(direct)).otherwise(text)
-    steps = bare(F.regexp_extract(text, r"(?s)\*\*Step-by-step Action:\*\*\s*(.*?)(?:\*\*Safety|\*\*Reference|---|\n📚|$)", 1))
-    chosen = F.when((F.length(chosen) < 50) & text.contains("**Step-by-step Action:**"), F.concat(chosen, F.lit(". "), steps)).otherwise(chosen)
-    passes = (
-        (r"\*\*([^*]+)\*\*", "$1"), (r"#{1,3}\s*", ""), (r"\[Source.*?\]", ""), (r"(?s)---.*$", ""), (r"(?s)📚.*$", ""),
-        (r"\n\s*\d+\.\s*", ". "), (r"\n\s*[-→✔]\s*", ". "), (r"[*_`~]", ""),
-    )
-    clean = whitespace_folded(reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), passes, chosen))
+    direct = F.regexp_extract(text, fixed.DIRECT_PART, 1)
+    chosen = F.when(text.contains(fixed.DIRECT_ANSWER), bare(direct)).otherwise(text)
+    steps = bare(F.regexp_extract(text, fixed.STEPS_PART, 1))
+    chosen = F.when((F.length(chosen) < 50) & text.contains(fixed.STEPS), F.concat(chosen, F.lit(". "), steps)).otherwise(chosen)
+    clean = whitespace_folded(reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), fixed.SPOKEN_PASSES, chosen))
     return F.when(F.length(clean) > limit, F.concat(F.substring(clean, 1, limit), F.lit("."))).otherwise(clean)
 
 
@@ -130,13 +126,7 @@ def filename_date(name: Column | str) -> Column:
         good = day.between(1, 31) & month.between(1, 12) & year.between(2000, 2035)
         return F.when(good, F.format_string("%04d-%02d-%02d", year, month, day))
 
-    return F.coalesce(
-        iso(r"(20\d{2})[_\-](\d{2})[_\-](\d{2})", 1, 2, 3),
-        iso(r"\b(\d{2})[_\-](\d{2})[_\-](20\d{2})", 3, 2, 1),
-        iso(r"(\d{2})\.(\d{2})\.(20\d{2})", 3, 2, 1),
-        iso(r"\b(\d{2})(\d{2})(20\d{2})\b", 3, 2, 1),
-        F.regexp_extract(name, r"\b(20\d{2})\b", 1),
-    )
+    return F.coalesce(*(iso(*layout) for layout in fixed.FILENAME_DATES), F.regexp_extract(name, fixed.FILENAME_YEAR, 1))
 
 
 def document_slug(name: Column | str, prefix: str = "", limit: int = 60) -> Column:

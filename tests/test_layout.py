@@ -67,10 +67,29 @@ def test_tags(spark):
     assert got[4].x == ["HOUSE"] and len(got[5].x) <= rules.MAX_TAGS
 
 
-def test_snippet_keeps_the_rows_that_matter():
-    table = "Table — Bolts:\n|Item|Torque|\n|---|---|\n" + "\n".join(f"|filler row {i} of link|text|" for i in range(40)) + "\n|stabilizer link|85 Nm|"
-    assert "85 Nm" in P.snippet(table, "stabilizer link torque", 120) and len(P.snippet(table, "stabilizer link torque", 120)) <= 120
-    assert P.snippet("Table — x:\n|---|", "q", 50).startswith("Table") and P.snippet(None, None, 10) == ""
+def best_rows(text, query, budget):
+    """Rows within the budget by brute force over the order of their worth."""
+    lines = [x.strip() for x in (text or "").split("\n")]
+    rule = lambda x: not x.strip("|:- ")
+    rows = [x for x, y in zip(lines, [*lines[1:], ""], strict=True) if not rule(x) and not (x.startswith("Table —") and x.endswith(":")) and not (x[0] == "|" and y and rule(y))]
+    rows = [" ".join(x.replace("▸", "").replace("<br>", " ").replace("|", " ").split()) for x in rows]
+    terms = {w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split() if len(w) >= 3} - set(rules.SNIPPET_STOP_WORDS)
+    worth = lambda r: (n := sum(t in r.lower() for t in terms)) and n + any(a[:1].isdigit() and b[:1].isalpha() for a, b in zip(r.split(), [*r.split()[1:], ""], strict=True)) / 2
+    left, taken = budget, set()
+    for i in sorted(range(len(rows)), key=lambda i: (-worth(rows[i]), i)):
+        if terms and left > 0 and (not taken or len(rows[i]) + 1 <= left):
+            taken.add(i)
+            left -= len(rows[i]) + 1
+    return " ".join(rows[i] for i in range(len(rows)) if i in taken or not terms)[:budget] or " ".join((text or "").split())[:budget]
+
+
+def test_snippets_keep_the_rows_that_matter(spark):
+    table = "Table — Bolts:\n|Item|Torque|\n|---|---|\n" + "\n".join(f"|filler row {i} of link|text|" for i in range(40)) + "\n|▸ group<br>x||\n|stabilizer link|85 Nm|"
+    rows = [(t, q, n) for t in (table, "Table — x:\n|---|", "one line\n\nan other line with 5 mm\n  third  ", "x" * 500 + "\nshort link") for q in ("stabilizer link torque", "what is the", "line 5 mm", "") for n in (20, 50, 120, 5000)]
+    df = spark.createDataFrame([*rows, (None, None, 10)], "t string, q string, n int")
+    got = [r.s for r in df.select(P.snippets("t", "q", F.col("n")).alias("s")).collect()]
+    assert got == [*(best_rows(t, q, n) for t, q, n in rows), ""]
+    assert "85 Nm" in got[2] and all(len(s) <= n for s, (_, _, n) in zip(got, rows, strict=False))
 
 
 def test_answer_parts_and_json(spark):

@@ -283,3 +283,22 @@ def manual_tags(t: Tables) -> DataFrame:
     """Tags and maker of sentences from manuals, one for each part."""
     maker = G.chunk_maker("text", F.lit("WSP"), F.lit(None).cast("string"))
     return _MANUALS.of(t).select(F.col("p_partkey").alias("doc_id"), F.array_join(G.tags("text", "source", F.lit("WSP"), maker), ",").alias("tags"), maker.alias("maker"))
+
+
+def _documents(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """sections, blocks and register of the web pages: heading lines open sections, each third line with a digit is a table row."""
+    lines = K.section_numbers(L.html_lines(t.pages), "page_id", F.col("heading"), "place").withColumnRenamed("page_id", "doc_id")
+    sections = lines.groupBy("doc_id", "section_no").agg(F.max(F.coalesce("section", F.lit(""))).alias("section"), (F.min("place") / 40).cast("int").alias("page_start")).withColumn("section_num", F.regexp_extract("section", r"^\d+(?:\.\d+)*", 0))
+    row = F.concat(F.lit("|Line|Text|\n|---|---|\n|"), F.col("place").cast("string"), F.lit("|"), "text", F.lit("|"))
+    table = (F.col("place") % 3 == 0) & F.col("text").rlike("[0-9]")
+    blocks = lines.where("not heading").select("doc_id", "section_no", "place", F.when(table, "table").otherwise("text").alias("type"), F.when(table, row).otherwise(F.col("text")).alias("text"), (F.col("place") / 40).cast("int").alias("page"), F.lit(None).cast("int").alias("table_index"))
+    register = t.pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("source"), F.when(F.col("page_id") % 2 == 0, "Web manual").otherwise("").alias("context_header"), F.when(F.col("page_id") % 3 == 0, "WSP").otherwise("").alias("system"))
+    return sections, blocks, register
+
+
+@query()
+def chunked_documents(t: Tables) -> DataFrame:
+    """All web pages as chunk rows (tests hold this to a plain walk over each page)."""
+    from folioscan.operators.documents import chunk_documents
+
+    return chunk_documents(*_documents(t)).select("chunk_id", "doc_id", "section", "section_path", "page_num", "chunk_index", "total_chunks_in_section", "chunk_type", "table_id", F.array_join("tags", ",").alias("tags"), "text", "char_count")

@@ -14,7 +14,11 @@ def first_relevant(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
 
     cases: case_id, expect_doc (array), expect_absent; retrieved: case_id, rank, doc_id.
     """
-    wanted = cases.select("case_id", F.explode("expect_doc").alias("doc_id")).distinct()
+    return best_ranks(cases, cases.select("case_id", F.explode("expect_doc").alias("doc_id")).distinct(), retrieved)
+
+
+def best_ranks(cases: DataFrame, wanted: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """cases with `best_rank`, from accepted documents as rows wanted(case_id, doc_id): no case's documents are gathered."""
     best = wanted.join(retrieved, ["case_id", "doc_id"]).groupBy("case_id").agg(F.min("rank").alias("best_rank"))
     return cases.join(best, "case_id", "left")
 

@@ -230,3 +230,18 @@ def title_of_text(text: Column | str, fallback: Column | str) -> Column:
     """The subject line without marks, if it has 8 to 160 characters, else the fallback."""
     subject = F.trim(whitespace_folded(F.regexp_replace(F.regexp_extract(empty(text), rules.SUBJECT, 1), r"[*_`]", "")), F.lit(" .:-"))
     return F.when(F.char_length(subject).between(8, 160), subject).otherwise(col(fallback))
+
+
+def blob_key(path: Column | str) -> Column:
+    """The key of a document in an object store: its path with forward slashes."""
+    return F.replace(empty(path), F.lit("\\"), F.lit("/"))
+
+
+def download_url(base: str, path: Column | str) -> Column:
+    """The address of a document, '' without a base."""
+    return F.concat(F.lit(f"{base}/"), url_path(blob_key(path))) if base else F.lit("")
+
+
+def value_bearing(text: Column | str) -> Column:
+    """Whether a text holds a digit: what cases about values are drawn from."""
+    return empty(text).rlike("[0-9]")

@@ -140,3 +140,11 @@ def recent_history(turns: DataFrame, pairs: int = 4, conv: str = "conv_id", turn
     """The last 2 * pairs turns of each conversation that have text and one of the two speaking roles."""
     spoken = turns.where(col(role).isin("user", "assistant") & (F.trim(text) != ""))
     return spoken.withColumn("back", F.row_number().over(Window.partitionBy(conv).orderBy(F.desc(turn)))).where(F.col("back") <= 2 * pairs)
+
+
+def retried(turns: DataFrame, failed: Column, conv: str = "conv_id", turn: str = "turn", role: str = "role") -> DataFrame:
+    """turns without failed answers and the questions right before them, as a retry asks them again."""
+    own = Window.partitionBy(conv).orderBy(turn)
+    rows = turns.withColumn("_failed", (F.col(role) == "assistant") & F.coalesce(failed, F.lit(False)))
+    asked = (F.col(role) == "user") & F.coalesce(F.lead("_failed").over(own), F.lit(False))
+    return rows.withColumn("_asked", asked).where("not _failed and not _asked").drop("_failed", "_asked")

@@ -222,3 +222,29 @@ def per_page(sections: DataFrame, pages: DataFrame, doc: str, least_sections: in
     found = sections.groupBy(doc).agg(F.countDistinct("section_no").alias("_sections"))
     sizes = pages.groupBy(doc).agg(F.countDistinct("page").alias("_pages"))
     return sizes.join(found, doc, "left").where((F.coalesce("_sections", F.lit(0)) < least_sections) & (F.col("_pages") >= least_pages)).select(doc)
+
+
+def _filled(row: Column | str) -> Column:
+    return F.filter(markdown_cells(row), lambda c: F.trim(F.regexp_replace(c, r"\*+", "")) != "")
+
+
+def label_row(row: Column | str) -> Column:
+    """Whether a row names columns: no filled cell is longer than 60 characters, and half of them are bold."""
+    cells = _filled(row)
+    longest = F.array_max(F.transform(cells, lambda c: F.char_length(F.trim(F.regexp_replace(c, r"\*+", "")))))
+    bold = F.size(F.filter(cells, lambda c: c.startswith("**")))
+    return (F.size(cells) > 0) & (longest <= 60) & (bold >= F.greatest(F.lit(1), F.floor(F.size(cells) / 2)))
+
+
+def running_row(row: Column | str, repeated: Column | str) -> Column:
+    """Whether a row is one of the repeated lines of its document (array) spread over the columns."""
+    flat = lambda c: F.lower(F.regexp_replace(c, r"[\s|*_`]+", ""))
+    joined = flat(F.array_join(F.filter(_filled(row), lambda c: ~F.trim(F.regexp_replace(c, r"\*+", "")).rlike(r"^Col\d+$")), ""))
+    lines = F.filter(F.transform(F.col(repeated) if isinstance(repeated, str) else repeated, flat), lambda x: F.char_length(x) >= 12)
+    return (F.char_length(joined) >= 12) & F.exists(lines, lambda x: F.contains(joined, x) | F.contains(x, joined))
+
+
+def repaired_headers(tables: DataFrame, header: str, first_row: str) -> DataFrame:
+    """tables with `repaired` and `row_used`: the header with the labels of the first row, where that row names columns."""
+    folded = F.when(label_row(first_row), folded_header(header, first_row)).otherwise(empty(header))
+    return tables.withColumn("repaired", folded).withColumn("row_used", folded != empty(header))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -51,23 +52,33 @@ def fill_cache(chunks: DataFrame, cache: DataFrame, key: str, text: str, embedde
     return cache.select(key, "embedding").unionByName(embedded(missing, key, text, embedder))
 
 
-def answered(prompts: DataFrame, chain: list[tuple[str, Generator]], key: str, prompt: str) -> DataFrame:
+def answered(prompts: DataFrame, chain: list[tuple[str, Generator]], key: str, prompt: str, deadline: float | None = None, cooldown: Callable[[Exception], float] | None = None) -> DataFrame:
     """key, provider, answer, attempts: providers in turn until one answers; errors and blanks go on.
 
-    attempts: array<struct<provider, status>> with 'ok', 'empty' or 'error'.
+    attempts: array<struct<provider, status>> with 'ok', 'empty', 'error', 'cooling' or 'late'.
+    deadline: seconds that all providers of a prompt have together; those that it leaves no
+    time for are 'late'. cooldown: how many seconds a provider isn't asked after an error
+    (0: it is); a task remembers this by itself.
     """
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asleep: dict[str, float] = {}
         for frame in frames:
             rows = []
             for k, text in zip(frame[key], frame[prompt], strict=True):
-                attempts, answer, by = [], None, None
+                attempts, answer, by, began = [], None, None, time.monotonic()
                 for name, generate in chain:
-                    try:
-                        answer = generate(text)
-                        status = "ok" if answer and answer.strip() else "empty"
-                    except Exception:  # a provider may fail in any way; the next one is asked
-                        status = "error"
+                    now, status = time.monotonic(), "error"
+                    if deadline is not None and now - began >= deadline:
+                        status = "late"
+                    elif asleep.get(name, now) > now:
+                        status = "cooling"
+                    else:
+                        try:
+                            answer = generate(text)
+                            status = "ok" if answer and answer.strip() else "empty"
+                        except Exception as problem:  # a provider may fail in any way; the next one is asked
+                            asleep[name] = time.monotonic() + (cooldown(problem) if cooldown else 0.0)
                     attempts.append({"provider": name, "status": status})
                     if status == "ok":
                         by = name
@@ -79,6 +90,44 @@ def answered(prompts: DataFrame, chain: list[tuple[str, Generator]], key: str, p
     return prompts.select(key, prompt).mapInPandas(work, f"`{key}` {kind}, provider string, answer string, attempts array<struct<provider:string,status:string>>")
 
 
+def ladder(*readers: Callable[[bytes], str | None]) -> Callable[[bytes], str | None]:
+    """A reader that asks the given ones in turn until one gives text.
+
+    If none does, the last failure is raised, or '' is given if at least one read a blank page.
+    """
+
+    def read(image: bytes) -> str | None:
+        problem, blank = None, False
+        for reader in readers:
+            try:
+                text = reader(image)
+            except Exception as e:
+                problem = e
+                continue
+            if text and text.strip():
+                return text
+            blank = True
+        if problem is not None and not blank:
+            raise problem
+        return ""
+
+    return read
+
+
+def banded(reader: Callable[[bytes], str | None], cut: Callable[[bytes], list[bytes]]) -> Callable[[bytes], str]:
+    """A reader of a page's overlapping bands; lines that a band repeats from the one above come once."""
+
+    def read(image: bytes) -> str:
+        lines: list[str] = []
+        for band in cut(image):
+            own = [x.strip() for x in (reader(band) or "").splitlines() if x.strip()]
+            shared = next((n for n in range(min(len(lines), len(own)), 0, -1) if lines[-n:] == own[:n]), 0)
+            lines += own[shared:]
+        return "\n".join(lines)
+
+    return read
+
+
 def read_pages(pages: DataFrame, cache: DataFrame, keys: list[str], reader: Callable[[bytes], str | None], image: str = "image", failures: int = 3) -> DataFrame:
     """keys, text of pages that the cache lacks. A task stops asking after `failures` failures in a row.
 

@@ -109,3 +109,8 @@ def system_canaries(chunks: DataFrame, system: str, text: str, wanted: tuple[tup
     own = lambda s: F.col(system) == s
     one = chunks.agg(*(F.sum(F.when(own(s), F.regexp_count(empty(text), F.lit(p)))).cast("long").alias(f"c{i}") for i, (s, _, p) in enumerate(wanted)))
     return one.select(F.explode(F.array(*(F.struct(F.lit(s).alias("system"), F.lit(name).alias("canary"), F.col(f"c{i}").alias("matches")) for i, (s, name, _) in enumerate(wanted)))).alias("x")).select("x.*")
+
+
+def thin_documents(chunks: DataFrame, doc: str, section: str, least: int = 20) -> DataFrame:
+    """doc, sections of the documents with fewer than `least` different sections: their headings were probably lost."""
+    return chunks.groupBy(doc).agg(F.countDistinct(section).alias("sections")).where(F.col("sections") < least)

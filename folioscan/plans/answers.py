@@ -286,3 +286,55 @@ def heading_failures(t: Tables) -> DataFrame:
 
     sections = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("section_no"))
     return L.per_page(sections, t.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("page")), "doc")
+
+
+_PATHS = Shared("part", p_partkey="p_partkey", path="'Man uals' || chr(92) || p_type || '/' || p_name || ' ' || p_brand || '.pdf'")
+
+
+@query("SELECT p_partkey, 'https://store.example/Man%20uals/' || p_type || '/' || replace(p_name, ' ', '%20') || '%20' || replace(p_brand, '#', '%23') || '.pdf' AS url FROM part")
+def download_urls(t: Tables) -> DataFrame:
+    """Addresses of all parts' documents."""
+    return _PATHS.of(t).select("p_partkey", X.download_url("https://store.example", "path").alias("url"))
+
+
+_SENT = Shared(
+    "events", message_id="'m' || event_id", request_id="CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'r' || event_id END", rating="CASE event_id % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' ELSE event_type END", reasons="CASE WHEN event_id % 4 = 0 THEN NULL ELSE array(event_type, repeat('x', 50), 'c', 'd', 'e', 'f', 'g', 'h', 'i') END",
+    sources="array('Book p.' || event_id, repeat(event_type, 40))", note="repeat('n', CAST(event_id % 1500 AS INT))", correction="CASE WHEN event_id % 2 = 0 THEN event_type END", question="'why ' || event_id", answer="CASE WHEN event_id % 5 = 0 THEN '' ELSE repeat('a', CAST(event_id % 5000 AS INT)) END", answer_preview="'short'", provider="event_type",
+)
+
+
+@query(f"""SELECT coalesce(request_id, '') AS request_id, message_id, CASE WHEN rating IN ('up', 'down') THEN rating ELSE 'unknown' END AS rating, array_to_string(list_transform(coalesce(reasons, [])[1:8], lambda x: left(x, 40)), ', ') AS reasons, left(note, 1000) AS note,
+    coalesce(correction, '') AS correction, question, provider, left(CASE WHEN answer = '' THEN answer_preview ELSE answer END, 4000) AS answer, array_to_string(list_transform(sources, lambda x: left(x, 120)), '; ') AS sources FROM ({_SENT.sql.replace("array(", "list_value(")})""")
+def webhook_rows(t: Tables) -> DataFrame:
+    """Feedback as the rows that a sheet gets."""
+    from folioscan.sources import tables as S
+
+    return S.webhook_rows(_SENT.of(t))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(coalesce(text, ''), '[0-9]')")
+def value_chunks(t: Tables) -> DataFrame:
+    """Chunks that cases about values can be drawn from."""
+    return t.documents.where(X.value_bearing("text")).select("doc_id")
+
+
+@query("SELECT source, count(DISTINCT lang) AS sections FROM documents GROUP BY source HAVING count(DISTINCT lang) < 5")
+def thin_documents(t: Tables) -> DataFrame:
+    """Sources with few languages, as documents with few sections."""
+    return Q.thin_documents(t.documents, "source", "lang", 5)
+
+
+_RECORDS = Shared("documents", doc_id="doc_id", source="CASE WHEN doc_id % 50 = 7 THEN NULL ELSE source END", n_chars="n_chars + CASE WHEN doc_id % 60 = 8 THEN 1 ELSE 0 END", text="CASE WHEN doc_id % 70 = 9 THEN text || '\uf0b7' WHEN doc_id % 80 = 10 THEN '' ELSE text END", tags="CASE WHEN doc_id % 90 = 11 THEN NULL ELSE lang END")
+
+
+@query(f"""WITH r AS ({_RECORDS.sql}) SELECT * FROM (SELECT 'required' AS rule, count(*) FILTER (doc_id IS NULL OR source IS NULL OR text IS NULL) AS broken FROM r UNION ALL SELECT 'not_empty', count(*) FILTER (coalesce(text, '') = '') FROM r UNION ALL SELECT 'size', count(*) FILTER (coalesce(length(text), 4001) > 4000) FROM r
+    UNION ALL SELECT 'counted', count(*) FILTER (n_chars IS DISTINCT FROM length(text) OR text IS NULL) FROM r UNION ALL SELECT 'glyphs', count(*) FILTER (text IS NULL OR regexp_matches(text, '[\\x{{E000}}-\\x{{F8FF}}]')) FROM r UNION ALL SELECT 'tags', count(*) FILTER (tags IS NULL) FROM r
+    UNION ALL SELECT 'unique_key', (SELECT count(*) FROM (SELECT doc_id FROM r GROUP BY doc_id HAVING count(*) > 1)))""")
+def record_rules(t: Tables) -> DataFrame:
+    """How many documents break each rule of a knowledge base: keys, sizes, counts, glyphs, lists."""
+    text = F.col("text")
+    rules_ = {
+        "required": F.col("doc_id").isNotNull() & F.col("source").isNotNull() & text.isNotNull(), "not_empty": text != "", "size": F.char_length(text) <= 4000, "counted": F.col("n_chars") == F.char_length(text),
+        "glyphs": ~text.rlike("[\\x{E000}-\\x{F8FF}]"), "tags": F.col("tags").isNotNull(),
+    }
+    return Q.validation(_RECORDS.of(t), rules_, "doc_id")

@@ -46,10 +46,7 @@ def thread_title(t: Tables) -> DataFrame:
     SELECT conv_id, turn FROM w WHERE NOT (role = 'assistant' AND n < 400) AND NOT (role = 'user' AND next_role = 'assistant' AND next_n < 400) OR (role = 'user' AND next_role IS NULL)""")
 def retry_filter(t: Tables) -> DataFrame:
     """Turns without failed answers (here: short ones) and the questions before them."""
-    own = Window.partitionBy("conv_id").orderBy("turn")
-    rows = t.conversations.withColumn("failed", (F.col("role") == "assistant") & (F.char_length("text") < 400))
-    asked = (F.col("role") == "user") & F.coalesce(F.lead("failed").over(own), F.lit(False))
-    return rows.withColumn("asked", asked).where("not failed and not asked").select("conv_id", "turn")
+    return I.retried(t.conversations, F.char_length("text") < 400).select("conv_id", "turn")
 
 
 @query(f"""WITH w AS (SELECT conv_id, turn, list_distinct(string_split(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), ' ')), ' ')) AS ws FROM conversations)

@@ -302,3 +302,29 @@ def chunked_documents(t: Tables) -> DataFrame:
     from folioscan.operators.documents import chunk_documents
 
     return chunk_documents(*_documents(t)).select("chunk_id", "doc_id", "section", "section_path", "page_num", "chunk_index", "total_chunks_in_section", "chunk_type", "table_id", F.array_join("tags", ",").alias("tags"), "text", "char_count")
+
+
+_HEADED = Shared(
+    "part", p_partkey="p_partkey", header="CASE p_size % 2 WHEN 0 THEN '|Item|Col2|Periodicity|' ELSE '|**Item**||' || p_type || '|' END",
+    first_row="CASE p_partkey % 4 WHEN 0 THEN '|**Item no**|**' || p_brand || '**|' || p_type || '|' WHEN 1 THEN '|Part|M|' || p_type || '|' WHEN 2 THEN '|**' || repeat(p_name, 9) || '**|**M**|**Q**|' ELSE '|**A**||**' || p_name || '**|' END",
+)
+_BOLD = f"list_filter({_cells('first_row')}, lambda c: {_plain('c')} <> '')"
+
+
+@query(f"""WITH b AS (SELECT p_partkey, header, first_row, {_BOLD} AS cells FROM ({_HEADED.sql})),
+    l AS (SELECT *, len(cells) > 0 AND list_max(list_transform(cells, lambda c: length({_plain('c')}))) <= 60 AND len(list_filter(cells, lambda c: starts_with(c, '**'))) >= greatest(1, len(cells) // 2) AS labels FROM b),
+    r AS (SELECT *, list_transform({_cells("header")}, lambda x: {_plain("x")}) AS h, list_transform({_cells("first_row")}, lambda x: {_plain("x")}) AS f FROM l),
+    m AS (SELECT *, labels AND len(h) = len(f) AND len(list_filter(f, lambda x: {_NAMED.format("x")})) > len(list_filter(h, lambda x: {_NAMED.format("x")})) AS more FROM r)
+    SELECT p_partkey, labels AS label_row, CASE WHEN more THEN '|' || array_to_string(list_transform(range(1, len(h) + 1), lambda i: CASE WHEN NOT {_NAMED.format("h[i]")} OR {_within("f[i]", "h[i]")} THEN f[i] WHEN f[i] = '' OR {_within("h[i]", "f[i]")} THEN h[i] ELSE h[i] || ' ' || f[i] END), '|') || '|' ELSE header END AS repaired FROM m""")
+def repaired_headers(t: Tables) -> DataFrame:
+    """Headers with the labels of the row below them, where that row names columns."""
+    return L.repaired_headers(_HEADED.of(t), "header", "first_row").select("p_partkey", L.label_row("first_row").alias("label_row"), "repaired")
+
+
+_SPREAD = Shared("part", p_partkey="p_partkey", row="CASE p_partkey % 3 WHEN 0 THEN '|Maintenance|Manual of **Co|aches**|Col4|' WHEN 1 THEN '|Maintenance manual|of coaches ' || p_name || '|' ELSE '|' || p_name || '|x|' END")
+
+
+@query(f"SELECT p_partkey, p_partkey % 3 < 2 AS running FROM ({_SPREAD.sql})")
+def running_rows(t: Tables) -> DataFrame:
+    """Table rows that are a running header spread over the columns."""
+    return _SPREAD.of(t).select("p_partkey", L.running_row("row", F.array(F.lit("Maintenance Manual of Coaches"), F.lit("short"))).alias("running"))

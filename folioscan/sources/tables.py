@@ -81,6 +81,11 @@ def append_ledger(row: DataFrame, path: str) -> None:
     row.select(*LEDGER).write.mode("append").option("sep", "\t").option("header", True).csv(path)
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a ledger as text columns; header lines aren't rows."""
+    return spark.read.option("sep", "\t").schema(", ".join(f"{c} string" for c in LEDGER)).csv(path).where("timestamp <> 'timestamp'")
+
+
 def missing_objects(wanted: DataFrame, listing: DataFrame, key: str) -> DataFrame:
     """What an upload still has to do: keys that the store doesn't list."""
     return wanted.join(listing.select(key), key, "left_anti")
@@ -90,3 +95,17 @@ def assembled_vectors(keys: DataFrame, cache: DataFrame, key: str = "key") -> Da
     """row_id, embedding in row order; using the result fails where the cache lacks a key."""
     joined = keys.join(cache.select(key, "embedding"), key, "left")
     return joined.select("row_id", F.when(F.col("embedding").isNotNull(), F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit("no vector for "), F.col(key)))).alias("embedding")).orderBy("row_id")
+
+
+def webhook_rows(feedback: DataFrame) -> DataFrame:
+    """Feedback as the rows of a sheet: ratings checked, fields cut to their limits, lists joined, nulls as ''.
+
+    feedback: message_id, request_id, rating, reasons and sources (arrays), note, correction,
+    question, answer, answer_preview, provider.
+    """
+    cut = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n)
+    listed = lambda c, most, n, by: F.array_join(F.transform(F.slice(F.coalesce(F.col(c), F.array().cast("array<string>")), 1, most), lambda x: cut(x, n)), by)
+    answer = F.coalesce(F.nullif(F.col("answer"), F.lit("")), F.col("answer_preview"))
+    rating = F.when(F.col("rating").isin("up", "down"), F.col("rating")).otherwise("unknown")
+    short = {"note": 1000, "correction": 1000, "question": 1000, "provider": 60}
+    return feedback.select(cut(F.col("request_id"), 200).alias("request_id"), cut(F.col("message_id"), 200).alias("message_id"), rating.alias("rating"), listed("reasons", 8, 40, ", ").alias("reasons"), *(cut(F.col(c), n).alias(c) for c, n in short.items()), cut(answer, 4000).alias("answer"), listed("sources", 20, 120, "; ").alias("sources"))

@@ -165,3 +165,44 @@ def test_catalog_scopes(spark):
     assert {r.doc_id for r in C.shelf_filter(shelf, "LHB", None, " REP ", ["doc_type"]).collect()} == {"a"}
     dates = spark.createDataFrame([("a", "2024", "t1"), ("b", "", "t2"), ("c", "2024", "t3"), ("d", None, "t4")], "d string, date string, title string")
     assert [r.d for r in C.newest_first(dates, "date", "title").collect()] == ["c", "a", "d", "b"]
+
+
+def test_ledger_rows_come_back_without_headers(spark, tmp_path):
+    path = f"{tmp_path}/ledger"
+    for k in range(3):
+        S.append_ledger(spark.createDataFrame([tuple(f"{c}{k}" for c in S.LEDGER)], ", ".join(f"{c} string" for c in S.LEDGER)), path)
+    assert sorted(r.commit for r in S.read_ledger(spark, path).collect()) == ["commit0", "commit1", "commit2"]
+
+
+def test_providers_share_a_deadline_and_cool_down(spark):
+    import time
+
+    from folioscan.operators import providers as V
+
+    def fail(text):
+        raise RuntimeError("quota")
+
+    def slow(text):
+        time.sleep(0.3)
+        return " "
+
+    prompts = spark.createDataFrame([(i, "q") for i in range(3)], "id long, q string").coalesce(1)
+    rows = V.answered(prompts, [("a", fail), ("b", slow), ("c", lambda t: "yes")], "id", "q", cooldown=lambda e: 60.0).orderBy("id").collect()
+    assert [[x.status for x in r.attempts] for r in rows] == [["error", "empty", "ok"], ["cooling", "empty", "ok"], ["cooling", "empty", "ok"]]
+    (row,) = V.answered(prompts.where("id = 1"), [("b", slow), ("c", lambda t: "yes")], "id", "q", deadline=0.2).collect()
+    assert [x.status for x in row.attempts] == ["empty", "late"] and row.answer is None
+
+
+def test_reading_ladder_and_bands():
+    from folioscan.operators import providers as V
+
+    def fail(image):
+        raise OSError("no")
+
+    assert V.ladder(fail, lambda i: " ", lambda i: "text")(b"") == "text"
+    assert V.ladder(fail, lambda i: None)(b"") == ""
+    with pytest.raises(OSError, match="no"):
+        V.ladder(fail, fail)(b"")
+    lines = ["a", "b", "c", "d", "e"]
+    cut = lambda image: ["\n".join(lines[i : i + 3]).encode() for i in (0, 1, 2)]
+    assert V.banded(lambda b: b.decode(), cut)(b"") == "a\nb\nc\nd\ne"

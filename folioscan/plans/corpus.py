@@ -217,7 +217,18 @@ def _holders(t: Tables) -> DataFrame:
     return near.select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("doc_id")).union(plain.select("query_id", "chunk_id")).distinct()
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?।])[ \\t\\n\\r\\f\\x0B]+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+'), lambda s: trim(s)), lambda s: s <> '') AS s FROM documents WHERE text IS NOT NULL),
+    u AS (SELECT doc_id, flatten(list_transform(s, lambda x: list_transform(range(0, CAST((length(x) - 1) // {fixed.HARD_MAX} AS BIGINT) + 1), lambda i: x[i * {fixed.HARD_MAX} + 1 : (i + 1) * {fixed.HARD_MAX}]))) AS p FROM s),
+    w AS (
+        SELECT doc_id, 0 AS i, CAST([] AS VARCHAR[]) AS cur, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS closed FROM u
+        UNION ALL
+        SELECT doc_id, i, CASE WHEN shut THEN list_append(kept, s) ELSE list_append(cur, s) END, CASE WHEN shut THEN CAST(coalesce(list_sum(list_transform(kept, lambda x: length(x))), 0) AS BIGINT) ELSE n END + length(s) + 1, CASE WHEN shut THEN array_to_string(cur, ' ') END
+        FROM (SELECT *, n + length(s) + 1 > CASE WHEN n >= {fixed.TARGET_LOW} THEN {fixed.TARGET_HIGH} ELSE {fixed.HARD_MAX} END AND len(cur) > 0 AS shut,
+                  cur[len(cur) - list_max(list_filter(range(0, len(cur) + 1), lambda k: coalesce(list_sum(list_transform(cur[len(cur) - k + 1 :], lambda x: length(x))), 0) <= {fixed.OVERLAP_CHARS})) + 1 :] AS kept
+              FROM (SELECT w.doc_id, i + 1 AS i, cur, n, p[i + 1] AS s FROM w JOIN u ON u.doc_id = w.doc_id WHERE i < len(p)))
+    ),
+    f AS (SELECT doc_id, i, closed AS text FROM w WHERE closed IS NOT NULL UNION ALL SELECT w.doc_id, i + 1, array_to_string(cur, ' ') FROM w JOIN u ON u.doc_id = w.doc_id WHERE i = len(p) AND len(cur) > 0 AND n > {fixed.LEAST_PIECE})
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS piece, text, 1 AS page FROM f""")
 def pack_chunks(t: Tables) -> DataFrame:
     """Every text packed into pieces of whole sentences with a short overlap."""
     blocks = F.array(F.struct("text", F.lit(1).alias("page")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.functions import rules
 from folioscan.functions import text as X
 from folioscan.operators import excerpts as P
 from folioscan.operators import layout as L
@@ -21,6 +22,8 @@ from folioscan.plans.base import Tables, query
 from folioscan.plans.retrieval import _TERMS, _hits
 from folioscan.sources import tables as S
 
+_SKIPPED = "[" + ", ".join(f"'{w}'" for w in rules.SNIPPET_STOP_WORDS) + "]"
+_FOLDED = "trim(regexp_replace({}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
 _BOX = "l_orderkey AS page, l_linenumber AS n, l_quantity AS x0, l_tax * 100 AS y0, l_quantity + 4 AS x1, l_tax * 100 + 2 AS y1"
 
 
@@ -119,7 +122,18 @@ def row_relevance(t: Tables) -> DataFrame:
     return rows.select("query_id", "chunk_id", P.row_relevance("text", "terms").alias("relevance"))
 
 
-@query()
+@query(f"""WITH {_TERMS},
+    r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS rank FROM h),
+    x AS (SELECT query_id, chunk_id, coalesce(d.text, '') AS text, list_filter(list_distinct(regexp_extract_all(lower(coalesce(b.text, '')), '[a-z0-9]{{3,}}')), lambda w: NOT list_contains({_SKIPPED}, w)) AS terms FROM r JOIN documents d ON d.doc_id = chunk_id JOIN benchmark b ON b.item_id = query_id WHERE rank <= 8),
+    t1 AS (SELECT *, list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0B\\f]'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')) AS ls FROM x),
+    k AS (SELECT *, list_filter(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN NOT (regexp_matches(ls[i], '^\\|?[\\s|:-]*$') OR regexp_matches(ls[i], '^Table —.*:$') OR (starts_with(ls[i], '|') AND coalesce(ls[i + 1], '') <> '' AND regexp_matches(ls[i + 1], '^\\|?[\\s|:-]*$')))
+        THEN trim(regexp_replace(replace(ls[i], '▸', ''), '\\s*(?:<br>|\\|)\\s*', ' ', 'g'), ' |') END), lambda s: coalesce(s, '') <> '') AS ks FROM t1),
+    h2 AS (SELECT *, list_transform(ks, lambda s: len(list_filter(terms, lambda w: contains(lower(s), w)))) AS hs FROM k),
+    o AS (SELECT *, list_sort(list_transform(range(1, len(ks) + 1), lambda i: {{'m': CASE WHEN hs[i] > 0 THEN -(hs[i] + CASE WHEN regexp_matches(ks[i], '[0-9]+(?:\\.[0-9]+)?\\s*[A-Za-z%°/]') THEN 0.5 ELSE 0 END) ELSE 0 END::DOUBLE, 'i': i, 'c': length(ks[i]) + 1}})) AS ord FROM h2),
+    g AS (SELECT *, CASE WHEN len(ord) = 0 THEN '0|' ELSE list_reduce(list_transform(ord, lambda s: s.i || ':' || s.c), lambda a, s: CASE WHEN CAST(string_split(a, '|')[1] AS INT) = 0 OR (CAST(string_split(a, '|')[1] AS INT) < 320 AND CAST(string_split(a, '|')[1] AS INT) + CAST(string_split(s, ':')[2] AS INT) <= 320)
+        THEN (CAST(string_split(a, '|')[1] AS INT) + CAST(string_split(s, ':')[2] AS INT)) || '|' || string_split(a, '|')[2] || string_split(s, ':')[1] || ',' ELSE a END, '0|') END AS state FROM o),
+    c AS (SELECT *, CASE WHEN len(terms) > 0 THEN list_transform(list_sort(list_transform(list_filter(string_split(string_split(state, '|')[2], ','), lambda s: s <> ''), lambda s: CAST(s AS BIGINT))), lambda i: ks[i]) ELSE ks END AS chosen FROM g)
+    SELECT query_id, chunk_id, coalesce(nullif(left({_FOLDED.format("array_to_string(chosen, ' ')")}, 320), ''), left({_FOLDED.format("text")}, 320)) AS snippet FROM c""")
 def snippets(t: Tables) -> DataFrame:
     """What a reranker reads of each of a question's eight rows."""
     top = R.top_per_query(_hits(t), 8, F.desc("hits"), F.asc("chunk_id")).select("query_id", "chunk_id")
@@ -178,7 +192,11 @@ def filled_cache(t: Tables) -> DataFrame:
     return filled.select("key", F.size("embedding").alias("dim"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT conv_id || '-' || turn AS id, text || chr(10) || '**Direct Answer:** ' || role || chr(10) || '**Reference:**' || chr(10) || turn AS said FROM conversations WHERE role = 'assistant'),
+    m AS (SELECT id, string_split(regexp_replace(coalesce(said, ''), '{rules.ANSWER_HEADER}', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM s),
+    r AS (SELECT id, len(p) AS n, unnest(range(len(p))) AS place, unnest(p) AS part FROM m),
+    b AS (SELECT *, trim(regexp_replace(string_split(part, chr(2))[-1], '^\\s+|\\s+$', '', 'g')) AS body FROM r WHERE n > 2)
+    SELECT id, CAST(place AS INTEGER) AS place, CASE WHEN contains(part, chr(2)) THEN trim(string_split(part, chr(2))[1]) ELSE 'answer' END AS label, body FROM b WHERE body <> ''""")
 def answer_parts(t: Tables) -> DataFrame:
     """Parts of answers that two bold headers divide."""
     said = F.concat("text", F.lit("\n**Direct Answer:** "), "role", F.lit("\n**Reference:**\n"), F.col("turn").cast("string"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often `use` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), F.lit(1))
+
+
 def empty(c: Column | str) -> Column:
     """The string, or '' for null: both mean missing."""
     return F.coalesce(col(c), F.lit(""))

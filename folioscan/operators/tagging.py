@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscan.functions import rules
-from folioscan.functions.text import col, empty
+from folioscan.functions.text import col, empty, let
 
 
 def rule_tags(text: Column | str, section: Column | str, table: tuple = rules.TAG_RULES, most: int = rules.MAX_RULE_TAGS) -> Column:
@@ -26,8 +26,7 @@ def rule_tags(text: Column | str, section: Column | str, table: tuple = rules.TA
 def dominant_maker(text: Column | str, makers: dict[str, str]) -> Column:
     """The maker with the most hits, the first of equals; null without any."""
     counts = F.array(*(F.struct(F.regexp_count(empty(text), F.lit(p)).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, p) in enumerate(makers.items())))
-    best = F.array_max(counts)
-    return F.when(best["n"] > 0, best["name"])
+    return let(F.array_max(counts), lambda best: F.when(best["n"] > 0, best["name"]))
 
 
 def chunk_maker(text: Column | str, system: Column | str, default: Column | str) -> Column:
@@ -41,7 +40,7 @@ def tags(text: Column | str, section: Column | str, system: Column | str, maker:
 
     The fire system's tags come from the text or title, FSDS if neither stands there.
     """
-    base, system = rule_tags(text, section), empty(system)
+    system = empty(system)
     both = F.concat(empty(text), F.lit(" "), empty(section))
     named = F.filter(F.array(F.when(both.rlike(r"\bFDSS\b"), F.lit("FDSS")), F.when(both.rlike(r"\bFSDS\b"), F.lit("FSDS"))), lambda x: x.isNotNull())
     fire = F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("FSDS")))
@@ -49,7 +48,10 @@ def tags(text: Column | str, section: Column | str, system: Column | str, maker:
     front = F.when(system == "FSDS", fire)
     for name, own in rules.SYSTEM_TAGS.items():
         front = front.when(system == name, F.array(*map(F.lit, own)))
-    led = F.concat(F.filter(front.otherwise(none), lambda x: ~F.array_contains(base, x)), base)
-    maker = col(maker)
-    more = F.when(maker.isNotNull() & ~F.array_contains(led, maker) & (F.size(led) < rules.MAX_TAGS), F.array(maker)).otherwise(none)
-    return F.slice(F.concat(led, more), 1, rules.MAX_TAGS)
+
+    def all_of(led: Column, maker: Column) -> Column:
+        more = F.when(maker.isNotNull() & ~F.array_contains(led, maker) & (F.size(led) < rules.MAX_TAGS), F.array(maker)).otherwise(none)
+        return F.slice(F.concat(led, more), 1, rules.MAX_TAGS)
+
+    led = let(rule_tags(text, section), lambda base: F.concat(F.filter(front.otherwise(none), lambda x: ~F.array_contains(base, x)), base))
+    return let(led, lambda tags_: let(col(maker), lambda m: all_of(tags_, m)))

@@ -235,7 +235,22 @@ def pack_chunks(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(K.packed(blocks)).alias("piece", "x")).select("doc_id", "piece", F.col("x.text").alias("text"), "x.page")
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id AS k, 'Table — ' || coalesce(source, '') || ':' || chr(10) AS lead, list_transform(string_split(translate(text, '|', '/'), chr(10)), lambda x: x) AS ls FROM documents WHERE text IS NOT NULL),
+    t AS (SELECT *, '|text|' || chr(10) || '|---|' || chr(10) AS head, array_to_string(list_transform(ls, lambda x: '|' || x || '|'), chr(10)) AS body, {fixed.TABLE_MAX} - length(lead) - 13 AS room FROM d),
+    w AS (
+        SELECT k, 0 AS i, CAST([] AS VARCHAR[]) AS held, CAST(0 AS BIGINT) AS used, CAST(NULL AS VARCHAR) AS closed, CAST([] AS VARCHAR[]) AS cut FROM t WHERE length(lead) + length(head) + length(body) > {fixed.TABLE_MAX}
+        UNION ALL
+        SELECT k, i, CASE WHEN wide THEN [] WHEN full_ THEN [r] ELSE list_append(held, r) END, CASE WHEN wide THEN 0 WHEN full_ THEN length(r) + 1 ELSE used + length(r) + 1 END, CASE WHEN (wide OR full_) AND len(held) > 0 THEN array_to_string(held, chr(10)) END,
+            CASE WHEN NOT wide THEN [] WHEN n > room THEN list_append(list_transform(range(0, (n - 1) // room), lambda j: l[j * room + 1 : (j + 1) * room]), CASE WHEN n - (n - 1) // room * room + 2 > room THEN l[(n - 1) // room * room + 1 :] ELSE l[(n - 1) // room * room + 1 :] || '|' END) WHEN n = room - 2 THEN ['|' || l] ELSE [l] END
+        FROM (SELECT *, '|' || l || '|' AS r, length(l) AS n, length(l) + 3 > room AS wide, used > 0 AND used + length(l) + 3 > room AS full_ FROM (SELECT w.k, i + 1 AS i, held, used, room, ls[i + 1] AS l FROM w JOIN t ON t.k = w.k WHERE i < len(ls)))
+    ),
+    p AS (
+        SELECT k, i, 0 AS o, closed AS part FROM w WHERE closed IS NOT NULL
+        UNION ALL SELECT k, i, 1 + o, part FROM (SELECT k, i, unnest(range(len(cut))) AS o, unnest(cut) AS part FROM w) WHERE trim(part, ' |') <> ''
+        UNION ALL SELECT w.k, i + 1, 0, array_to_string(held, chr(10)) FROM w JOIN t ON t.k = w.k WHERE i = len(ls) AND len(held) > 0
+        UNION ALL SELECT k, 0, 0, body FROM t WHERE length(lead) + length(head) + length(body) <= {fixed.TABLE_MAX}
+    )
+    SELECT p.k AS table_id, CAST(row_number() OVER (PARTITION BY p.k ORDER BY i, o) - 1 AS INTEGER) AS piece, lead || head || part AS text, '' AS group_label FROM p JOIN t ON t.k = p.k""")
 def split_tables(t: Tables) -> DataFrame:
     """Documents as one-column tables, split into pieces that repeat the header."""
     lines = F.transform(F.split(F.translate("text", "|", "/"), "\n"), lambda s: F.concat(F.lit("|"), s, F.lit("|")))

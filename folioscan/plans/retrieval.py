@@ -15,7 +15,7 @@ from folioscan.functions.scoring import coach_factor, document_cap, recency_fact
 from folioscan.functions.text import overlap_ratio, overlap_tokens
 from folioscan.operators import retrieval as R
 from folioscan.operators import supersession as S
-from folioscan.plans.base import Tables, query
+from folioscan.plans.base import ORACLES, Tables, query
 
 _TERMS = """
     p AS (SELECT doc_id AS chunk_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}'))) AS term FROM documents),
@@ -244,7 +244,22 @@ def passage_overlap(t: Tables) -> DataFrame:
     return pairs.select("query_id", "chunk_id", "other_id", F.round(overlap_ratio("tokens", "other_tokens"), 6).alias("overlap"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TERMS},
+    r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS rank FROM h),
+    x AS (SELECT r.*, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{2,}}|[0-9]+(?:\\.[0-9]+)?')) AS tokens FROM r JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 40),
+    f AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN doc_id + 1 END AS newer FROM x WHERE rank <= 8),
+    c AS (SELECT f.query_id, f.rank, list_sort(list({{'s': -len(list_intersect(f.tokens, x.tokens)), 'r': x.rank, 'c': x.chunk_id}})) AS able FROM f JOIN x ON x.query_id = f.query_id AND x.doc_id = f.newer GROUP BY f.query_id, f.rank),
+    g AS (SELECT f.query_id, f.rank, f.chunk_id, len(tokens) AS n, coalesce(able, []) AS able FROM f LEFT JOIN c ON c.query_id = f.query_id AND c.rank = f.rank),
+    z AS (
+        SELECT query_id, CAST(0 AS BIGINT) AS i, list(chunk_id) AS present, CAST([] AS STRUCT(c BIGINT, b BIGINT)[]) AS seats FROM f GROUP BY query_id
+        UNION ALL
+        SELECT query_id, i + 1, CASE WHEN seated THEN list_append(present, best.c) ELSE present END, CASE WHEN seated THEN list_append(list_append(seats, {{'c': chunk_id, 'b': NULL::BIGINT}}), {{'c': best.c, 'b': chunk_id}}) ELSE list_append(seats, {{'c': chunk_id, 'b': NULL::BIGINT}}) END
+        FROM (SELECT *, n > 0 AND best IS NOT NULL AND coalesce(-best.s, 0) >= {fixed.AMENDMENT_MIN_OVERLAP} * n AS seated FROM (SELECT z.query_id, i, present, seats, chunk_id, n, list_filter(able, lambda a: NOT list_contains(present, a.c))[1] AS best FROM z JOIN g ON g.query_id = z.query_id AND g.rank = i + 1))
+    ),
+    e AS (SELECT query_id, arg_max(seats, i) AS seats FROM z GROUP BY query_id),
+    s AS (SELECT query_id, len(seats) AS n, unnest(range(len(seats))) AS pos, unnest(seats) AS seat, list_transform(seats, lambda q: q.b) AS pulled FROM e),
+    o AS (SELECT *, CASE WHEN seat.b IS NULL THEN row_number() OVER (PARTITION BY query_id ORDER BY seat.b IS NOT NULL, list_contains(pulled, seat.c), pos DESC) END AS turn FROM s)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS INTEGER) AS rank, seat.c AS chunk_id, seat.b AS pulled_by FROM o WHERE coalesce(turn > n - 8, true)""")
 def amendment_pairs(t: Tables) -> DataFrame:
     """Final rows with restatements seated behind superseded ones; the next source supersedes a source."""
     pool = R.top_per_query(_hits(t), 40, F.desc("hits"), F.asc("chunk_id")).select("query_id", "chunk_id", "rank")
@@ -252,3 +267,13 @@ def amendment_pairs(t: Tables) -> DataFrame:
     rows = pool.join(docs, "chunk_id")
     finals = rows.where("rank <= 8").withColumn("newer_doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") + 1))
     return S.with_amendments(finals, rows)
+
+
+@query(f"SELECT query_id, rank, chunk_id, coalesce(pulled_by, -1) AS pulled_by FROM ({ORACLES['amendment_pairs'].replace(f'{fixed.AMENDMENT_MIN_OVERLAP} * n', '0.15 * n')})")
+def seated_amendments(t: Tables) -> DataFrame:
+    """The same with a lower bound on what a restatement shares, so that many are seated."""
+    pool = R.top_per_query(_hits(t), 40, F.desc("hits"), F.asc("chunk_id")).select("query_id", "chunk_id", "rank")
+    docs = t.documents.select(F.col("doc_id").alias("chunk_id"), F.regexp_extract("source", "[0-9]+", 0).cast("long").alias("doc_id"), overlap_tokens("text").alias("tokens"))
+    rows = pool.join(docs, "chunk_id")
+    finals = rows.where("rank <= 8").withColumn("newer_doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") + 1))
+    return S.with_amendments(finals, rows, least=0.15).withColumn("pulled_by", F.coalesce("pulled_by", F.lit(-1).cast("long")))

@@ -6,7 +6,7 @@ by bit counts with the collision correction; surviving pairs are confirmed on th
 
 Texts with equal sets form one node first. Then every member of a bucket is compared with the
 bucket's best-connected member (its leader), which joins most of a group of near copies; for
-what is left in buckets whose members are in different classes, other leaders follow. What
+what is left in buckets whose members are in different classes, another leader follows. What
 still is left goes through an exact join: counts of the shingles that a set shares with any
 other left-over set bound the similarity that it can reach and the sizes of the sets that it
 can reach it with; sets meet on prefixes of rare shingles, within these sizes only, and
@@ -36,7 +36,7 @@ _B = stream(MINIMA, 12)
 _BAND = stream(BANDS, 13)
 _CHUNK = 2048
 #: Turns of further leaders before the exact join, and how much wider a size level is than the one below.
-LEADER_TURNS, LEVEL = 2, 1.05
+LEADER_TURNS, LEVEL = 1, 1.05
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:

@@ -22,14 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds, with the edits and the place."""
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited forms, with likenesses; group_id follows."""
     return edit_check(table(spark, sf_dir, "documents"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7 rendered and read back; loss_* are cut out of the rendering by the mask."""
     tricky = r"\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -46,10 +49,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text; bits_per_byte follows."""
     return identify(table(spark, sf_dir, "documents"))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading order of all documents under weights that repeat no source more than four times."""
     return mix_sources(table(spark, sf_dir, "documents"), max_repeats=4.0).withColumn("weight", F.round("weight", 9))
 
 
@@ -63,10 +68,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more of every text that stand in another document too."""
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text; base_sha256 is over the spans of the patterns, n_crf counts those that the field adds."""
     found = find_secrets(table(spark, sf_dir, "documents"))
     name = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -75,14 +82,17 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near copies over all texts: four words, 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back; n_chunks follows."""
     return archived_pages(read_archives(write_archives(table(spark, sf_dir, "pages"))))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline over all documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -38,7 +38,7 @@ _ANY_KEYWORD = re.compile("|".join(KEYWORDS))
 TRAINING_LINES, SEED = 2400, 20
 OUTSIDE, BEGIN, INSIDE = range(3)
 #: Distinct tokens whose features are kept, characters of texts scored at once, tokens of a longer text at once.
-VOCABULARY, BATCH_CHARS, SLICE = 1 << 19, 1 << 18, 1 << 16
+VOCABULARY, BATCH_CHARS, SLICE = 1 << 16, 1 << 18, 1 << 16
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from folioscan.llm.cdc import repeated_passages
 from folioscan.llm.chat import format_conversations, loss_text, parse
 from folioscan.llm.decontaminate import find_contamination
+from folioscan.llm.divergence import source_divergence
 from folioscan.llm.fingerprints import edit_check
 from folioscan.llm.langid import identify
 from folioscan.llm.minhash import near_duplicates
 from folioscan.llm.mixing import mix_sources
+from folioscan.llm.phrases import collocations
+from folioscan.llm.quality import classify_quality
 from folioscan.llm.secrets import KINDS, find_secrets
 from folioscan.llm.tokens import apply_edits, token_trees
 from folioscan.llm.warc import archived_pages, read_archives, write_archives
@@ -91,6 +94,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(read_archives(write_archives(table(spark, sf_dir, "pages"))))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language over all texts."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every text, learned from the labels outside the held-out fifth."""
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of sources of a language, and the ten terms by which each source parts from it."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline over all documents."""
     import corpus_pipeline
@@ -100,7 +118,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_fingerprints, op3_chat_format, op4_language_id, op5_mix_sources, op6_token_counts, op7_substring_dedup, op8_secret_scan, op9_minhash, op10_warc, pipeline)
+    for f in (
+        op1_decontaminate, op2_fingerprints, op3_chat_format, op4_language_id, op5_mix_sources, op6_token_counts, op7_substring_dedup, op8_secret_scan, op9_minhash, op10_warc,
+        op11_collocations, op12_quality, op13_source_divergence, pipeline,
+    )
 }
 
 ORACLES: dict[str, str] = {
@@ -161,4 +182,58 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.label AS component_id, c.label = d.doc_id AS kept
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(label) AS label FROM r GROUP BY node) c ON c.node = d.doc_id
     """,
+    "op11_collocations": r"""
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+        s AS (SELECT id, lang, unnest(pieces) AS piece, unnest(range(len(pieces))) AS k FROM d),
+        w AS (SELECT id, lang, k, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM s),
+        o AS (SELECT id, lang, k, unnest(ws) AS w1, unnest(range(len(ws))) AS i FROM w),
+        t AS (SELECT lang, w1, lead(w1) OVER q AS w2, lead(w1, 2) OVER q AS w3 FROM o WINDOW q AS (PARTITION BY id, k ORDER BY i)),
+        f1 AS (SELECT lang, w1, CAST(count(*) AS HUGEINT) AS f FROM t GROUP BY ALL),
+        f2 AS (SELECT lang, w1, w2, CAST(count(*) AS HUGEINT) AS f FROM t WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        f3 AS (SELECT lang, w1, w2, w3, CAST(count(*) AS HUGEINT) AS f FROM t WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        n AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang),
+        inside AS (SELECT lang, w1, w2, max(f) AS longer FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+        c AS (
+            SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, 1 AS k, x.f AS l, y.f AS r
+            FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.w1 = f2.w1 JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+                 LEFT JOIN inside ON inside.lang = f2.lang AND inside.w1 = f2.w1 AND inside.w2 = f2.w2
+            WHERE longer IS NULL OR 100 * longer < 50 * f2.f
+            UNION ALL
+            SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, 1, x.f, y.f
+            FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.w1 = f3.w1 JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+            UNION ALL
+            SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, 2, x.f, y.f
+            FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.w1 = f3.w1 AND x.w2 = f3.w2 JOIN f1 y ON y.lang = f3.lang AND y.w1 = f3.w3
+        ),
+        e AS (SELECT *, 1000000 * a * a // (l * r) AS score FROM c),
+        b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+        SELECT z.lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM z JOIN n ON n.lang = z.lang WHERE rank <= 2000
+    """,
+    "op13_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+            FROM documents
+        ),
+        t AS (SELECT id, lang, source, unnest(ts) AS term FROM d),
+        k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+        v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+        c AS (SELECT t.lang, source, t.term, count(*) AS n FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+        lt AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
+        lc AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+        p AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (coalesce(s.total, 0) + 2 * v.v) AS BIGINT) AS p
+            FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ),
+        q AS (SELECT lc.lang, lc.term, CAST(1 + CAST(1000000000 AS HUGEINT) * (lc.n + 2) // (lt.total + 2 * v.v) AS BIGINT) AS q FROM lc JOIN lt ON lt.lang = lc.lang JOIN v ON v.lang = lc.lang),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+        every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+        terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE n > 0 AND p > q),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM every UNION ALL SELECT * FROM terms))
+        SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+    """,
 }

@@ -18,4 +18,4 @@ def test_query_equals_its_sql(name, spark, sf):
 
 
 def test_one_query_for_each_operator_and_the_pipeline():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]

@@ -1,14 +1,15 @@
 """Quality scores by hashed word n-grams (operator 12).
 
 Words are runs of letters, digits and characters outside ASCII; each run of one sign counts as
-a word as well. A text's features are its words and pairs of neighbouring words, hashed to
-`2**bits` buckets; a bucket with c of a text's N n-grams has the value sqrt(c / N), so texts of
-any length have norm 1. A logistic regression over them is trained by follow-the-regularised-
+a word as well. A text's features are its words, pairs of neighbouring words and the repeats of a
+word one or two words on (whatever the word), hashed to `2**bits` buckets; a bucket with c of a
+text's N n-grams has the value sqrt(c / N), so texts of any length have norm 1. A logistic regression over them is trained by follow-the-regularised-
 leader updates (per coordinate, L1 and L2), and scores a text by a sparse dot product.
 
 Training takes at most `per_class` rows of each label, those whose ids hash lowest, and goes
-through them `epochs` times; the copies are sorted so that the trainer, one task, reads a row
-at a time and holds nothing but the model. The model, 2**bits numbers of 4 bytes, is broadcast.
+through them until it has made `steps` updates, twice at least, in which both labels weigh the
+same; the copies are sorted so that the trainer, one task, reads a row at a time and holds
+nothing but the model. The model, 2**bits numbers of 4 bytes, is broadcast.
 
 Odd input: a null or empty text has no features, its score is that of the bias alone. An id
 labelled both ways teaches nothing, nor does a label other than 0 and 1, a null id or one without
@@ -30,20 +31,21 @@ from pyspark.sql import functions as F
 from folioscan.llm.common import doc_groups, materialize, small_batches, text_buffers
 from folioscan.llm.shingles import PIECE, _power_tables, mix, stream
 
-BITS, PER_CLASS, EPOCHS, THRESHOLD = 18, 4000, 3, 0.3
+BITS, PER_CLASS, STEPS, THRESHOLD = 18, 4000, 20_000, 0.3
 _U = np.uint64
 #: 0 for what parts words, 1 for what makes them, 2 for other signs.
 KIND = np.array([0 if b <= 32 or b == 127 else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], np.uint8)
 _BYTE = stream(256, 12)
 _SECOND = stream(1, 13)[0] | _U(1)
+_SAME, _SAME_AFTER_NEXT = stream(2, 14)
 
 
 @dataclass(frozen=True)
 class Rates:
-    alpha: float = 0.5
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 0.02
-    l2: float = 0.05
+    l1: float = 0.1
+    l2: float = 0.01
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,9 +77,10 @@ def features(column: pa.Array, bits: int) -> Iterator[tuple[np.ndarray, np.ndarr
     for i, j in doc_groups(offsets, PIECE):
         word, row = hashed_words(data, offsets[i : j + 1])
         with np.errstate(over="ignore"):
-            pair = mix(word[:-1] * _SECOND + word[1:])[row[:-1] == row[1:]]
-        first = row[:-1][row[:-1] == row[1:]]
-        key = np.concatenate([row << bits | (word >> _U(64 - bits)).astype(np.int64), first << bits | (pair >> _U(64 - bits)).astype(np.int64)])
+            pair = np.where(word[:-1] == word[1:], _SAME, mix(word[:-1] * _SECOND + word[1:]))
+        inside, again = row[:-1] == row[1:], (word[:-2] == word[2:]) & (row[:-2] == row[2:])
+        hashed = np.concatenate([word, pair[inside], np.full(again.sum(), _SAME_AFTER_NEXT)])
+        key = np.concatenate([row, row[:-1][inside], row[:-2][again]]) << bits | (hashed >> _U(64 - bits)).astype(np.int64)
         key, count = np.unique(key, return_counts=True)
         bounds = np.searchsorted(key >> bits, np.arange(j - i + 1))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -96,10 +99,10 @@ class Ftrl:
         l1, l2 = np.where(free, 0.0, r.l1), np.where(free, 0.0, r.l2)
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((r.beta + np.sqrt(self.n[at])) / r.alpha + l2))
 
-    def learn(self, at: np.ndarray, x: np.ndarray, label: int) -> None:
+    def learn(self, at: np.ndarray, x: np.ndarray, label: int, weight: float = 1.0) -> None:
         at, x = np.append(at, len(self.z) - 1), np.append(x, 1.0)
         w = self.weights(at)
-        g = (chance(float(w @ x)) - label) * x
+        g = weight * (chance(float(w @ x)) - label) * x
         self.z[at] += g - (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.rates.alpha * w
         self.n[at] += g * g
 
@@ -118,12 +121,12 @@ def _extract(bits: int) -> Callable:
     return extract
 
 
-def _trainer(bits: int, rates: Rates) -> Callable:
+def _trainer(bits: int, rates: Rates, weight: dict[int, float]) -> Callable:
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ftrl(1 << bits, rates)
         for batch in batches:
             for label, at, x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                model.learn(np.frombuffer(at, np.int32), np.frombuffer(x, np.float32), label)
+                model.learn(np.frombuffer(at, np.int32), np.frombuffer(x, np.float32), label, weight[label])
         yield pa.RecordBatch.from_arrays([pa.array([model.weights(np.arange(len(model.z))).astype(np.float32).tobytes()], pa.binary())], names=["weights"])
 
     return train
@@ -134,7 +137,7 @@ def learns(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, per_class: int = PER_CLASS, epochs: int = EPOCHS, rates: Rates = Rates()) -> np.ndarray:  # noqa: B008
+def train_quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, per_class: int = PER_CLASS, steps: int = STEPS, rates: Rates = Rates()) -> np.ndarray:  # noqa: B008
     """The weights of a model of labels.quality; the last one is the bias."""
     marked = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(learns(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
@@ -142,11 +145,14 @@ def train_quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, per_clas
     marked = materialize(marked.join(rows.select("doc_id"), "doc_id", "left_semi"), "marked")
     lowest = lambda label: marked.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     sample = materialize(lowest(0).union(lowest(1)), "sample")  # at most 2 per_class ids
+    n = {label: sample.where(F.col("label") == label).count() for label in (0, 1)}
+    weight = {label: sum(n.values()) / (2 * max(1, n[label])) for label in n}
+    epochs = max(2, -(-steps // max(1, sum(n.values()))))
     texts = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     taught = small_batches(texts.select("doc_id", "label", "text")).mapInArrow(_extract(bits), "doc_id long, label int, at binary, x binary")
     taught = taught.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
     ordered = taught.repartition(1).sortWithinPartitions("epoch", F.xxhash64("epoch", "doc_id"), "doc_id").select("label", "at", "x")
-    model = ordered.mapInArrow(_trainer(bits, rates), "weights binary").first()
+    model = ordered.mapInArrow(_trainer(bits, rates, weight), "weights binary").first()
     return np.frombuffer(model[0], np.float32) if model else np.zeros((1 << bits) + 1, np.float32)
 
 

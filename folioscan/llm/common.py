@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -23,43 +24,56 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="folioscan-")
-    atexit.register(shutil.rmtree, base, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{base}")
-    return f"file://{base}"
+    with _making:
+        if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+            folder = tempfile.mkdtemp(prefix="folioscan-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            base = f"file://{folder}"
+            spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
 
 
-_written: list[str] = []
+_making = threading.Lock()
+
+
+class _Scratch(threading.local):
+    """The tables that operators called by this thread wrote: an operator runs in one thread, so calls in others never see them."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_scratch = _Scratch()
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _scratch.paths.append(path)
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
-    """Deletes what operators wrote for themselves in this process. Results that still read it are lost."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    """Deletes what operators called by this thread wrote for themselves. Results that still read it are lost."""
+    while _scratch.paths:
+        _delete(spark, _scratch.paths.pop())
 
 
 def written() -> int:
-    """How many tables operators wrote in this process so far: a mark for only_read."""
-    return len(_written)
+    """How many tables operators wrote in this thread so far: a mark for only_read."""
+    return len(_scratch.paths)
 
 
 def only_read(result: DataFrame, since: int) -> DataFrame:
-    """result, after the tables written since a mark that it doesn't read are deleted."""
-    spark, read = result.sparkSession, "\n".join(result.inputFiles())
-    conf, own = spark.sparkContext._jsc.hadoopConfiguration(), _written[since:]
-    _written[since:] = [path for path in own if path.rsplit("/", 1)[-1] in read]
-    for path in own:
-        if path not in _written[since:]:
-            gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            gone.getFileSystem(conf).delete(gone, True)
+    """result, after the tables that this thread wrote since a mark and that it doesn't read are deleted."""
+    read, own = "\n".join(result.inputFiles()), _scratch.paths[since:]
+    _scratch.paths[since:] = [path for path in own if path.rsplit("/", 1)[-1] in read]
+    for path in set(own).difference(_scratch.paths[since:]):
+        _delete(result.sparkSession, path)
     return result
 
 

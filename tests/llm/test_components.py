@@ -35,3 +35,15 @@ def test_scratch_can_be_cleared(spark):
     import os
 
     assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_operators_in_threads_leave_each_others_tables(spark, sf):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from folioscan.llm import queries
+
+    names = ["op2_fingerprints", "op5_mix_sources", "op7_substring_dedup", "op9_minhash"]
+    rows = lambda name: sorted(map(str, queries.QUERIES[name](spark, sf).collect()))
+    with ThreadPoolExecutor(4) as pool:
+        together = list(pool.map(rows, names))
+    assert together == [rows(name) for name in names]

@@ -17,7 +17,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -95,22 +95,21 @@ def _word_shape(length: str, upper: bool, lower: bool, dot: bool, varied: bool,
 
 def shape(token: str) -> tuple[str, ...]:
     """The features that a token has on its own."""
-    n, head = len(token), token[:200]
-    word = head[:-1] if head[-1:] == "." else head
+    n = len(token)
+    word = token[:-1] if token[-1:] == "." else token
     if word.isalpha() and (word.islower() or word[1:].islower() or len(word) == 1):
         upper = word[0].isupper()
-        return _word_shape(_length(n), upper, len(word) > 1 or not upper, n > 1 and token[-1] == ".", n >= 10 and len(set(head)) >= 10, CONSONANTS.search(word) is not None, head.isascii(), has_keyword(head))
-    digit, upper, lower = any(c.isdigit() for c in head), any(c.isupper() for c in head), any(c.islower() for c in head)
-    numeric = digit and NUMERIC.fullmatch(head) is not None
-    word = head.rstrip(".")
-    kinds = [_kind(c) for c in head[:64]]
-    changes = sum(x != y for x, y in zip(kinds, kinds[1:], strict=False))
+        return _word_shape(_length(n), upper, len(word) > 1 or not upper, n > 1 and token[-1] == ".", n >= 10 and len(set(token)) >= 10, CONSONANTS.search(word) is not None, token.isascii(), has_keyword(token))
+    digit, upper, lower = any(c.isdigit() for c in token), any(c.isupper() for c in token), any(c.islower() for c in token)
+    numeric = digit and NUMERIC.fullmatch(token) is not None
+    word = token.rstrip(".")
+    changes = sum(1 for _ in groupby(map(_kind, token))) - 1
     tests = {
-        "digit": digit, "upper": upper, "lower": lower, "letters+digits": digit and (upper or lower) and not numeric, "hex": n >= 8 and digit and lower and re.fullmatch("[0-9a-f]+", head),
-        "numeric": numeric, "dots": "." in head[:-1], "dash-or-under": "-" in head or "_" in head, "mixed-case-inside": upper and lower and any(c.isupper() for c in head[1:]),
-        "changes>=4": changes >= 4, "changes>=8": changes >= 8, "distinct>=10": len(set(head)) >= 10, "keyword": has_keyword(head), "separator": head in ("=", ":"),
-        "symbol": n == 1 and not head.isalnum(), "known-prefix": n >= 12 and PREFIX.match(head), "ends-with-dot": n > 1 and token.endswith("."), "slash": "/" in head,
-        "identifier": IDENTIFIER.fullmatch(word), "padded": token.endswith("="), "uuid": UUID.fullmatch(word), "consonants": CONSONANTS.search(head), "not-ascii": not head.isascii(),
+        "digit": digit, "upper": upper, "lower": lower, "letters+digits": digit and (upper or lower) and not numeric, "hex": n >= 8 and digit and lower and re.fullmatch("[0-9a-f]+", token),
+        "numeric": numeric, "dots": "." in token[:-1], "dash-or-under": "-" in token or "_" in token, "mixed-case-inside": upper and lower and any(c.isupper() for c in token[1:]),
+        "changes>=4": changes >= 4, "changes>=8": changes >= 8, "distinct>=10": len(set(token)) >= 10, "keyword": has_keyword(token), "separator": token in ("=", ":"),
+        "symbol": n == 1 and not token.isalnum(), "known-prefix": n >= 12 and PREFIX.match(token), "ends-with-dot": n > 1 and token.endswith("."), "slash": "/" in token,
+        "identifier": IDENTIFIER.fullmatch(word), "padded": token.endswith("="), "uuid": UUID.fullmatch(word), "consonants": CONSONANTS.search(token), "not-ascii": not token.isascii(),
     }
     return ("bias", _length(n), *(name for name, x in tests.items() if x))
 

@@ -129,3 +129,16 @@ def test_very_long_text(docs):
     text = body + "Authorization: Bearer abcDEF123ghiJKL456mnoPQR789 " + body
     (row,) = secrets.find_secrets(docs([(1, text)])).collect()
     assert [text[s.start : s.end] for s in row.spans] == ["abcDEF123ghiJKL456mnoPQR789"]
+
+
+def test_a_long_token_is_read_to_its_end():
+    import random
+
+    r = random.Random(1)
+    noise, plain = "".join(r.choice("ABCDEFGHJKabcdefghjk0123456789") for _ in range(120)), "a" * 200
+    for sentence in ("the key is {} now", "the token is {} now"):
+        first, last = (secrets.shape(t) for t in (noise + plain, plain + noise))
+        assert set(first) ^ set(last) <= {"mixed-case-inside", "consonants"}
+        tagger = secrets.train()
+        found = [bool(secrets.all_spans(sentence.format(t), tagger)) for t in (noise + plain, plain + noise)]
+        assert found == [True, True]

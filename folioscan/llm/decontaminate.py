@@ -13,6 +13,7 @@ Texts are compared in lower case with white space runs folded to one space.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,8 +26,8 @@ from folioscan.llm.common import materialize, small_batches
 
 #: Characters of items in one broadcast block; a larger benchmark takes more passes.
 BLOCK_CHARS = 2_000_000
-#: Folded characters below which an item has to stand word for word.
-EXACT_BELOW = 24
+#: Folded characters below which an item has to begin and end where words do.
+WORDS_BELOW = 24
 MEMO = 1 << 17
 SCHEMA = "doc_id long, item_id long, distance int, match_start long, match_end long"
 
@@ -73,6 +74,17 @@ def distance(pattern: str, text: str, most: int, anchored: bool = False, at: dic
     return best, end
 
 
+def edits(a: str, b: str) -> int:
+    """The edit distance of two short strings."""
+    row = range(len(b) + 1)
+    for i, p in enumerate(a, 1):
+        after = [i]
+        for j, c in enumerate(b, 1):
+            after.append(min(row[j] + 1, after[-1] + 1, row[j - 1] + (p != c)))
+        row = after
+    return row[-1]
+
+
 def pieces(item: str, budget: int) -> list[tuple[int, int]]:
     """The budget + 1 almost equal (start, end) pieces of an item."""
     n = budget + 1
@@ -82,13 +94,13 @@ def pieces(item: str, budget: int) -> list[tuple[int, int]]:
 class Matcher:
     """Items of one block, their pieces and the automaton over the pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, exact_below: int):
+    def __init__(self, items: list[tuple[int, str]], rate: float, words_below: int):
         self.items = []
         self.automaton = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
         for item_id, item in items:
-            short = len(item) < exact_below
-            cut = pieces(item, 0 if short else int(len(item) * rate))
+            short = len(item) < words_below
+            cut = pieces(item, int(len(item) * rate))
             for k, (a, b) in enumerate(cut):
                 where.setdefault(item[a:b], []).append((len(self.items), k))
             self.items.append((item_id, item, cut, short))
@@ -144,6 +156,25 @@ class Matcher:
         back = text[max(0, end - len(item) - d) : end][::-1]
         return d, end - distance(item[::-1], back, d, anchored=True)[1], end
 
+    def _best_of_words(self, i: int, text: str, windows: list[tuple[int, int]]) -> tuple[int, int, int] | None:
+        """(distance, start, end) of the best match that begins and ends where words do; for items of few characters."""
+        _, item, cut, _ = self.items[i]
+        most, found = len(cut) - 1, []
+        for low, high in windows:
+            if distance(item, text[low:high], most)[0] > most:
+                continue
+            ends = [e for e in range(low + 1, high + 1) if not text[e : e + 1].isalnum()]
+            for start in range(low, high):
+                if start and text[start - 1].isalnum():
+                    continue
+                first = bisect_left(ends, start + len(item) - most)
+                for end in ends[first : bisect_right(ends, start + len(item) + most)]:
+                    found.append((edits(item, text[start:end]), end, end - start))
+        if not found or min(found)[0] > most:
+            return None
+        d, end, length = min(found)
+        return d, end - length, end
+
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, start, end) of the best match of each item; offsets are in the folded text."""
         if not self.items:
@@ -183,7 +214,8 @@ class Matcher:
                         windows[-1] = (windows[-1][0], high)
                     else:
                         windows.append((low, high))
-            if windows and (best := self._best(i, text, windows)):
+            best_of = self._best_of_words if self.items[i][3] else self._best
+            if windows and (best := best_of(i, text, windows)):
                 found[i] = best
         return [(self.items[i][0], *x) for i, x in sorted(found.items())]
 
@@ -215,13 +247,13 @@ def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars:
         yield sorted(((i, t) for i, t in folded if t), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, exact_below: int = EXACT_BELOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, words_below: int = WORDS_BELOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, match_start, match_end: one row per document and item it holds.
 
     An item of n folded characters is held by a text with a substring within floor(rate * n)
     edits; of an item's matches in a text the one with the fewest edits counts, then the one
-    that ends first, then the shortest. An item of fewer than exact_below folded characters is
-    held only as it stands, between characters that are no letters or digits. Null and blank
+    that ends first, then the shortest. Of an item of fewer than words_below folded characters
+    only matches that no letter or digit precedes or follows count. Null and blank
     items match nothing; null and empty texts hold nothing. Repeated rows are reported each,
     an item that is given twice (same id and text) once. Offsets are in the folded text.
     Columns other than the named ones are ignored.
@@ -232,16 +264,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1,
     """
     spark = docs.sparkSession
     rows = small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    return _by_blocks(spark, _item_blocks(benchmark, item_col, item_text_col, block_chars), lambda shared: rows.mapInArrow(_scan(shared), SCHEMA), rate, exact_below)
+    return _by_blocks(spark, _item_blocks(benchmark, item_col, item_text_col, block_chars), lambda shared: rows.mapInArrow(_scan(shared), SCHEMA), rate, words_below)
 
 
-def _by_blocks(spark, blocks: Iterator[list[tuple[int, str]]], scan, rate: float, exact_below: int) -> DataFrame:
+def _by_blocks(spark, blocks: Iterator[list[tuple[int, str]]], scan, rate: float, words_below: int) -> DataFrame:
     """The rows of scan(broadcast) for all blocks; each but an only one is written before the next is read."""
     done: list[DataFrame] = []
     block = next(blocks)
     while block is not None:
         following = next(blocks, None)
-        shared = spark.sparkContext.broadcast((block, rate, exact_below))
+        shared = spark.sparkContext.broadcast((block, rate, words_below))
         found = scan(shared)
         if done or following is not None:
             found = materialize(found, "block")
@@ -251,7 +283,7 @@ def _by_blocks(spark, blocks: Iterator[list[tuple[int, str]]], scan, rate: float
     return reduce(DataFrame.unionByName, done)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, exact_below: int = EXACT_BELOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, words_below: int = WORDS_BELOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs, with all their columns, whose text holds no item; see find_contamination.
 
     With one block the decision is taken where a row is read: texts aren't shuffled. With
@@ -261,7 +293,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1,
     blocks = _item_blocks(benchmark, "item_id", "text", block_chars)
     first, second = next(blocks), next(blocks, None)
     if second is None:
-        shared = docs.sparkSession.sparkContext.broadcast((first, rate, exact_below))
+        shared = docs.sparkSession.sparkContext.broadcast((first, rate, words_below))
 
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(*shared.value)
@@ -281,5 +313,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1,
         return small_batches(docs.select(F.md5("text").alias("held"), "text")).mapInArrow(texts, "held string").distinct()
 
     rest = (b for part in ([first, second], blocks) for b in part)
-    found = materialize(_by_blocks(docs.sparkSession, rest, held, rate, exact_below).distinct(), "held")
+    found = materialize(_by_blocks(docs.sparkSession, rest, held, rate, words_below).distinct(), "held")
     return docs.join(found, F.md5(docs["text"]) == found["held"], "left_anti")

@@ -99,7 +99,7 @@ def test_long_items_and_repetitive_texts_cost_little():
     import time
 
     item = D.fold(" ".join(words(900, 3)))[:5000]
-    matcher = D.Matcher([(1, item)], 0.1, D.EXACT_BELOW)
+    matcher = D.Matcher([(1, item)], 0.1, D.WORDS_BELOW)
     began = time.process_time()
     for n in (0, 3, 100, 480):
         text = "before " + edited(item, n, n) + " after"
@@ -110,7 +110,46 @@ def test_long_items_and_repetitive_texts_cost_little():
     (found,) = matcher.matches("x " + edited(item, 3, 1) + " y")
     assert time.process_time() - began < 1
     text = D.fold("of the " * 3000 + "of thee of the " * 500)
-    matcher = D.Matcher([(2, D.fold("of the " * 60)), (3, D.fold("of the off " * 40))], 0.1, D.EXACT_BELOW)
+    matcher = D.Matcher([(2, D.fold("of the " * 60)), (3, D.fold("of the off " * 40))], 0.1, D.WORDS_BELOW)
     began = time.process_time()
     assert [(i, d) for i, d, _, _ in matcher.matches(text)] == [(2, 0)]
     assert time.process_time() - began < 5
+
+
+def test_items_of_few_characters_have_their_budget(docs, spark):
+    r = random.Random(9)
+    pool = words(12, 4)
+    items = [(i, " ".join(r.choice(pool) for _ in range(3))[: r.randint(8, 23)].strip()) for i in range(30)] + [(99, "what is the capital x")]
+    rows = [(i, " ".join([" ".join(r.choice(pool) for _ in range(20)), edited(r.choice(items)[1], r.randint(0, 3), i), r.choice(["end", ", end", "end."])])) for i in range(60)]
+    rows += [(100, "say what is the capital x now"), (101, "say what is the capitol x now"), (102, "say what is the cupitol x now"), (103, "say what is the cupitol xyz now"), (104, "somewhat is the capital x")]
+
+    def best(item, text):
+        most, found = len(item) // 10, []
+        for s in range(len(text)):
+            if s and text[s - 1].isalnum():
+                continue
+            for e in range(s + max(1, len(item) - most), min(len(text), s + len(item) + most) + 1):
+                if not text[e : e + 1].isalnum():
+                    found.append(distance_of_all(item, text[s:e]))
+        return min(found, default=99)
+
+    want = {(d, i): x for d, t in rows for i, item in items if (x := best(D.fold(item), D.fold(t))) <= len(D.fold(item)) // 10}
+    found = D.find_contamination(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.distance for r in found} == want
+    assert {d for d, i in want if i == 99 and d >= 100} == {100, 101, 102}
+
+
+def test_cut_items_of_the_benchmark_in_all_documents(spark, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").selectExpr("item_id", "substring_index(text, ' ', 2 + item_id % 3) as text").where("length(text) between 8 and 23")
+    texts = {r.doc_id: D.fold(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect() if r.text and len(r.text) < 6000}
+    found = {(r.doc_id, r.item_id) for r in D.find_contamination(spark.read.parquet(f"{sf}/documents.parquet"), bench).collect() if r.doc_id in texts}
+    items = {r.item_id: D.fold(r.text) for r in bench.collect()}
+    for i, item in items.items():
+        most = len(item) // 10
+        for d, t in texts.items():
+            near = D.distance(item, t, most)[0] <= most
+            if near and (d, i) not in found:  # then no such place begins and ends where words do
+                spans = [(s, e) for s in range(len(t)) if not (s and t[s - 1].isalnum()) for e in range(s + len(item) - most, min(len(t), s + len(item) + most) + 1) if not t[e : e + 1].isalnum()]
+                assert all(D.edits(item, t[s:e]) > most for s, e in spans)
+            assert near or (d, i) not in found
+    assert found

@@ -181,6 +181,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return only_read(result, since)
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates keeps: one row of each class.
+
+    It is rows that are told apart, not ids: rows that share an id, or have none, get numbers of
+    their own above all ids, and such rows with one text are copies like any others. Of a class
+    the row with the smallest id stays. Rows without words are all kept.
+    """
+    since = written()
+    known = docs.groupBy(F.col(id_col).cast("long").alias("id_")).agg(F.count(F.lit(1)).alias("n_"))
+    shared = materialize(known.where("n_ > 1 or id_ is null").select("id_"), "shared")
+    own = F.col(id_col).cast("long").eqNullSafe(F.col("id_"))
+    tagged = docs.join(shared, own, "left_anti").withColumn("row_", F.col(id_col).cast("long"))
+    if not shared.isEmpty():
+        above = docs.agg(F.coalesce(F.max(F.col(id_col).cast("long")), F.lit(0))).first()[0]
+        numbered = docs.join(shared, own, "left_semi").withColumn("row_", F.lit(above + 1) + F.monotonically_increasing_id())
+        tagged = tagged.unionByName(materialize(numbered, "numbered"))
+    copies = materialize(near_duplicates(tagged, "row_", text_col, size, percent).where(~F.col("kept")).select(F.col("doc_id").alias("row_")), "copies")
+    return only_read(tagged.join(copies, "row_", "left_anti").select(docs.columns), since)
+
+
 def _links(rows: DataFrame, nodes: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     signs = nodes.select("doc_id", "n", "sign")
     needed = members.select("doc_id").distinct()

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folioscan.llm.common import materialize, only_read, written
 from folioscan.llm.decontaminate import drop_contaminated
 from folioscan.llm.langid import keep_identified, train, training_sample
-from folioscan.llm.minhash import near_duplicates
+from folioscan.llm.minhash import one_of_each
 from folioscan.llm.mixing import mix_sources
 from folioscan.llm.secrets import redact_secrets
 
@@ -20,8 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies (five words, 0.8) keeps the document with the smallest id."""
-    copies = near_duplicates(docs, size=5, percent=80).where(~F.col("kept")).select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    return one_of_each(docs, size=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -67,15 +68,37 @@ def test_all_but_the_last_return_the_columns_of_documents(stages):
 
 
 def test_odd_rows_and_empty_input(spark, sf, docs):
-    text = " ".join(words(40))
-    odd = docs([(1, None), (2, ""), (3, "123"), (4, f"the and of {text}"), (5, f"the and of {text}"), (None, f"other of the and {text[::-1]}"), (6, "the token=abcdef123456 of the and in that")])
-    sample = spark.read.parquet(f"{sf}/documents.parquet").select(odd.columns)
-    names = {}
-    for frame in (odd.union(sample), odd.limit(0)):
-        for name, f in corpus_pipeline.STAGES:
-            frame = f(spark, frame, sf)
-            names[name] = frame.count()
-    assert set(names.values()) == {0}
+    sample = spark.read.parquet(f"{sf}/documents.parquet")
+    pool = [w for r in sample.where("lang = 'en' and n_chars > 2000").orderBy("doc_id").limit(3).collect() for w in r.text.split() if w.isalpha()]
+    text, other = (" ".join(random.Random(k).sample(pool, 60)) for k in range(2))
+    odd = docs([(-1, None), (-2, ""), (-3, "123"), (-4, text), (-5, text), (None, other), (-6, "the token=abcdef123456 of the and in that")])
+    sample = sample.select(odd.columns)
+    frame, left = odd.union(sample), {}
+    for name, f in corpus_pipeline.STAGES:
+        frame = f(spark, frame, sf).cache()
+        left[name] = {r.doc_id: r for r in frame.collect() if r.doc_id is None or r.doc_id < 0}
+    assert left["language_id"].keys() == {-4, -5, None, -6}
+    assert left["near_dedup"].keys() == left["decontaminate"].keys() == left["mixing"].keys() == {-5, None, -6}
+    assert left["secret_scan"].keys() == {-5, None, -6} and "abcdef123456" not in left["secret_scan"][-6].text
+
+    frame = odd.limit(0)
+    for _, f in corpus_pipeline.STAGES:
+        frame = f(spark, frame, sf)
+        assert frame.count() == 0
+
+
+def test_near_dedup_tells_rows_apart_and_not_ids(spark, sf, docs):
+    a, b, c = (" ".join(words(30, k)) for k in range(3))
+    frame = docs([(1, a), (2, a), (2, b), (5, f"{b} more"), (7, c), (7, c), (None, c), (None, "own words here"), (8, ""), (8, "")])
+    kept = corpus_pipeline.near_dedup(spark, frame, sf).collect()
+    assert sorted((r.text, r.doc_id) for r in kept if r.text) == sorted([(a, 1), (f"{b} more", 5), (c, kept_id(kept, c)), ("own words here", None)])
+    assert len([r for r in kept if r.text == ""]) == 2
+
+
+def kept_id(kept, text):
+    """Of copies that share their ids or have none, any may stay, but one only."""
+    (row,) = [r for r in kept if r.text == text]
+    return row.doc_id
 
 
 def test_run(spark, sf, stages):

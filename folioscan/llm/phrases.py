@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from folioscan.llm.common import materialize, only_read, small_batches, written
 from folioscan.llm.shingles import mix
 
-SHARD_BYTES, PART_KEYS, NUMBER_RANGES = 8 << 20, 2_000_000, 4096
+SHARD_BYTES, PART_KEYS, NUMBER_RANGES, SHARES = 8 << 20, 2_000_000, 4096, 16
 _END = b".,;:!?\n\x0b\x0c\r"
 #: Piece ends become full stops, tabs become spaces, A-Z become a-z.
 PIECE_BYTES = bytes(46 if b in _END else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -261,6 +261,9 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, cover_percen
     whole = triples.join(pairs.select("pair", "lang", "w1", "w2", F.col("l").alias("f1"), F.col("a").alias("f12")), "pair").join(last, "next")
     cut = lambda k, left, right: F.struct(cut_score(F.col("a"), F.col(left), F.col(right)).alias("score"), F.lit(k).alias("k"), F.col(left).alias("l"), F.col(right).alias("r"))
     long = whole.select("lang", text("w1", "w2", "w3"), "a", F.array_min(F.array(cut(1, "f1", "f23"), cut(2, "f12", "f3"))).alias("c")).select("lang", "phrase", "a", "c.l", "c.r", "c.score")
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = short.unionByName(long).withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
+    # The first of each share of a language before the first of all: one task gets SHARES * top rows, however many tasks there are.
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    dealt = short.unionByName(long).withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    dealt = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return only_read(ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), since)

@@ -84,3 +84,22 @@ def conversations_with_feedback(usage: DataFrame, feedback: DataFrame, key: str
     """Every usage event with the last feedback on it, if any."""
     last = feedback.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("timestamp")))).where("_n = 1")
     return usage.join(last.select(key, "rating", "reasons"), key, "left")
+
+
+def feedback_in_time(usage: DataFrame, feedback: DataFrame, key: str, ts: str, tie: str, within: str = "1 hour", late: str = "10 minutes", slot: str = "10 minutes") -> DataFrame:
+    """usage with the last row of feedback on its key that came up to `within` after it, as struct `feedback`, else null.
+
+    On streams both sides have watermarks and the join a range of time, so a usage row is held
+    for `within` plus the delay of the slower stream, then goes out with what came; so does one
+    that nobody answered. Rows later than `late` are dropped. A second stateful step picks the
+    last answer by slots of usage time. usage and feedback have `key` and `ts`; the last is by
+    ts, then by `tie`, a column of feedback. Equal rows of usage count once; a null key gets no answer.
+    """
+    answers = feedback.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.struct(ts, *(c for c in feedback.columns if c not in (key, ts))).alias("_answer"))
+    asked = usage.withColumn("_at", F.col(ts))
+    if usage.isStreaming or feedback.isStreaming:
+        asked, answers = asked.withWatermark("_at", late), answers.withWatermark("_ts", late)
+    in_time = (F.col(key) == F.col("_key")) & (F.col("_ts") >= F.col("_at")) & (F.col("_ts") <= F.col("_at") + F.expr(f"INTERVAL {within}"))
+    last = F.max_by("_answer", F.when(F.col("_answer").isNotNull(), F.struct("_ts", F.col(f"_answer.{tie}")))).alias("feedback")
+    joined = asked.join(answers, in_time, "left_outer")
+    return joined.groupBy(F.window("_at", slot), *usage.columns).agg(last).drop("window")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import queue
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -12,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.sources import versions
+
 Embedder = Callable[[list[str]], list[list[float]]]
 Generator = Callable[[str], str | None]
 
@@ -52,42 +56,137 @@ def fill_cache(chunks: DataFrame, cache: DataFrame, key: str, text: str, embedde
     return cache.select(key, "embedding").unionByName(embedded(missing, key, text, embedder))
 
 
-def answered(prompts: DataFrame, chain: list[tuple[str, Generator]], key: str, prompt: str, deadline: float | None = None, cooldown: Callable[[Exception], float] | None = None) -> DataFrame:
-    """key, provider, answer, attempts: providers in turn until one answers; errors and blanks go on.
+class Late(Exception):
+    """A call was given up when its time was over."""
+
+
+def within(call: Callable[[], str | None], seconds: float | None) -> str | None:
+    """What call returns or raises; Late after `seconds`. A call that is given up ends by itself, its result is dropped."""
+    if seconds is None:
+        return call()
+    box: queue.SimpleQueue = queue.SimpleQueue()
+
+    def run() -> None:
+        try:
+            box.put((call(), None))
+        except Exception as problem:
+            box.put((None, problem))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        value, problem = box.get(timeout=seconds)
+    except queue.Empty:
+        raise Late from None
+    if problem is not None:
+        raise problem
+    return value
+
+
+ANSWERED = "provider string, answer string, attempts array<struct<provider:string,status:string>>, rests array<struct<pool:string,until_ms:bigint,reason:string>>"
+
 
-    attempts: array<struct<provider, status>> with 'ok', 'empty', 'error', 'cooling' or 'late'.
-    deadline: seconds that all providers of a prompt have together; those that it leaves no
-    time for are 'late'. cooldown: how many seconds a provider isn't asked after an error
-    (0: it is); a task remembers this by itself.
+def _resting_pools(resting: DataFrame, pools: list[str]) -> DataFrame:
+    """One row: a map of the pools asked here to when their rest ends; at most one entry a pool."""
+    last = resting.where(F.col("pool").isin(pools)).groupBy("pool").agg(F.max("until_ms").alias("until_ms"))
+    return last.agg(F.map_from_entries(F.collect_list(F.struct("pool", "until_ms"))).alias("_resting"))
+
+
+def answered(prompts: DataFrame, chain: list[tuple[str, Generator]], key: str, prompt: str, deadline: float | None = None, cooldown: Callable[[Exception], float] | None = None, resting: DataFrame | None = None, cap: float | None = None, least: float = 0.0) -> DataFrame:
+    """key, provider, answer, attempts, rests: providers in turn until one answers; errors and blanks go on.
+
+    attempts: 'ok', 'empty', 'error', 'cooling' or 'late' of each provider that was looked at.
+    deadline: seconds that all providers of a prompt have together; a call is given up when they
+    are over (or after `cap` seconds) and is 'late', as are providers that less than `least` is
+    left for. cooldown: how long a provider isn't asked after an error (0: it is). resting: pool,
+    until_ms (of the epoch) of providers that others found resting; on a stream of prompts it is
+    a static side, read anew for each batch by answer_batches. rests: the rests that this row's
+    errors began, for others to know. A null prompt is asked as ''.
     """
+    names = [name for name, _ in chain]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asleep: dict[str, float] = {}
         for frame in frames:
             rows = []
-            for k, text in zip(frame[key], frame[prompt], strict=True):
-                attempts, answer, by, began = [], None, None, time.monotonic()
+            for k, text, known in zip(frame[key], frame[prompt], frame["_resting"], strict=True):
+                asleep |= {p: u for p, u in (known or {}).items() if u > asleep.get(p, 0)}
+                attempts, rests, answer, began = [], [], None, time.monotonic()
                 for name, generate in chain:
-                    now, status = time.monotonic(), "error"
-                    if deadline is not None and now - began >= deadline:
-                        status = "late"
-                    elif asleep.get(name, now) > now:
+                    left = None if deadline is None else deadline - (time.monotonic() - began)
+                    if asleep.get(name, 0) > time.time() * 1000:
                         status = "cooling"
+                    elif left is not None and left <= least:
+                        status = "late"
                     else:
                         try:
-                            answer = generate(text)
+                            answer = within(lambda g=generate, t=text: g("" if t is None else t), min((x for x in (left, cap) if x is not None), default=None))
                             status = "ok" if answer and answer.strip() else "empty"
+                        except Late:
+                            status = "late"
                         except Exception as problem:  # a provider may fail in any way; the next one is asked
-                            asleep[name] = time.monotonic() + (cooldown(problem) if cooldown else 0.0)
+                            status, rest = "error", cooldown(problem) if cooldown else 0.0
+                            if rest > 0:
+                                asleep[name] = time.time() * 1000 + rest * 1000
+                                rests.append({"pool": name, "until_ms": int(asleep[name]), "reason": str(problem)[:200]})
                     attempts.append({"provider": name, "status": status})
                     if status == "ok":
-                        by = name
                         break
-                rows.append((k, by, answer if by else None, attempts))
-            yield pd.DataFrame(rows, columns=[key, "provider", "answer", "attempts"])
+                by = attempts[-1]["provider"] if attempts and attempts[-1]["status"] == "ok" else None
+                rows.append((k, by, answer if by else None, attempts, rests))
+            yield pd.DataFrame(rows, columns=[key, "provider", "answer", "attempts", "rests"])
 
     kind = prompts.schema[key].dataType.simpleString()
-    return prompts.select(key, prompt).mapInPandas(work, f"`{key}` {kind}, provider string, answer string, attempts array<struct<provider:string,status:string>>")
+    rows = prompts.select(key, prompt)
+    rows = rows.crossJoin(F.broadcast(_resting_pools(resting, names))) if resting is not None else rows.withColumn("_resting", F.lit(None).cast("map<string,bigint>"))
+    return rows.mapInPandas(work, f"`{key}` {kind}, {ANSWERED}")
+
+
+def note_rests(rests: DataFrame, cooldowns: str) -> None:
+    """Puts pool, until_ms, reason into the shared table of rests at `cooldowns`; the latest end of a pool stays."""
+    spark = rests.sparkSession
+    for attempt in range(5):
+        shown = versions.manifest(spark, cooldowns)
+        every = rests.unionByName(versions.read_version(spark, cooldowns)) if shown else rests
+        last = every.where("until_ms is not null").groupBy("pool").agg(F.max("until_ms").alias("until_ms"), F.max_by("reason", "until_ms").alias("reason"))
+        try:
+            versions.merge(cooldowns, last, "pool", parts=1)
+            return
+        except versions.Conflict:
+            if attempt == 4:
+                raise
+
+
+def answer_batches(path: str, cooldowns: str, chain: list[tuple[str, Generator]], key: str, prompt: str, **limits) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: answers a batch of prompts and shares the rests of providers.
+
+    Every batch reads the table of rests at `cooldowns` (which streaming.usage.rest_sink may
+    fill as well) and notes its own, so what one task saw fail no task of a later batch asks.
+    Answers are a versioned table by key at `path`; a batch that runs again asks nobody again.
+    """
+
+    def work(rows: DataFrame) -> DataFrame:
+        spark = rows.sparkSession
+        known = versions.read_version(spark, cooldowns) if versions.manifest(spark, cooldowns) else None
+        return answered(rows, chain, key, prompt, resting=known, **limits)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = versions.manifest(spark, path)
+        after = versions.merge(path, batch, key, work, only_missing=True, every=16)
+        if after != (before or {"version": 0})["version"]:
+            rests = versions.read_version(spark, path).join(batch.select(key), key, "left_semi").select(F.explode("rests").alias("x")).select("x.*")
+            if not rests.isEmpty():
+                note_rests(rests, cooldowns)
+
+    return write
+
+
+def answered_in_rounds(prompts: DataFrame, path: str, cooldowns: str, chain: list[tuple[str, Generator]], key: str, prompt: str, rounds: int = 8, **limits) -> DataFrame:
+    """All prompts answered, dealt to rounds by key; rests that a round meets are known to all tasks of the next."""
+    write = answer_batches(path, cooldowns, chain, key, prompt, **limits)
+    for k in range(rounds):
+        write(prompts.where(F.pmod(F.xxhash64(key), F.lit(rounds)) == k), k)
+    return versions.read_version(prompts.sparkSession, path)
 
 
 def ladder(*readers: Callable[[bytes], str | None]) -> Callable[[bytes], str | None]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import fixed
 from folioscan.functions.text import empty
+from folioscan.operators.providers import note_rests
 
 
 def cooldown_seconds(status: Column, body: Column | str) -> Column:
@@ -48,6 +49,17 @@ def track_cooldowns(replies: DataFrame) -> DataFrame:
     return rows.groupBy("pool").applyInPandasWithState(_track, "pool string, until_ms long, resting boolean", "until long", "update", "ProcessingTimeTimeout")
 
 
+def rest_sink(cooldowns: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink of track_cooldowns: rests go to the shared table that chains of providers read."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.where("resting").select("pool", "until_ms", F.lit("reply").alias("reason"))
+        if not rows.isEmpty():
+            note_rests(rows, cooldowns)
+
+    return write
+
+
 def first_seen(events: DataFrame, key: str, ts: str, late: str = "1 hour") -> DataFrame:
     """Stream without repeats of a key within the time that events may be late."""
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])

@@ -188,16 +188,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their own above all ids, and such rows with one text are copies like any others. Of a class
     the row with the smallest id stays. Rows without words are all kept.
     """
-    since = written()
-    known = docs.groupBy(F.col(id_col).cast("long").alias("id_")).agg(F.count(F.lit(1)).alias("n_"))
+    since, number = written(), F.col(id_col).cast("long")
+    known = docs.groupBy(number.alias("id_")).agg(F.count(F.lit(1)).alias("n_"))
     shared = materialize(known.where("n_ > 1 or id_ is null").select("id_"), "shared")
-    own = F.col(id_col).cast("long").eqNullSafe(F.col("id_"))
-    tagged = docs.join(shared, own, "left_anti").withColumn("row_", F.col(id_col).cast("long"))
+    tagged = docs.withColumn("row_", number)
     if not shared.isEmpty():
-        above = docs.agg(F.coalesce(F.max(F.col(id_col).cast("long")), F.lit(0))).first()[0]
+        own = number.eqNullSafe(F.col("id_"))
+        above = docs.agg(F.coalesce(F.max(number), F.lit(0))).first()[0]
         numbered = docs.join(shared, own, "left_semi").withColumn("row_", F.lit(above + 1) + F.monotonically_increasing_id())
-        tagged = tagged.unionByName(materialize(numbered, "numbered"))
-    copies = materialize(near_duplicates(tagged, "row_", text_col, size, percent).where(~F.col("kept")).select(F.col("doc_id").alias("row_")), "copies")
+        tagged = tagged.join(shared, own, "left_anti").unionByName(materialize(numbered, "numbered"))
+    copies = near_duplicates(tagged, "row_", text_col, size, percent).where(~F.col("kept")).select(F.col("doc_id").alias("row_"))
     return only_read(tagged.join(copies, "row_", "left_anti").select(docs.columns), since)
 
 

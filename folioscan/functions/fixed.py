@@ -86,6 +86,15 @@ PROCEDURAL_SIGNALS = (
 SHORT_ANSWER_WORDS = 4
 CLARIFY_MARKER = "please tell me the"
 
+# --- fixed values: words that a transcript's confidence looks at ----------------------------------
+FILLER_WORDS = (
+    "the", "a", "an", "is", "was", "that", "this", "of", "it", "in", "to", "and", "for", "with", "on", "at", "but", "or", "not", "do", "did", "will", "can",
+    "best", "part", "good", "bad", "know", "think", "say", "said", "don't", "i'm", "what", "how",
+)
+TRANSCRIPT_MARKERS = (
+    "kaise", "kare", "kya", "hai", "nahi", "batao", "tarika", "raha", "rahi", "karna", "hota", "karo", "mein", "ka", "ki", "ke", "chahiye", "kab", "kahan",
+)
+
 # --- fixed values: languages of a question -------------------------------------------------------
 STRONG_MARKERS = ("kaise", "kya", "hota", "karna", "batao", "tarika", "kaam", "karta", "samjhao", "bataye")
 WEAK_MARKERS = (

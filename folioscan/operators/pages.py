@@ -24,7 +24,7 @@ from folioscan.functions.text import empty, whitespace_folded
 from folioscan.operators.layout import subject_title
 from folioscan.operators.quality import stop_word_ratio
 
-TOKEN = r"(?is)<!--.*?(?:-->|$)|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|$)|</?[a-z][a-z0-9]*\b[^>]*>?|[^<]+|<"
+TOKEN = r"(?is)<!--.*?(?:-->|$)|<[!?][^>]*>?|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|$)|</?[a-z][a-z0-9]*\b[^>]*>?|[^<]+|<"
 BLOCK = "p div li ul ol tr td th table caption thead tbody tfoot section article header footer nav body head title main aside blockquote pre form dl dt dd br hr h1 h2 h3 h4 h5 h6".split()
 HEADING = ["h1", "h2", "h3", "h4", "h5", "h6"]
 MOST_SPAN = 1000
@@ -41,7 +41,7 @@ def markup_tokens(pages: DataFrame, page: str, html: str) -> DataFrame:
     """page, i, tag (null for text), closes, text, and what is open there: depth, table, cell, row, heading, line."""
     tokens = pages.select(F.col(page).alias("page"), F.posexplode(F.regexp_extract_all(empty(html), F.lit(TOKEN), F.lit(0))).alias("i", "raw"))
     name = F.lower(F.regexp_extract("raw", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
-    silent = F.col("raw").startswith("<!--") | name.isin("script", "style")
+    silent = F.col("raw").startswith("<!") | F.col("raw").startswith("<?") | name.isin("script", "style")
     rows = tokens.withColumn("i", F.col("i") + 1).withColumn("tag", F.when(~silent & (name != ""), name)).withColumn("closes", F.col("raw").startswith("</"))
     rows = rows.withColumn("text", F.when(silent, F.lit(" ")).when(F.col("tag").isNull(), decoded(F.col("raw"))))
     opens = lambda *names: F.col("tag").isin(*names) & ~F.col("closes")

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from folioscan.functions import rules
 from folioscan.functions import text as X
 from folioscan.operators import excerpts as P
+from folioscan.operators import grids as B
 from folioscan.operators import layout as L
+from folioscan.operators import pages as H
 from folioscan.operators import providers as V
 from folioscan.operators import quality as Q
 from folioscan.operators import retrieval as R
 from folioscan.operators import tagging as G
 from folioscan.operators import transcripts as N
-from folioscan.plans.base import Tables, query
+from folioscan.plans.base import Shared, Tables, query
 from folioscan.plans.retrieval import _TERMS, _hits
 from folioscan.sources import tables as S
 
@@ -155,12 +157,17 @@ def repaired_transcripts(t: Tables) -> DataFrame:
     return t.events.select("event_id", N.repaired(said, ["Error."], {"click": "press"}).alias("repaired"))
 
 
+_ADJECTIVES, _NOUNS = "small red blue hot cold large green old".split(), "ring widget bolt gear plate valve pump spring".split()
+
+
 @query()
 def alternatives(t: Tables) -> DataFrame:
-    """Readings to offer for event types and their confidence."""
-    kinds = t.events.select("event_type").distinct()
-    terms, lexicon = ["clock", "purse", "review", "sign up now"], {"click": "press button"}
-    return kinds.select("event_type", F.array_join(N.alternatives_of(lexicon, terms)("event_type"), ";").alias("offers"), N.confidence_of(terms)(F.col("event_type"), F.concat("event_type", F.lit(" review now"))).alias("confidence"))
+    """Readings to offer for every part's misheard name and every event's type, with confidence; tests hold them to the plain walk."""
+    terms, forms = [f"{a} {n}" for a in _ADJECTIVES for n in _NOUNS] + ["clock", "purse", "review", "sign up now"], {"click": "press button", "bolt": "screw thread"}
+    heard = t.part.select(F.col("p_partkey").alias("id"), F.concat(F.substring("p_name", 2, 40), F.lit(" "), F.lower(F.substring("p_type", 1, 3))).alias("heard"), F.col("p_name").alias("said"))
+    events = t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("heard"), F.concat("event_type", F.lit(" review now")).alias("said"))
+    rows = heard.union(events)
+    return rows.select("id", "heard", F.array_join(N.alternatives_of(forms, terms)("heard"), ";").alias("offers"), N.confidence("heard", "said", terms).alias("confidence"))
 
 
 @query("""SELECT event_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS value FROM events""")
@@ -209,3 +216,67 @@ def url_paths(t: Tables) -> DataFrame:
     """Paths of documents as they stand in an address."""
     rows = t.part.where(F.col("p_name").rlike("^[A-Za-z0-9 ]*$"))
     return rows.select("p_partkey", X.url_path(F.concat(F.lit("manuals/a b/"), "p_name", F.lit(".pdf"))).alias("path"))
+
+
+_WORDS = Shared(
+    "lineitem", page="l_suppkey", n="l_orderkey * 10 + l_linenumber", flag="l_returnflag",
+    x0="CAST(CASE WHEN l_orderkey % 60 % 9 = 0 THEN 0 ELSE l_partkey % 5 * 60 + l_partkey % 3 END AS DOUBLE)", y0="CAST(l_orderkey % 60 * 12 AS DOUBLE)",
+    x1="CAST(CASE WHEN l_orderkey % 60 % 9 = 0 THEN 0 ELSE l_partkey % 5 * 60 + l_partkey % 3 END + CASE WHEN l_suppkey % 4 = 0 AND l_discount > 0.09 THEN 75 ELSE 20 END AS DOUBLE)", y1="CAST(l_orderkey % 60 * 12 + 10 AS DOUBLE)",
+)
+_CANDIDATES = f"""w AS ({_WORDS.sql}),
+    l AS (SELECT *, sum(o) OVER (PARTITION BY page ORDER BY y0, n ROWS UNBOUNDED PRECEDING) AS line FROM (
+        SELECT *, CASE WHEN y0 < max(y1) OVER (PARTITION BY page ORDER BY y0, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM w)),
+    c AS (SELECT *, sum(p) OVER (PARTITION BY page, line ORDER BY x0, n ROWS UNBOUNDED PRECEDING) AS cell FROM (
+        SELECT *, CASE WHEN x0 < 8 + max(x1) OVER (PARTITION BY page, line ORDER BY x0, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS p FROM l)),
+    b AS (SELECT page, line, cell, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM c GROUP BY ALL),
+    r AS (SELECT page, line, line - row_number() OVER (PARTITION BY page ORDER BY line) AS run FROM b GROUP BY page, line HAVING count(*) > 1),
+    v AS (SELECT page, line, min(line) OVER (PARTITION BY page, run) AS band, count(*) OVER (PARTITION BY page, run) AS n FROM r),
+    h AS (SELECT b.*, band FROM b JOIN v ON v.page = b.page AND v.line = b.line WHERE n >= 2),
+    g AS (SELECT page, band, k, min(x0) AS from_x FROM (SELECT *, sum(o) OVER (PARTITION BY page, band ORDER BY x0, line, cell ROWS UNBOUNDED PRECEDING) AS k FROM (
+        SELECT *, CASE WHEN x0 < 8 + max(x1) OVER (PARTITION BY page, band ORDER BY x0, line, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM h)) GROUP BY ALL),
+    e AS (SELECT page, band, k, min(x0) AS from_x FROM (SELECT *, sum(o) OVER (PARTITION BY page, band ORDER BY x0, line, cell ROWS UNBOUNDED PRECEDING) AS k FROM (
+        SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY page, band ORDER BY x0, line, cell) <= 3 THEN 0 ELSE 1 END AS o FROM h)) GROUP BY ALL),
+    s AS (SELECT page, band, 'gaps' AS strategy, from_x FROM g UNION ALL SELECT page, band, 'edges', from_x FROM e UNION ALL SELECT page, band, 'head', x0 FROM h WHERE line = band),
+    t AS (SELECT *, lead(from_x) OVER (PARTITION BY page, band, strategy ORDER BY from_x) AS to_x FROM s),
+    u AS (SELECT page, band, strategy, count(*) AS columns, count(*) FILTER (NOT EXISTS (SELECT 1 FROM h WHERE h.page = t.page AND h.band = t.band AND h.line = h.band AND h.x0 >= from_x AND (to_x IS NULL OR h.x0 < to_x))) AS unnamed FROM t GROUP BY ALL),
+    x AS (SELECT page, band, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM h GROUP BY ALL),
+    candidates AS (SELECT u.page, u.band AS table_id, strategy, x0, y0, x1, y1, columns, unnamed FROM u JOIN x ON x.page = u.page AND x.band = u.band)"""
+
+
+@query(f"WITH {_CANDIDATES} SELECT page, CAST(table_id AS BIGINT) AS table_id, strategy, x0, y0, x1, y1, columns, unnamed FROM candidates")
+def table_candidates(t: Tables) -> DataFrame:
+    """Bands of lines in cells on every supplier's page, with the columns that three strategies see."""
+    return B.table_candidates(_WORDS.of(t).drop("flag"))
+
+
+@query(f"""WITH {_CANDIDATES},
+    m AS (SELECT c.page, table_id, strategy, columns, unnamed, count(*) FILTER (flag <> 'R' AND (w.x0 + w.x1) / 2 BETWEEN c.x0 AND c.x1) AS covered, count(*) FILTER (flag <> 'R' AND NOT (w.x0 + w.x1) / 2 BETWEEN c.x0 AND c.x1) AS clipped,
+                 count(*) FILTER (flag = 'R' AND (w.x0 + w.x1) / 2 BETWEEN c.x0 AND c.x1) AS swallowed
+          FROM candidates c JOIN w ON w.page = c.page AND (w.y0 + w.y1) / 2 BETWEEN c.y0 AND c.y1 GROUP BY ALL),
+    z AS (SELECT page, strategy, row_number() OVER (PARTITION BY page ORDER BY sum(unnamed), sum(clipped), sum(swallowed), -sum(covered), sum(columns), strategy) AS rn FROM m GROUP BY page, strategy)
+    SELECT m.page, CAST(table_id AS BIGINT) AS table_id, m.strategy, columns, unnamed, covered, clipped, swallowed FROM m JOIN z ON z.page = m.page AND z.strategy = m.strategy WHERE rn = 1""")
+def chosen_tables(t: Tables) -> DataFrame:
+    """The candidates of each page's best strategy; returned rows stand for running lines."""
+    words = _WORDS.of(t)
+    return B.chosen_tables(words, F.col("flag") == "R").drop("x0", "y0", "x1", "y1")
+
+
+_LISTS = "replace(replace(replace(replace(html, '<ul>', '<table>'), '</ul>', '</table>'), '<li>', '<tr><td>'), '</li>', '</td></tr>')"
+
+
+@query(r"""WITH n AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1), '(?s)<li>.*?</li>') AS items FROM pages),
+    c AS (SELECT page_id, list_transform(items, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ 	
+]+', ' ', 'g'))) AS cells FROM n WHERE len(items) > 0)
+    SELECT page_id AS page, CAST(len(cells) AS BIGINT) AS n_rows, '|' || replace(cells[1], '|', '\|') || '|' || chr(10) || '|---|' || array_to_string(list_transform(cells[2:], lambda x: chr(10) || '|' || replace(x, '|', '\|') || '|'), '') AS table_text FROM c""")
+def page_tables(t: Tables) -> DataFrame:
+    """The navigation list of every page, marked as a table, read as one and written as markdown."""
+    blocks = H.page_blocks(t.pages.selectExpr("page_id", f"{_LISTS} AS html"))
+    return blocks.where("kind = 'table'").select("page", F.size("rows").cast("long").alias("n_rows"), F.col("text").alias("table_text"))
+
+
+@query()
+def document_sections(t: Tables) -> DataFrame:
+    """The pages of every host as one document: lines, headings and lists as tables under their sections; tests hold blocks to a plain walk."""
+    blocks = H.page_blocks(t.pages.selectExpr("page_id", f"{_LISTS} AS html"))
+    places = t.pages.select(F.col("page_id").alias("page"), F.regexp_extract("url", r"//([^/]*)", 1).alias("doc"), F.col("page_id").alias("page_no"))
+    return H.document_sections(blocks, places)

@@ -27,7 +27,7 @@ def walk(html):
         raw = m[0]
         tag = re.match(r"</?([A-Za-z][A-Za-z0-9]*)", raw)
         name = tag[1].lower() if tag else None
-        silent = raw.startswith("<!--") or name in ("script", "style")
+        silent = raw.startswith(("<!", "<?")) or name in ("script", "style")
         closes = raw.startswith("</")
         if silent or name is None:
             text = " "
@@ -83,9 +83,9 @@ def blocks(spark, htmls):
 
 def test_odd_markup_equals_the_walk(spark):
     r = random.Random(2)
-    bits = ["<table>", "</table>", "<TABLE class='x'>", "<tr>", "</tr>", "<td>", "<td colspan=2>", "<th rowspan='2'>", "</td>", "</th>", "<p>", "</p>", "<br/>", "<h2>", "</h2>", "<b>", "</b>", "<!-- no -->", "<script>var t='<td>'</script>", "one ", "two", " three &amp; four ", "a < b", "&nbsp;", "\n", "<td colspan=0>", "<td rowspan=999>", "<!-- open", "<div"]
+    bits = ["<table>", "</table>", "<TABLE class='x'>", "<tr>", "</tr>", "<td>", "<td colspan=2>", "<th rowspan='2'>", "</td>", "</th>", "<p>", "</p>", "<br/>", "<h2>", "</h2>", "<b>", "</b>", "<!-- no -->", "<script>var t='<td>'</script>", "one ", "two", " three &amp; four ", "a < b", "&nbsp;", "\n", "<td colspan=0>", "<td rowspan=999>", "<!-- open", "<div", "<!DOCTYPE html>", "<?x"]
     weights = [1] * len(bits)
-    for k in (-1, -2):
+    for k in (-1, -3, -4):
         weights[k] = 0.02
     htmls = ["".join(r.choices(bits, weights, k=r.randint(0, 60))) for _ in range(300)] + [None, "", "plain", "</table></td>x", "<table><tr><td>a<table><tr><td>in</td></tr></table>b</td></tr></table>after"]
     assert blocks(spark, htmls) == [walk(h) for h in htmls]

@@ -222,15 +222,6 @@ def evaluation_metrics(t: Tables) -> DataFrame:
     return E.all_metrics(_CASES.of(t))
 
 
-_DIMS = "(SELECT max(len(embedding)) FROM embeddings)"
-
-
-@query(f"""SELECT vec_id AS key, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings WHERE (SELECT count(*) FROM embeddings) = (SELECT count(*) FROM embeddings WHERE vec_id IS NOT NULL) AND {_DIMS} = (SELECT min(len(embedding)) FROM embeddings)""")
-def usable_vectors(t: Tables) -> DataFrame:
-    """The vectors, if there is one of the right size for each key; else none, and search goes by words alone."""
-    vectors = t.embeddings.select(F.col("vec_id").alias("key"), "embedding")
-    dim = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
-    return R.usable_vectors(vectors, vectors.select("key"), "key", dim).select("key", F.size("embedding").alias("dim"))
 
 
 _FILES = Shared("orders", o_orderkey="o_orderkey", name="CASE o_orderkey % 5 WHEN 0 THEN 'VB_SMI_B_' || o_custkey % 90 || '.pdf' WHEN 1 THEN 'CAI a-2024-' || (o_custkey % 12 + 1) || ' Door.pdf' WHEN 2 THEN 'Report on bearing guidelines.pdf' WHEN 3 THEN 'No. letter.pdf' ELSE 'wheel marking.pdf' END")

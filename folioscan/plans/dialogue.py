@@ -72,14 +72,6 @@ def _detected(part: DataFrame) -> DataFrame:
     return rows.select("p_partkey", I.asked_system("q").alias("system"), I.asked_coach("q").alias("coach"), I.asked_maker("q").alias("maker"), I.asked_doc_type("q").alias("doc_type"), I.is_corpus_count("q").alias("counting"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'FSDS' WHEN p_partkey % 3 = 1 THEN 'WSP' END AS system, CASE p_partkey % 4 WHEN 0 THEN 'LHB' WHEN 1 THEN 'Vande Bharat' END AS coach,
-    CASE p_partkey % 5 WHEN 0 THEN 'KNORR BREMSE' END AS maker, CASE p_partkey % 2 WHEN 0 THEN 'circular' END AS doc_type, p_partkey % 2 = 0 AS counting FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 3 = 1""")
-def detectors(t: Tables) -> DataFrame:
-    """System, coach, maker and document kind that generated questions name."""
-    k = F.col("p_partkey")
-    return _detected(t.part.where((k % 5 != 0) | (k % 3 == 1)))
-
-
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 5 <> 0 THEN 'FSDS' WHEN p_partkey % 3 = 1 OR p_partkey % 3 = 2 AND p_partkey % 5 = 0 THEN 'WSP' END AS system, CASE p_partkey % 4 WHEN 0 THEN 'LHB' WHEN 1 THEN 'Vande Bharat' END AS coach,
     CASE p_partkey % 5 WHEN 0 THEN 'KNORR BREMSE' END AS maker, CASE p_partkey % 2 WHEN 0 THEN 'circular' END AS doc_type, p_partkey % 2 = 0 AS counting FROM part""")
 def detectors_all(t: Tables) -> DataFrame:
@@ -124,17 +116,14 @@ def feedback_draft(t: Tables) -> DataFrame:
     return drafts.select((F.substring("id", 4, 10).cast("long") - 100_000).alias("event_id"), "id", "notes", "expect_doc")
 
 
-@query("SELECT p_partkey, '3.8nm' AS squeezed, 'ft0027800003' AS part, true AS present FROM part")
+@query("""SELECT p_partkey, p_size || '.' || p_partkey % 10 || 'nm' AS squeezed, 'ft' || (p_partkey + 1000) || substr(CAST(p_size + 100 AS VARCHAR), 2) AS part, p_size % 3 <> 0 OR p_partkey % 10 = p_size % 10 AS present FROM part""")
 def compact_values(t: Tables) -> DataFrame:
-    """Values and designations without spacing, signs and separators."""
-    return t.part.select("p_partkey", X.compact(F.lit("± 3,8 Nm")).alias("squeezed"), X.compact_designation(F.lit("FT0027800/003")).alias("part"), X.value_in_context(F.lit("3.8 Nm"), F.lit("torque 3,8 NM")).alias("present"))
-
-
-@query("SELECT conv_id, turn, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), ' ') AS spoken FROM conversations WHERE NOT regexp_matches(text, '[*#_`~\\[\\]-]|[0-9]') AND length(text) <= 800")
-def spoken(t: Tables) -> DataFrame:
-    """Plain turns as they are read aloud."""
-    rows = t.conversations.where(~F.col("text").rlike(r"[*#_`~\[\]-]|[0-9]") & (F.char_length("text") <= 800))
-    return rows.select("conv_id", "turn", X.spoken("text").alias("spoken"))
+    """Every part's size as a value and its key as a designation, without spacing, signs and separators; whether a text has the value."""
+    digit, size = F.col("p_partkey") % 10, F.col("p_size")
+    value = F.concat(F.lit("\u00b1 "), size, F.lit(","), digit, F.lit(" Nm"))
+    name = F.concat(F.lit("FT"), F.col("p_partkey") + 1000, F.lit("/"), F.substring((size + 100).cast("string"), 2, 2))
+    context = F.concat(F.lit("torque "), size, F.lit("."), F.when(size % 3 == 0, size % 10).otherwise(digit), F.lit(" NM"))
+    return t.part.select("p_partkey", X.compact(value).alias("squeezed"), X.compact_designation(name).alias("part"), X.value_in_context(F.concat(size, F.lit("."), digit, F.lit(" Nm")), context).alias("present"))
 
 
 @query()

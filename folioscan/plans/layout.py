@@ -34,14 +34,6 @@ def _boxes(t: Tables) -> DataFrame:
     return t.lineitem.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), q.alias("x0"), y.alias("y0"), (q + 4).alias("x1"), (y + 2).alias("y1"), F.col("l_returnflag").alias("flag"))
 
 
-@query("SELECT l_orderkey AS page, l_linenumber AS n, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY round(l_tax * 100, 1), l_quantity) AS INTEGER) AS place FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_tax, l_quantity) AS same FROM lineitem) QUALIFY max(same) OVER (PARTITION BY l_orderkey) = 1")
-def reading_order(t: Tables) -> DataFrame:
-    """Words of pages without two at one spot, in reading order."""
-    boxes = _boxes(t)
-    double = boxes.groupBy("page", "x0", "y0").count().where("count > 1").select("page").distinct()
-    return L.reading_order(boxes.join(double, "page", "left_anti"), "page", "x0", "y0", "n").select("page", "n", "place")
-
-
 @query("SELECT l_orderkey AS page, l_linenumber AS n, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY round(l_tax * 100, 1), l_quantity, l_linenumber) AS INTEGER) AS place FROM lineitem")
 def reading_order_all(t: Tables) -> DataFrame:
     """Words of all pages in reading order; those at one spot by their numbers."""
@@ -266,7 +258,8 @@ _LISTS = "replace(replace(replace(replace(html, '<ul>', '<table>'), '</ul>', '</
 
 @query(r"""WITH n AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1), '(?s)<li>.*?</li>') AS items FROM pages),
     c AS (SELECT page_id, list_transform(items, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ 	
-]+', ' ', 'g'))) AS cells FROM n WHERE len(items) > 0)
+
+]+', ' ', 'g'))) AS cells FROM n WHERE len(items) > 0)
     SELECT page_id AS page, CAST(len(cells) AS BIGINT) AS n_rows, '|' || replace(cells[1], '|', '\|') || '|' || chr(10) || '|---|' || array_to_string(list_transform(cells[2:], lambda x: chr(10) || '|' || replace(x, '|', '\|') || '|'), '') AS table_text FROM c""")
 def page_tables(t: Tables) -> DataFrame:
     """The navigation list of every page, marked as a table, read as one and written as markdown."""

@@ -22,7 +22,9 @@ def duck(sf):
 def plain(x):
     if x is None or (not hasattr(x, "__len__") and pd.isna(x)):
         return None
-    return round(x, 9) if isinstance(x, float) else x
+    if isinstance(x, float):  # pandas holds whole numbers with nulls among them as floats, or not
+        return int(x) if x.is_integer() else round(x, 9)
+    return x
 
 
 def normal(df):

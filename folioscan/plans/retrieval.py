@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from folioscan.functions import fixed
 from folioscan.functions.scoring import coach_factor, document_cap, recency_factor, supersession_factor
 from folioscan.functions.text import overlap_ratio, overlap_tokens
+from folioscan.operators import indexed as D
 from folioscan.operators import retrieval as R
 from folioscan.operators import supersession as S
 from folioscan.plans.base import ORACLES, Tables, query
+from folioscan.sources.files import shared_folder
 
 _TERMS = """
     p AS (SELECT doc_id AS chunk_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}'))) AS term FROM documents),
@@ -277,3 +279,14 @@ def seated_amendments(t: Tables) -> DataFrame:
     rows = pool.join(docs, "chunk_id")
     finals = rows.where("rank <= 8").withColumn("newer_doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") + 1))
     return S.with_amendments(finals, rows, least=0.15).withColumn("pulled_by", F.coalesce("pulled_by", F.lit(-1).cast("long")))
+
+
+@query(ORACLES["keyword_topk"])
+def indexed_topk(t: Tables) -> DataFrame:
+    """The rows of keyword_topk from a posting index that is written once, long lists read only where they can matter."""
+    spark = t.documents.sparkSession
+    path = shared_folder(spark, "index")
+    D.write_index(t.documents, "doc_id", "text", "source", path)
+    hits = D.indexed_hits(spark, path, R.query_terms(t.benchmark, "item_id", "text"), fixed.TOP_K_FINAL, fixed.PER_DOC_CAP)
+    scored = hits.withColumnRenamed("doc", "doc_id").withColumn("score", F.round(F.col("hits") / F.col("terms"), 6))
+    return R.diversified(scored, fixed.TOP_K_FINAL, fixed.PER_DOC_CAP).select("query_id", "rank", "chunk_id", "doc_id", "score")

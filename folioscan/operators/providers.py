@@ -8,13 +8,16 @@ import queue
 import re
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscan.sources import versions
+from folioscan.sources.files import shared_folder
 
 Embedder = Callable[[list[str]], list[list[float]]]
 Generator = Callable[[str], str | None]
@@ -50,6 +53,102 @@ def embedded(rows: DataFrame, key: str, text: str, embedder: Embedder, batch: in
     return rows.select(key, text).dropDuplicates([key]).mapInPandas(work, f"`{key}` {kind}, embedding array<float>")
 
 
+class Refused(Exception):
+    """A service said no: status is its code."""
+
+    def __init__(self, status: int, message: str = ""):
+        super().__init__(f"{status} {message}".strip())
+        self.status = status
+
+
+class OutOfQuota(Exception):
+    """A service refuses every try of a call: asking on can't help now."""
+
+
+BUSY = (429, 500, 503)
+
+
+def patient(embedder: Embedder, tries: int = 7, cap: float = 45.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[list[str]], list[list[float] | None]]:
+    """An embedder that waits and tries again while the service is busy, and finds the texts that it can't take.
+
+    Busy codes are tried `tries` times with waits of 1, 2, 4 seconds up to `cap`, then OutOfQuota
+    is raised. Any other failure halves the batch until the texts that cause it stand alone;
+    these get None, so one bad text costs about two calls a halving and no other its vector.
+    """
+
+    def once(texts: list[str]) -> list[list[float] | None]:
+        for attempt in range(tries):
+            try:
+                return list(embedder(texts))
+            except Refused as no:
+                if no.status not in BUSY:
+                    raise
+                if attempt + 1 < tries:
+                    sleep(min(2.0**attempt, cap))
+        raise OutOfQuota(f"refused {tries} times")
+
+    def embed(texts: list[str]) -> list[list[float] | None]:
+        if not texts:
+            return []
+        try:
+            vectors = once(texts)
+            if len(vectors) != len(texts):
+                raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+            return vectors
+        except OutOfQuota:
+            raise
+        except Exception:  # whatever the service dislikes about a batch
+            half = len(texts) // 2
+            return embed(texts[:half]) + embed(texts[half:]) if half else [None]
+
+    return embed
+
+
+def embedded_as_far(rows: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list[list[float] | None]], batch: int = 16) -> DataFrame:
+    """key, embedding, status of every distinct key: 'done', 'bad' (a text that no call takes) or 'left' (quota ended before it).
+
+    embedder: as patient() makes it. A task that meets the end of its quota asks no more; what
+    it has done counts. Null texts are ''.
+    """
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        over = False
+        for frame in frames:
+            for i in range(0, len(frame), batch):
+                part = frame.iloc[i : i + batch]
+                vectors: list[list[float] | None] = [None] * len(part)
+                if not over:
+                    try:
+                        vectors = embedder([t or "" for t in part[text]])
+                    except OutOfQuota:
+                        over = True
+                yield pd.DataFrame({key: part[key], "embedding": vectors, "status": ["left" if over else "bad" if v is None else "done" for v in vectors]})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, text).dropDuplicates([key]).mapInPandas(work, f"`{key}` {kind}, embedding array<float>, status string")
+
+
+def fill_vectors(chunks: DataFrame, path: str, key: str, text: str, embedder: Callable[[list[str]], list[list[float] | None]], batch: int = 16, parts: int = 16, every: int = 4) -> DataFrame:
+    """Brings the versioned vectors at `path` up to the chunks; key, status ('bad' or 'left') of those that still lack one.
+
+    Only keys without a vector are asked for, `every` parts at a time, each of them a
+    checkpoint; after quota ended, what is done is published, and a later call goes on.
+    """
+    spark = chunks.sparkSession
+    notes = shared_folder(spark, "embedded")
+
+    def work(rows: DataFrame) -> DataFrame:
+        at = f"{notes}/{uuid.uuid4().hex}"
+        embedded_as_far(rows, key, text, embedder, batch).write.parquet(at)
+        return spark.read.parquet(at).where("status = 'done'").select(key, "embedding")
+
+    before = versions.manifest(spark, path)
+    version = versions.merge(path, chunks.select(key, text), key, work, only_missing=True, parts=parts, every=every)
+    if version == (before or {"version": 0})["version"]:
+        return chunks.sparkSession.createDataFrame([], T.StructType([chunks.schema[key], T.StructField("status", T.StringType())]))
+    return spark.read.parquet(f"{notes}/*").where("status <> 'done'").select(key, "status")
+
+
 def fill_cache(chunks: DataFrame, cache: DataFrame, key: str, text: str, embedder: Embedder) -> DataFrame:
     """The cache with what it lacked: only missing keys are embedded, so a run that stopped goes on."""
     missing = chunks.join(cache.select(key), key, "left_anti")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.functions import text as X
 from folioscan.operators import providers as P
+from folioscan.operators import register as G
 from folioscan.operators import retrieval as R
 from folioscan.plans.base import Shared, Tables, query
+from folioscan.sources import local as K
 from folioscan.sources import versions as V
 from folioscan.sources.files import shared_folder
 from folioscan.streaming import usage as U
@@ -85,3 +88,35 @@ def answers_by_chain(t: Tables) -> DataFrame:
     chain = [("resting", lambda p: "never"), ("short", _short), ("broken", _broken), ("last", lambda p: "see the source")]
     rows = P.answered(turns, chain, "key", "text", resting=resting)
     return rows.select("key.conv_id", "key.turn", "provider", F.array_join(F.transform("attempts", lambda a: a["status"]), ",").alias("statuses"))
+
+
+_N, _DAY = "(o_custkey % 80 + 10)", "(o_orderkey % 18 + 10)"
+_FILES = Shared(
+    "orders", no="o_orderkey", kind="o_orderkey % 6", n=_N, d=_DAY,
+    path=f"CASE o_orderkey % 6 WHEN 0 THEN 'in/VB_SMI_B_' || {_N} || ' ' || {_DAY} || '.07.2024.pdf' WHEN 1 THEN 'in/CAI a-2024-' || {_N} || ' Door 2024-03-' || {_DAY} || '.pdf' WHEN 2 THEN 'in/VB_SMI_B_' || {_N} || ' ' || {_DAY} || '.07.2024.pdf' WHEN 3 THEN 'in/wheel marking.pdf' WHEN 4 THEN 'in/scan_' || {_N} || '.pdf' ELSE 'in/x.pdf' END",
+    first_page=f"CASE o_orderkey % 6 WHEN 0 THEN 'VB / SMI / B / ' || {_N} || chr(10) || 'Date: ' || {_DAY} || '.7.2024' || chr(10) || 'Sub: Refurbish pump ' || {_N} WHEN 1 THEN NULL WHEN 2 THEN 'VB / SMI / C / ' || {_N} || chr(10) || 'Date: ' || {_DAY} || '.8.2024' || chr(10) || 'Sub: Bearing of axle ' || {_N} WHEN 3 THEN 'plain text' WHEN 4 THEN 'Sub: xqzv kkjq wwzz qqpp xxvv bbnn mmkk zzxx qqww jjkk vvbb nnmm ttrr ppqq' ELSE 'MC/WA/' || {_N} || chr(10) || 'Dated - ' || {_DAY} || '/9/2023' || chr(10) || 'Subject: Door leaf number ' || {_N} END",
+    pages="CASE WHEN o_orderkey % 6 = 3 THEN NULL ELSE 4 END", scans="CASE WHEN o_orderkey % 6 = 4 THEN 2 ELSE 0 END", text_chars="CASE o_orderkey % 6 WHEN 4 THEN 400 ELSE 9000 END",
+)
+_SUBSYSTEMS = (("bearings", r"\bbearing"), ("wheels", r"\bwheel"), ("doors", r"\bdoor\b"))
+
+
+@query(f"""SELECT no, CASE kind WHEN 0 THEN '2024-07-' || d WHEN 1 THEN '2024-03-' || d WHEN 2 THEN '2024-08-' || d WHEN 5 THEN '2023-09-' || d ELSE '' END AS issue_date,
+    CASE kind WHEN 0 THEN 'VB / SMI / B / ' || n WHEN 1 THEN 'CAI A-2024/' || n WHEN 2 THEN 'VB / SMI / C / ' || n WHEN 5 THEN 'MC/WA/' || n ELSE '' END AS letter_no,
+    CASE kind WHEN 0 THEN 'Refurbish pump ' || n WHEN 1 THEN 'CAI a-2024-' || n || ' Door 2024-03-' || d WHEN 2 THEN 'Bearing of axle ' || n WHEN 3 THEN 'wheel marking' WHEN 4 THEN 'xqzv kkjq wwzz qqpp xxvv bbnn mmkk zzxx qqww jjkk vvbb nnmm ttrr ppqq' ELSE 'Door leaf number ' || n END AS title,
+    CASE kind WHEN 1 THEN 'doors' WHEN 2 THEN 'bearings' WHEN 3 THEN 'wheels' WHEN 5 THEN 'doors' ELSE '' END AS subsystem, kind = 4 AS force_ocr,
+    CASE kind WHEN 0 THEN 'page,page,page' WHEN 1 THEN 'name,name,name' WHEN 2 THEN 'page,page,page' WHEN 3 THEN 'none,none,name' WHEN 4 THEN 'none,none,page' ELSE 'page,page,page' END AS origin,
+    CASE kind WHEN 1 THEN 'no ''Sub:'' line, title taken from filename' WHEN 2 THEN 'date: filename=2024-07-' || d || ' vs page=2024-08-' || d || '; letter_no: filename=''VB/SMI/B/' || n || ''' vs page=''VB / SMI / C / ' || n || ''''
+        WHEN 3 THEN 'no date found; no letter_no found; no ''Sub:'' line, title taken from filename' WHEN 4 THEN 'no date found; no letter_no found; 2/4 pages are scans, look again when they have been read; page 1 text is mojibake' ELSE '' END AS review
+    FROM ({_FILES.sql})""")
+def register_entries(t: Tables) -> DataFrame:
+    """Register rows of every order's file: name and page agree, one is missing, both, or they contradict each other."""
+    files = _FILES.of(t)
+    keyed = G.register_entries(files.withColumn("path", F.concat(F.lit("d/"), F.col("no").cast("string"), F.lit("/"), "path")), X.DOC_TYPES, _SUBSYSTEMS)
+    return keyed.select(F.regexp_extract("path", r"^d/(-?\d+)/", 1).cast("long").alias("no"), "issue_date", "letter_no", "title", "subsystem", "force_ocr", F.concat_ws(",", "origin.issue_date", "origin.letter_no", "origin.title").alias("origin"), F.array_join("review", "; ").alias("review"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, coalesce(length(text), 0) AS chars FROM conversations), r AS (SELECT *, sum(chars) OVER o AS held, row_number() OVER o AS place FROM s WINDOW o AS (PARTITION BY conv_id ORDER BY turn DESC, chars ROWS UNBOUNDED PRECEDING))
+    SELECT conv_id, turn, CAST(chars AS INTEGER) AS chars FROM r WHERE held <= 1500 OR place <= 2""")
+def shed_history(t: Tables) -> DataFrame:
+    """The newest turns of every conversation within 1500 characters, two at least."""
+    return K.shed_to_budget(t.conversations.select("conv_id", "turn", F.coalesce(F.char_length("text"), F.lit(0)).alias("chars")), "conv_id", "turn", "chars", "chars", 1500, 2)

@@ -170,6 +170,9 @@ GREEK = {
     "mu": "µ", "Omega": "Ω", "omega": "ω", "deg": "°", "circ": "°", "times": "×", "cdot": "·", "pm": "±",
     "approx": "≈", "leq": "≤", "geq": "≥", "le": "≤", "ge": "≥",
 }
+MATH_INLINE = r"\$\$?(?P<inner>[^$\n]{1,120}?)\$\$?"
+MATH_MARK = r"\\(?:text|mathrm|mathit|mathbf|mathsf)\s*\{(?=[^}]*\})|\\(?P<name>[a-zA-Z]+)|\\[,;:!> ]|[\^_{}]"
+MATH_SIGNS = "µΩ°×·±"
 
 # --- fixed values: page numbers as they are printed ------------------------------------------------------
 PAGE_FOOTER = r"(?i)^\s*(page\s+)?\d+\s*(of|/)\s*\d+\s*$"

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import fixed
@@ -28,40 +25,35 @@ def mark_superseded(chunks: DataFrame, newest: DataFrame) -> DataFrame:
     return chunks.join(side, "doc_id", "left").withColumn("superseded", F.col("newer_doc_id").isNotNull())
 
 
-def _seat(k: int, least: float):
-    def seat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for query_id, finals, pool in zip(batch["query_id"], batch["finals"], batch["pool"], strict=True):
-                for rank, (chunk_id, pulled_by) in enumerate(seat_counterparts(finals, pool if pool is not None else [], k, least), 1):
-                    rows.append((query_id, rank, chunk_id, pulled_by))
-            yield pd.DataFrame(rows, columns=["query_id", "rank", "chunk_id", "pulled_by"]).astype({"query_id": "int64", "rank": "int32", "chunk_id": "int64", "pulled_by": "Int64"})
-
-    return seat
-
-
-def seat_counterparts(finals, pool, k: int, least: float) -> list[tuple[int, int | None]]:
-    """(chunk, the old chunk that pulled it or None) in order; see with_amendments."""
-    present = {f["chunk_id"] for f in finals}
-    seats: list[tuple[int, int | None]] = []
-    for old in finals:
-        seats.append((old["chunk_id"], None))
-        tokens = set(old["tokens"] if old["tokens"] is not None else ())
-        able = [c for c in pool if old["newer_doc_id"] is not None and c["doc_id"] == old["newer_doc_id"] and c["chunk_id"] not in present]
-        if not tokens or not able:
-            continue
-        shared = [len(tokens.intersection(c["tokens"] if c["tokens"] is not None else ())) for c in able]
-        best = shared.index(max(shared))
-        if shared[best] >= least * len(tokens):
-            present.add(able[best]["chunk_id"])
-            seats.append((able[best]["chunk_id"], old["chunk_id"]))
-    pairs = {by for _, by in seats if by is not None}
-    while len(seats) > k:
-        loose = [i for i, (c, by) in enumerate(seats) if by is None and c not in pairs] or [i for i, (_, by) in enumerate(seats) if by is None]
-        if not loose:
-            break
-        seats.pop(loose[-1])
-    return seats
+_SEATS = "array<struct<chunk_id:bigint,pulled_by:bigint>>"
+
+
+def _seated(finals: Column, pool: Column, least: float) -> Column:
+    """All seats in order, as one fold over a query's final rows: each row, then what it pulls from the pool."""
+    seat = lambda chunk, by: F.struct(chunk.cast("bigint").alias("chunk_id"), by.cast("bigint").alias("pulled_by"))
+
+    def add(held: Column, old: Column) -> Column:
+        tokens = F.array_distinct(F.coalesce(old["tokens"], F.array().cast("array<string>")))
+        free = F.filter(pool, lambda c: (c["doc_id"] == old["newer_doc_id"]) & ~F.array_contains(held["present"], c["chunk_id"]))
+        shared = F.transform(free, lambda c, i: F.struct((-F.size(F.array_intersect(tokens, F.coalesce(c["tokens"], F.array().cast("array<string>"))))).alias("missed"), i.alias("place"), c["chunk_id"].alias("chunk_id")))
+        best = F.array_min(shared)
+        pulls = (F.size(tokens) > 0) & best.isNotNull() & (-best["missed"] >= F.lit(least) * F.size(tokens))
+        own = F.array(seat(old["chunk_id"], F.lit(None)))
+        new = F.when(pulls, F.concat(own, F.array(seat(best["chunk_id"], old["chunk_id"])))).otherwise(own)
+        present = F.when(pulls, F.concat(held["present"], F.array(best["chunk_id"]))).otherwise(held["present"])
+        return F.struct(present.alias("present"), F.concat(held["seats"], new).alias("seats"))
+
+    start = F.struct(F.transform(finals, lambda f: f["chunk_id"]).alias("present"), F.array().cast(_SEATS).alias("seats"))
+    return F.aggregate(finals, start, add, lambda held: held["seats"])
+
+
+def _trimmed(seats: Column, k: int) -> Column:
+    """seats without what stands beyond k: the last rows outside pairs go first, then the last old halves, never what was pulled."""
+    pulled = F.transform(F.filter(seats, lambda s: s["pulled_by"].isNotNull()), lambda s: s["pulled_by"])
+    numbered = F.transform(seats, lambda s, i: F.struct(F.array_contains(pulled, s["chunk_id"]).alias("paired"), (-i).alias("back"), s["pulled_by"].isNull().alias("own")))
+    leaving = F.array_sort(F.transform(F.filter(numbered, lambda n: n["own"]), lambda n: F.struct(n["paired"], n["back"])))
+    gone = F.transform(F.slice(leaving, 1, F.greatest(F.size(seats) - k, F.lit(0))), lambda n: -n["back"])
+    return F.filter(seats, lambda s, i: ~F.array_contains(gone, i))
 
 
 def with_amendments(finals: DataFrame, pool: DataFrame, k: int = fixed.TOP_K_FINAL, least: float = fixed.AMENDMENT_MIN_OVERLAP) -> DataFrame:
@@ -69,13 +61,16 @@ def with_amendments(finals: DataFrame, pool: DataFrame, k: int = fixed.TOP_K_FIN
 
     finals: query_id, rank, chunk_id, doc_id, newer_doc_id, tokens; pool: query_id, rank,
     chunk_id, doc_id, tokens. The restatement is the pool's chunk of the newer document that
-    shares the most tokens, if it shares `least` of the old one's and isn't seated yet. Rows
-    beyond k go from the end: first rows outside pairs, then old halves. Seating one chunk
-    changes what later rows may pull, so a query's rows (k and its pool, a fixed number) are
-    handled together; queries spread over the tasks.
+    shares the most tokens (of equals the first), if it shares `least` of the old one's and isn't
+    seated yet. Rows beyond k go from the end: first rows outside pairs, then old halves. Seating
+    one chunk changes what later rows may pull, so a query's rows (k and its pool, a fixed
+    number) are one array that a fold goes through; queries spread over the tasks.
     """
     listed = lambda df, *cols: df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *cols))).alias("x"))
     own = listed(finals, "chunk_id", "doc_id", "newer_doc_id", "tokens").withColumnRenamed("x", "finals")
     wanted = pool.join(finals.where("newer_doc_id is not null").select("query_id", F.col("newer_doc_id").alias("doc_id")).distinct(), ["query_id", "doc_id"], "left_semi")
     able = listed(wanted, "chunk_id", "doc_id", "tokens").withColumnRenamed("x", "pool")
-    return own.join(able, "query_id", "left").mapInPandas(_seat(k, least), "query_id long, rank int, chunk_id long, pulled_by long")
+    rows = own.join(able, "query_id", "left").withColumn("pool", F.coalesce("pool", F.filter(F.array(F.lit(None).cast(able.schema["pool"].dataType.elementType)), lambda x: x.isNotNull())))
+    rows = rows.select("query_id", _seated(F.col("finals"), F.col("pool"), least).alias("seats"))
+    rows = rows.select("query_id", F.posexplode(_trimmed(F.col("seats"), k)).alias("rank", "seat"))
+    return rows.select("query_id", (F.col("rank") + 1).alias("rank"), "seat.chunk_id", "seat.pulled_by")

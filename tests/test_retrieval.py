@@ -87,19 +87,58 @@ def test_supersession(spark):
     assert {r.old_doc_id: r.doc_id for r in newest.collect()} == {"old": "n2", "x": "n2", "y": "n4"}
 
 
-def seats(finals, pool, k, least=0.5):
-    f = [{"chunk_id": c, "doc_id": d, "newer_doc_id": n, "tokens": list(t)} for c, d, n, t in finals]
-    p = [{"chunk_id": c, "doc_id": d, "tokens": list(t)} for c, d, t in pool]
-    return [c for c, _ in S.seat_counterparts(f, p, k, least)]
-
-
-def test_counterparts():
+def seated(spark, cases, least=0.5):
+    """Chunks and what pulled them, of each (finals, pool, k) case; a plain walk gives the same."""
+    out = []
+    for k in sorted({c[2] for c in cases}):
+        own = [(i, c) for i, c in enumerate(cases) if c[2] == k]
+        finals = [(i, r, c, d, n, list(t)) for i, (f, _, _) in own for r, (c, d, n, t) in enumerate(f, 1)]
+        pool = [(i, r, c, d, list(t)) for i, (_, p, _) in own for r, (c, d, t) in enumerate(p, 1)]
+        rows = S.with_amendments(spark.createDataFrame(finals, "query_id long, rank int, chunk_id long, doc_id long, newer_doc_id long, tokens array<string>"), spark.createDataFrame(pool, "query_id long, rank int, chunk_id long, doc_id long, tokens array<string>"), k, least)
+        found = {i: [] for i, _ in own}
+        for r in rows.orderBy("query_id", "rank").collect():
+            found[r.query_id].append((r.chunk_id, r.pulled_by))
+        out += found.items()
+    return [x for _, x in sorted(out)]
+
+
+def plain_seats(finals, pool, k, least=0.5):
+    taken, seats = {f[0] for f in finals}, []
+    for chunk, _, newer, tokens in finals:
+        seats.append([chunk, None])
+        ranked = sorted((-len(set(tokens) & set(t)), i, c) for i, (c, d, t) in enumerate(pool) if d == newer and c not in taken)
+        if ranked and set(tokens) and -ranked[0][0] >= least * len(set(tokens)):
+            taken.add(ranked[0][2])
+            seats.append([ranked[0][2], chunk])
+    while len(seats) > k:
+        olds = {by for _, by in seats if by is not None}
+        able = [i for i, (c, by) in enumerate(seats) if by is None and c not in olds] or [i for i, (_, by) in enumerate(seats) if by is None]
+        if not able:
+            break
+        del seats[able[-1]]
+    return [tuple(s) for s in seats]
+
+
+def test_counterparts_equal_a_plain_walk(spark):
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefg", k=r.randint(0, 5)))
+    cases = []
+    for _ in range(80):
+        chunks = r.sample(range(100), 24)
+        cases.append(([(c, r.randint(1, 4), r.choice([None, 2, 3, 4]), word()) for c in chunks[:8]], [(c, r.randint(1, 4), word()) for c in chunks[6:]], r.choice([3, 8])))
+    assert seated(spark, cases) == [plain_seats(*c) for c in cases]
+
+
+def test_counterparts(spark):
     pool = [(10, 2, "abcd"), (11, 2, "abcz"), (12, 3, "abcd"), (20, 1, "abcd")]
+    seats = lambda *case: [c for c, _ in seated(spark, [case])[0]]
     assert seats([(1, 1, 2, "abcd"), (5, 9, None, "q")], pool, 8) == [1, 10, 5]
     assert seats([(1, 1, 2, "abxy"), (5, 9, None, "q")], pool, 8) == [1, 10, 5]
     assert seats([(1, 1, 2, "axyz12"), (5, 9, None, "q")], pool, 8) == [1, 5]
     assert seats([(1, 1, 2, "abcd"), (10, 2, None, "abcd")], pool[:1], 8) == [1, 10]
-    assert seats([(1, 1, 2, "abcd"), (2, 1, 2, "abcd"), (5, 9, None, "q")], pool, 3) == [1, 10, 11] or seats([(1, 1, 2, "abcd"), (2, 1, 2, "abcd"), (5, 9, None, "q")], pool, 3) == [1, 10, 11]
+    assert seats([(1, 1, 2, "abcd"), (2, 1, 2, "abcd"), (5, 9, None, "q")], pool, 3) == [1, 10, 11]
     assert seats([(1, 1, 2, ""), (2, 1, 4, "abcd")], pool, 8) == [1, 2]
 
 

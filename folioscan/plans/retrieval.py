@@ -14,6 +14,7 @@ from folioscan.functions import fixed
 from folioscan.functions.scoring import coach_factor, document_cap, recency_factor, supersession_factor
 from folioscan.functions.text import overlap_ratio, overlap_tokens
 from folioscan.operators import indexed as D
+from folioscan.operators import rerank as K
 from folioscan.operators import retrieval as R
 from folioscan.operators import supersession as S
 from folioscan.plans.base import ORACLES, Tables, query
@@ -290,3 +291,23 @@ def indexed_topk(t: Tables) -> DataFrame:
     hits = D.indexed_hits(spark, path, R.query_terms(t.benchmark, "item_id", "text"), fixed.TOP_K_FINAL, fixed.PER_DOC_CAP)
     scored = hits.withColumnRenamed("doc", "doc_id").withColumn("score", F.round(F.col("hits") / F.col("terms"), 6))
     return R.diversified(scored, fixed.TOP_K_FINAL, fixed.PER_DOC_CAP).select("query_id", "rank", "chunk_id", "doc_id", "score")
+
+
+@query(f"""WITH {_TERMS},
+    f AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS rank FROM h),
+    ranked AS (SELECT * FROM f WHERE rank <= 40),
+    docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{2,}}') AS ws FROM documents),
+    a AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{2,}}')) AS term FROM benchmark),
+    n AS (SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(ws)) AS term FROM docs) WHERE term IN (SELECT term FROM a) GROUP BY term),
+    wt AS (SELECT query_id, a.term, CAST(round(1000000 * ln(1 + (SELECT count(*) FROM documents) / n)) AS BIGINT) AS weight FROM a JOIN n ON n.term = a.term),
+    o AS (SELECT query_id, chunk_id, unnest(ws) AS term, unnest(range(len(ws))) AS place FROM ranked JOIN docs ON doc_id = chunk_id WHERE rank <= 30),
+    p2 AS (SELECT o.query_id, chunk_id, place, o.term, weight FROM o JOIN wt ON wt.query_id = o.query_id AND wt.term = o.term),
+    whole AS (SELECT query_id, chunk_id, sum(weight) AS w FROM (SELECT DISTINCT query_id, chunk_id, term, weight FROM p2) GROUP BY ALL),
+    near AS (SELECT query_id, chunk_id, max(w) AS w FROM (SELECT query_id, chunk_id, place, sum(weight) AS w FROM (
+        SELECT DISTINCT x.query_id, x.chunk_id, x.place, y.term, y.weight FROM p2 x JOIN p2 y ON y.query_id = x.query_id AND y.chunk_id = x.chunk_id AND y.place >= x.place AND y.place < x.place + 16) GROUP BY ALL) GROUP BY ALL),
+    s AS (SELECT ranked.*, whole.w + near.w AS score FROM ranked LEFT JOIN whole ON whole.query_id = ranked.query_id AND whole.chunk_id = ranked.chunk_id AND rank <= 30 LEFT JOIN near ON near.query_id = ranked.query_id AND near.chunk_id = ranked.chunk_id AND rank <= 30)
+    SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank > 30, score IS NULL, score DESC, rank) AS INTEGER) AS new_rank FROM s""")
+def proximity_order(t: Tables) -> DataFrame:
+    """The first forty keyword hits of every question, thirty of them ranked anew by rare words close together."""
+    hits = R.top_per_query(_hits(t), 40, F.desc("hits"), F.asc("chunk_id")).select("query_id", "chunk_id", "rank")
+    return K.reranked(hits, t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), t.documents, "doc_id", "text")

@@ -337,11 +337,11 @@ def read_pages(pages: DataFrame, cache: DataFrame, keys: list[str], reader: Call
         row_failures = 0
         for frame in frames:
             done = []
-            for _, row in frame.iterrows():
+            for *own, picture in zip(*(frame[k] for k in keys), frame[image], strict=True):
                 if row_failures >= failures:
                     break
                 try:
-                    done.append((*(row[k] for k in keys), reader(row[image]) or ""))
+                    done.append((*own, reader(picture) or ""))
                     row_failures = 0
                 except Exception:
                     row_failures += 1

@@ -75,11 +75,13 @@ def append_new(batch_work: Callable[[DataFrame], DataFrame], path: str, key: str
     """A foreachBatch sink that works on rows whose key the table at `path` lacks, and appends the result.
 
     The key is the checkpoint: a batch that runs again finds its rows done and adds nothing.
+    Rows without key are left out. The keys of the whole table are read for each batch; for
+    large tables, or readers that must never see half a batch, take sources.versions.version_sink.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
+        new = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
         try:
             done = spark.read.parquet(path).select(key)
         except Exception as e:  # the table begins with the first batch

@@ -44,8 +44,13 @@ def bits(counts, alphabet, data, order=L.ORDER):
 SAMPLE = [("the cat and the hat sat on the mat", "en"), ("that is the thing then", "en"), ("der hund und die katze", "de"), ("das ist die sache dann", "de")]
 
 
+def model_of(sample, **bounds):
+    langs = sorted({lang for _, lang in sample})
+    return L.Model(langs, [L.grow([t for t, x in sample if x == lang], **bounds) for lang in langs])
+
+
 def test_code_lengths_equal_a_plain_coder():
-    model = L.train(SAMPLE, max_nodes=10_000, least_count=1)
+    model = model_of(SAMPLE, max_nodes=10_000, least_count=1)
     texts = ["the hat is on the cat", "die katze ist da", "xyz q"]
     found = L.code_lengths(model, [t.encode() for t in texts]) / L.UNIT
     for k, lang in enumerate(model.langs):
@@ -54,8 +59,42 @@ def test_code_lengths_equal_a_plain_coder():
             assert row[k] == pytest.approx(bits(counts, None, t.encode()), abs=0.002 * len(t))
 
 
+def test_a_bounded_tree_holds_the_most_frequent_contexts_and_their_shorter_ones():
+    texts = ["the cat and the hat sat on the mat " * 20, "that is the thing then " * 9, ""]
+    whole, small = L.grow(texts, least_count=1), L.grow(texts, max_nodes=40, least_count=1)
+    assert len(small.contexts) == 40 and set(small.contexts) < set(whole.contexts)
+    for tree in (whole, small):
+        for key in tree.contexts[1:]:
+            depth = next(k for k in range(L.ORDER, 0, -1) if key >= L.BASE ** (k - 1))
+            assert key % L.BASE ** (depth - 1) in tree.contexts
+    assert any(small.contexts >= L.BASE**3)
+    assert L.grow(["", ""]) is None
+
+
+def test_more_languages_take_nothing_from_a_tree(docs, spark):
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rng = np.random.default_rng(3)
+    base = "the cat and the hat sat on the mat while that thing was there with other words of them " * 30
+    tables = ["".join(rng.permutation(list(alphabet))) for _ in range(70)]
+    rows = [(base.translate(str.maketrans(alphabet, x)), f"l{k:02d}") for k, x in enumerate(tables)]
+    many = L.train(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    assert many.langs == [lang for _, lang in rows]
+    for tree in many.trees:
+        assert (tree.contexts >= L.BASE**3).any()
+    alone = L.grow([rows[7][0]])
+    assert all((getattr(alone, f) == getattr(many.trees[7], f)).all() for f in ("contexts", "pairs", "whole", "escape", "below", "onward", "log_n"))
+    said = ["that hat was on them".translate(str.maketrans(alphabet, x)).encode() for x in tables]
+    assert (L.code_lengths(many, said).argmin(1) == np.arange(70)).all()
+
+
+def test_a_table_of_few_slots_gives_the_same(monkeypatch):
+    model = model_of(SAMPLE, least_count=1)
+    texts = [b"the cat sat", b"", b"der hund " * 500, bytes(range(97, 123)) * 40]
+    assert (L.Coder(model, memory=600).code_lengths(texts) == L.code_lengths(model, texts)).all()
+
+
 def test_pieces_and_batches_do_not_matter(monkeypatch):
-    model = L.train(SAMPLE, least_count=1)
+    model = model_of(SAMPLE, least_count=1)
     texts = [b"the cat sat", b"", b"der hund " * 50, b"x", b"die und der" * 9]
     whole = L.code_lengths(model, texts)
     assert (whole == np.concatenate([L.code_lengths(model, [t]) for t in texts])).all()
@@ -90,20 +129,19 @@ def test_edges(docs, spark, sf):
 
 def test_held_out_and_unlabelled_rows_do_not_teach(docs):
     rows = [(i, f"word{i} text", "en" if zlib.crc32(str(i).encode()) % 3 == 1 else None) for i in range(200)]
-    assert L.training_sample(docs(rows)) == []
+    assert L.training_sample(docs(rows)).collect() == []
 
 
 def test_signs_that_are_no_letters_are_undetermined(docs):
     rows = [(1, "\u00bd \u00b2 \u2460 12 ..."), (2, "\u00bd a"), (3, "\u4e2d"), (4, "_"), (5, "\u0660")]
-    found = {r.doc_id: r.lang_pred for r in L.predict_language(docs(rows), L.train(SAMPLE, least_count=1)).collect()}
+    found = {r.doc_id: r.lang_pred for r in L.predict_language(docs(rows), model_of(SAMPLE, least_count=1)).collect()}
     assert [d for d, x in sorted(found.items()) if x == L.UNDETERMINED] == [1, 4, 5]
 
 
-def test_long_texts_are_drawn_in_part_and_languages_are_bounded(docs):
+def test_long_texts_are_drawn_in_part_and_no_number_of_languages_is_too_many(docs):
     rows = [(i, ("lang alone words " * 3000), None, None) for i in range(9)]
     table = docs(rows).drop("lang").selectExpr("doc_id", "text", "'xx' AS lang")
-    sample = L.training_sample(table)
-    assert sample and {len(t) for t, _ in sample} == {L.MAX_DOC_CHARS}
-    many = docs(rows).drop("lang").selectExpr("doc_id", "text", "cast(doc_id as string) AS lang")
-    with pytest.raises(ValueError, match="languages"):
-        L.training_sample(many, max_langs=3)
+    sample = L.training_sample(table).collect()
+    assert sample and {len(r.text) for r in sample} == {L.MAX_DOC_CHARS}
+    many = docs([(i, f"words of {i} " * 9, None, None) for i in range(900)]).drop("lang").selectExpr("doc_id", "text", "cast(doc_id as string) AS lang")
+    assert len(L.train(L.training_sample(many)).langs) == many.where(~L.held_out(many.doc_id)).count()

@@ -47,3 +47,32 @@ def test_operators_in_threads_leave_each_others_tables(spark, sf):
     with ThreadPoolExecutor(4) as pool:
         together = list(pool.map(rows, names))
     assert together == [rows(name) for name in names]
+
+
+def test_a_hub_is_split(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from folioscan.llm.components import _large
+
+    low = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    hub = spark.range(60_000).select(F.lit(7).cast("long").alias("u"), (F.col("id") + 100).alias("v"))
+    rest = spark.range(4_000).select((F.col("id") + 200_000).alias("u"), (F.col("id") + 300_000).alias("v"))
+    hub.union(rest).repartition(12).write.parquet(f"{tmp_path}/links")
+    before = {key: spark.conf.get(key) for key in low if key in dict(spark.sparkContext.getConf().getAll())}
+    try:
+        for key, value in low.items():
+            spark.conf.set(key, value)
+        found = _large(spark.read.parquet(f"{tmp_path}/links"))
+        assert len(found.collect()) == 64_000
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in low:
+            spark.conf.set(key, before[key]) if key in before else spark.conf.unset(key)

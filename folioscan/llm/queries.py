@@ -16,7 +16,7 @@ from folioscan.llm.mixing import mix_sources
 from folioscan.llm.phrases import collocations
 from folioscan.llm.quality import classify_quality
 from folioscan.llm.secrets import KINDS, find_secrets
-from folioscan.llm.tokens import apply_edits, token_trees
+from folioscan.llm.tokens import apply_edits, leaf_count, token_trees
 from folioscan.llm.warc import archived_pages, read_archives, write_archives
 
 
@@ -67,7 +67,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.struct(F.floor(n / 2).alias("at"), F.lit(40).cast("long").alias("removed"), F.concat(F.lit(" edited passage "), F.col("doc_id").cast("string")).alias("added"))
     two = F.struct(F.floor(n * 3 / 4).alias("at"), F.lit(0).cast("long").alias("removed"), F.lit(" and a note").alias("added"))
     docs = table(spark, sf_dir, "documents").withColumn("edits", F.array(one, two))
-    return apply_edits(token_trees(docs, keep=("edits",))).select("doc_id", "tokens_before", "n_tokens", "n_chars", "chars_encoded", F.size("leaf_tokens").cast("long").alias("leaves"))
+    return apply_edits(token_trees(docs, keep=("edits",))).select("doc_id", "tokens_before", "n_tokens", "n_chars", "chars_encoded", "nodes_written", leaf_count(F.col("tree_chars")).alias("leaves"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,14 +123,19 @@ def symbols(text: Column | str, source: str, target: str) -> Column:
     return F.regexp_replace(F.translate(empty(text), source, target), "[\\x{E000}-\\x{F8FF}]", "")
 
 
+def iso_day(x: Column) -> Column:
+    """ISO date of struct<y,m,d>, null unless day and month are valid and the year is of 2000 to 2035."""
+    good = x["d"].between(1, 31) & x["m"].between(1, 12) & x["y"].between(2000, 2035)
+    return F.when(good, F.format_string("%04d-%02d-%02d", x["y"], x["m"], x["d"]))
+
+
 def filename_date(name: Column | str) -> Column:
     """ISO date in a file name (four layouts, 2000-2035, valid day and month), else its year, else ''."""
     name = empty(name)
 
     def iso(pattern: str, y: int, m: int, d: int) -> Column:
-        year, month, day = (F.try_to_number(F.regexp_extract(name, pattern, g), F.lit("9999")).cast("int") for g in (y, m, d))
-        good = day.between(1, 31) & month.between(1, 12) & year.between(2000, 2035)
-        return F.when(good, F.format_string("%04d-%02d-%02d", year, month, day))
+        found = F.struct(*(F.try_to_number(F.regexp_extract(name, pattern, g), F.lit("9999")).cast("int").alias(part) for part, g in (("y", y), ("m", m), ("d", d))))
+        return F.when(name.rlike(pattern), let(found, iso_day))
 
     return F.coalesce(*(iso(*layout) for layout in fixed.FILENAME_DATES), F.regexp_extract(name, fixed.FILENAME_YEAR, 1))
 
@@ -211,9 +216,8 @@ def classified(text: Column | str, table: tuple[tuple[str, str], ...], default:
 def letterhead_date(text: Column | str) -> Column:
     """ISO date of the letterhead's date field (valid day and month, 2000-2035), else ''."""
     head = F.substring(empty(text), 1, fixed.LETTERHEAD_CHARS)
-    day, month, year = (F.regexp_extract(head, fixed.LETTERHEAD_DATE, g).try_cast("int") for g in (1, 2, 3))
-    good = day.between(1, 31) & month.between(1, 12) & year.between(2000, 2035)
-    return F.when(good, F.format_string("%04d-%02d-%02d", year, month, day)).otherwise("")
+    found = F.struct(*(F.regexp_extract(head, fixed.LETTERHEAD_DATE, g).try_cast("int").alias(part) for part, g in (("d", 1), ("m", 2), ("y", 3))))
+    return F.coalesce(let(found, iso_day), F.lit(""))
 
 
 def letter_of_text(text: Column | str) -> Column:

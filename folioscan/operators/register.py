@@ -26,15 +26,17 @@ def register_entries(files: DataFrame, doc_types: tuple[tuple[str, str], ...], s
     page's where it has them, else the file name's; origin tells which. review lists what a
     person should look at: fields on which name and page disagree (what a scanner misreads), or
     that neither has, scanned pages, a garbled first page, a missing subject line. Nulls count
-    as '' or 0; a file without pages isn't called image-only.
+    as '' or 0; a file without pages isn't called image-only. Texts are read by one projection
+    and what they give compared by the next, so that each pattern is searched once a row.
     """
-    page, name = X.empty("first_page"), F.regexp_extract(F.replace(X.empty("path"), F.lit("\\"), F.lit("/")), r"[^/]*$", 0)
-    both = F.concat_ws(" ", name, page)
-    named_date, page_date = X.filename_date(name), X.letterhead_date(page)
-    named_letter, page_letter = X.letter_of_filename(name), X.letter_of_text(page)
-    stem = F.trim(F.replace(F.regexp_replace(name, r"(.)\.[^./\\]*$", "$1"), F.lit("_"), F.lit(" ")))
-    subject = X.title_of_text(page, F.lit(""))
-    pages, scans, chars = (F.coalesce(c, F.lit(0)) for c in ("pages", "scans", "text_chars"))
+    count = lambda c: F.coalesce(c, F.lit(0))
+    page, name = F.col("_page"), F.col("_name")
+    read = files.select("path", X.empty("first_page").alias("_page"), F.regexp_extract(F.replace(X.empty("path"), F.lit("\\"), F.lit("/")), r"[^/]*$", 0).alias("_name"), count("pages").alias("_pages"), count("scans").alias("_scans"), count("text_chars").alias("_chars"))
+    read = read.withColumn("_both", F.concat_ws(" ", name, page)).select(
+        "*", X.filename_date(name).alias("_named_date"), X.letterhead_date(page).alias("_page_date"), X.letter_of_filename(name).alias("_named_letter"), X.letter_of_text(page).alias("_page_letter"),
+        F.trim(F.replace(F.regexp_replace(name, r"(.)\.[^./\\]*$", "$1"), F.lit("_"), F.lit(" "))).alias("_stem"), X.title_of_text(page, F.lit("")).alias("_subject"), stop_word_ratio(page).alias("_ratio"),
+    )
+    both, named_date, page_date, named_letter, page_letter, stem, subject, pages, scans, chars = map(F.col, ("_both", "_named_date", "_page_date", "_named_letter", "_page_letter", "_stem", "_subject", "_pages", "_scans", "_chars"))
     date, date_from = _first(("page", page_date), ("name", named_date))
     letter, letter_from = _first(("page", page_letter), ("name", named_letter))
     title, title_from = _first(("page", subject), ("name", stem))
@@ -47,10 +49,10 @@ def register_entries(files: DataFrame, doc_types: tuple[tuple[str, str], ...], s
         F.when((named_letter != "") & (page_letter != "") & ~F.contains(flat(page_letter), flat(named_letter)), versus("letter_no", quoted(named_letter), quoted(page_letter))),
         F.when(letter == "", "no letter_no found"),
         F.when(scans > 0, F.concat(scans.cast("string"), F.lit("/"), pages.cast("string"), F.lit(" pages are scans, look again when they have been read"))),
-        F.when(stop_word_ratio(page) < fixed.STOP_WORD_MIN, "page 1 text is mojibake"),
+        F.when(F.col("_ratio") < fixed.STOP_WORD_MIN, "page 1 text is mojibake"),
         F.when(~page.rlike(rules.SUBJECT), "no 'Sub:' line, title taken from filename"),
     )
-    return files.select(
+    return read.select(
         "path",
         X.document_slug(name, prefix).alias("doc_id"),
         X.classified(both, doc_types, "circular").alias("doc_type"),

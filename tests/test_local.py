@@ -43,3 +43,9 @@ def test_register_rows_of_odd_files(spark):
     assert got["a\\b\\Note.pdf"].title == "Note" and got["a\\b\\Note.pdf"].origin.title == "name" and got[None].origin.title == "none"
     assert "3/3 pages are scans, look again when they have been read" in got["dir/.hidden"].review and got["dir/.hidden"].origin.title == "name"
     assert got["2024-13-40 x.pdf"].issue_date in ("", "2024") and "no letter_no found" in got["2024-13-40 x.pdf"].review
+
+
+def test_each_pattern_of_a_register_row_is_searched_once(spark):
+    df = spark.createDataFrame([("a/x.pdf", "Date: 3.4.2024", 1, 0, 10)], "path string, first_page string, pages int, scans int, text_chars int")
+    plan = G.register_entries(df, X.DOC_TYPES, ())._jdf.queryExecution().optimizedPlan().toJSON()
+    assert plan.count("expressions.RegExpExtract\"") < 200  # 2,649 where fields are written out again in each comparison

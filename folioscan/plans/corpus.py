@@ -13,7 +13,7 @@ from folioscan.operators import evaluate as E
 from folioscan.operators import quality as Q
 from folioscan.operators import retrieval as R
 from folioscan.plans.base import Tables, query
-from folioscan.plans.retrieval import _TERMS, _hits
+from folioscan.plans.retrieval import _TERMS, _top
 from folioscan.sources import tables as T
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in fixed.QUALITY_STOP_WORDS) + "]"
@@ -152,7 +152,7 @@ def citation_dedupe(t: Tables) -> DataFrame:
 
 
 def _ranked(t: Tables, k: int) -> DataFrame:
-    top = R.top_per_query(_hits(t), k, F.desc("hits"), F.asc("chunk_id")).select("query_id", "rank", F.col("chunk_id").alias("doc_id"))
+    top = _top(t, k).select("query_id", "rank", F.col("chunk_id").alias("doc_id"))
     none = F.lit("")
     docs = t.documents.select("doc_id", F.col("source").alias("title"), F.col("lang").alias("section_num"), none.alias("section"), (F.col("n_chars") % 9).alias("page_num"), none.alias("printed_page"), F.array("lang").alias("coach_type"), none.alias("oem"), none.alias("letter_no"), none.alias("issue_date"), none.alias("superseded_by"), none.alias("status"), none.alias("download_url"), "text")
     return top.join(docs, "doc_id")
@@ -177,7 +177,7 @@ def build_context(t: Tables) -> DataFrame:
     SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, CAST(used AS BIGINT) AS used FROM u WHERE used <= 12000 OR rank = 1""")
 def context_trim(t: Tables) -> DataFrame:
     """Leading rows of each question within 12,000 characters."""
-    ranked = R.top_per_query(_hits(t), 20, F.desc("hits"), F.asc("chunk_id")).select("query_id", "rank", "chunk_id")
+    ranked = _top(t, 20).select("query_id", "rank", "chunk_id")
     sized = ranked.join(t.documents.select(F.col("doc_id").alias("chunk_id"), "n_chars"), "chunk_id")
     return A.within_budget(sized, 12_000, "n_chars").select("query_id", "rank", "chunk_id", "used")
 
@@ -192,7 +192,7 @@ def context_trim(t: Tables) -> DataFrame:
         round(coalesce(sum(CASE WHEN NOT absent THEN 1.0::DOUBLE / best END), 0) / count(*) FILTER (NOT absent), 6) AS mrr FROM x""")
 def eval_recall_mrr(t: Tables) -> DataFrame:
     """Recall and reciprocal rank at 8; a document that holds an item whole is its right answer."""
-    ranked = R.top_per_query(_hits(t), 8, F.desc("hits"), F.asc("chunk_id")).select(F.col("query_id").alias("case_id"), "rank", F.col("chunk_id").alias("doc_id"))
+    ranked = _top(t, 8).select(F.col("query_id").alias("case_id"), "rank", F.col("chunk_id").alias("doc_id"))
     held = _holders(t)
     cases = t.benchmark.select(F.col("item_id").alias("case_id")).join(held.select("case_id").distinct().withColumn("found", F.lit(True)), "case_id", "left")
     return E.metrics(E.best_ranks(cases.select("case_id", F.col("found").isNull().alias("expect_absent")), held, ranked))

@@ -21,7 +21,7 @@ from folioscan.operators import retrieval as R
 from folioscan.operators import tagging as G
 from folioscan.operators import transcripts as N
 from folioscan.plans.base import Shared, Tables, query
-from folioscan.plans.retrieval import _TERMS, _hits
+from folioscan.plans.retrieval import _TERMS, _top
 from folioscan.sources import tables as S
 
 _SKIPPED = "[" + ", ".join(f"'{w}'" for w in rules.SNIPPET_STOP_WORDS) + "]"
@@ -111,7 +111,7 @@ def rule_tags(t: Tables) -> DataFrame:
     SELECT query_id, chunk_id, CASE WHEN hits > 0 THEN hits + CASE WHEN num THEN 0.5 ELSE 0.0 END ELSE 0.0 END::DOUBLE AS relevance FROM x""")
 def row_relevance(t: Tables) -> DataFrame:
     """How much each of a question's eight rows says about it."""
-    top = R.top_per_query(_hits(t), 8, F.desc("hits"), F.asc("chunk_id")).select("query_id", "chunk_id")
+    top = _top(t, 8).select("query_id", "chunk_id")
     rows = top.join(t.documents.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id").join(t.benchmark.select(F.col("item_id").alias("query_id"), R.words("text", 3).alias("terms")), "query_id")
     return rows.select("query_id", "chunk_id", P.row_relevance("text", "terms").alias("relevance"))
 
@@ -130,7 +130,7 @@ def row_relevance(t: Tables) -> DataFrame:
     SELECT query_id, chunk_id, coalesce(nullif(left({_FOLDED.format("array_to_string(chosen, ' ')")}, 320), ''), left({_FOLDED.format("text")}, 320)) AS snippet FROM c""")
 def snippets(t: Tables) -> DataFrame:
     """What a reranker reads of each of a question's eight rows."""
-    top = R.top_per_query(_hits(t), 8, F.desc("hits"), F.asc("chunk_id")).select("query_id", "chunk_id")
+    top = _top(t, 8).select("query_id", "chunk_id")
     rows = top.join(t.documents.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id").join(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
     return rows.select("query_id", "chunk_id", P.snippets("text", "query", F.lit(320)).alias("snippet"))
 

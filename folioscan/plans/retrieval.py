@@ -7,7 +7,7 @@ are the rows whose id is divisible by 100, hybrid questions pair item i with vec
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import fixed
@@ -30,8 +30,14 @@ _TERMS = _TERMS.replace("GROUP BY ALL", "GROUP BY query_id, chunk_id")
 _DOT = "round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
 
 
-def _hits(t: Tables) -> DataFrame:
-    return R.posting_hits(R.query_terms(t.benchmark, "item_id", "text"), R.postings(t.documents, "doc_id", "text"))
+def _top(t: Tables, k: int) -> DataFrame:
+    """query_id, chunk_id, hits, terms, rank of each item's first k documents."""
+    return R.keyword_top(t.documents, "doc_id", "text", R.query_terms(t.benchmark, "item_id", "text"), k)
+
+
+def _hits_by_source(t: Tables, k: int) -> DataFrame:
+    """query_id, chunk_id, hits, terms, doc_id (the source): k of each item and source at least."""
+    return R.keyword_hits(t.documents, "doc_id", "text", R.query_terms(t.benchmark, "item_id", "text"), k, group="source")
 
 
 @query("WITH p AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}'))) AS term FROM documents) SELECT term, count(*) AS chunks FROM p GROUP BY term HAVING count(*) > 1")
@@ -47,7 +53,7 @@ def posting_counts(t: Tables) -> DataFrame:
     SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, doc_id, score FROM r WHERE rank <= 8""")
 def keyword_topk(t: Tables) -> DataFrame:
     """Eight chunks per question by share of terms hit, three of a source at most unless others lack."""
-    hits = _hits(t).join(t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id")), "chunk_id")
+    hits = _hits_by_source(t, fixed.TOP_K_FINAL)
     scored = hits.withColumn("score", F.round(F.col("hits") / F.col("terms"), 6))
     return R.diversified(scored, fixed.TOP_K_FINAL, fixed.PER_DOC_CAP).select("query_id", "rank", "chunk_id", "doc_id", "score")
 
@@ -73,8 +79,7 @@ def _arms(t: Tables) -> DataFrame:
     v = t.embeddings.select("vec_id", "embedding")
     asked = t.benchmark.select(F.col("item_id").alias("vec_id")).join(v, "vec_id")
     semantic = R.vector_topk(v, asked, fixed.TOP_K_SEMANTIC).drop("rank")
-    terms = R.query_terms(t.benchmark, "item_id", "text")
-    keyword = R.keyword_candidates(terms, R.postings(t.documents, "doc_id", "text"), 2 * fixed.TOP_K_SEMANTIC)
+    keyword = _top(t, 2 * fixed.TOP_K_SEMANTIC).drop("rank")
     return R.fused(semantic, keyword)
 
 
@@ -155,7 +160,7 @@ def hybrid_topk(t: Tables) -> DataFrame:
     SELECT query_id, doc_id, count(*) AS slots, CAST(min(rank) AS INTEGER) AS best_rank FROM r WHERE rank <= 20 GROUP BY query_id, doc_id""")
 def diversified_slots(t: Tables) -> DataFrame:
     """Slots of each source among the twenty of an enumeration, six at most unless others lack."""
-    hits = _hits(t).join(t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id")), "chunk_id")
+    hits = _hits_by_source(t, fixed.TOP_K_ENUMERATE)
     top = R.diversified(hits.withColumn("score", F.round(F.col("hits") / F.col("terms"), 6)), fixed.TOP_K_ENUMERATE, 6)
     return top.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("slots"), F.min("rank").alias("best_rank"))
 
@@ -176,8 +181,7 @@ def doc_cap(t: Tables) -> DataFrame:
     FROM x""")
 def rerank_order(t: Tables) -> DataFrame:
     """The first twenty of thirty rows in a scorer's order; the scorer lists every third text by length."""
-    ranked = R.keyword_candidates(R.query_terms(t.benchmark, "item_id", "text"), R.postings(t.documents, "doc_id", "text"), 30)
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "chunk_id")))
+    ranked = _top(t, 30)
     size = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").alias("place"))
     listed = ranked.where("rank <= 20").select("query_id", "chunk_id").join(size, "chunk_id").where("place % 3 = 0")
     return R.reordered(ranked.select("query_id", "chunk_id", "rank"), listed, 20).select("query_id", "chunk_id", "rank", "new_rank")
@@ -189,7 +193,7 @@ def rerank_order(t: Tables) -> DataFrame:
     SELECT query_id, (count(DISTINCT lang) >= 2 OR count(DISTINCT source) >= 3) AS ambiguous FROM x GROUP BY query_id""")
 def pool_ambiguity(t: Tables) -> DataFrame:
     """Whether the first fifteen rows span several languages or three sources."""
-    ranked = R.top_per_query(_hits(t), 15, F.desc("hits"), F.asc("chunk_id"))
+    ranked = _top(t, 15)
     docs = t.documents.select(F.col("doc_id").alias("chunk_id"), F.array("lang").alias("coaches"), F.lit(None).cast("string").alias("maker"), F.col("source").alias("subsystem"))
     return R.ambiguous_pools(ranked.join(docs, "chunk_id"))
 
@@ -202,7 +206,7 @@ def pool_ambiguity(t: Tables) -> DataFrame:
     FROM g WHERE len(langs) >= 2 AND docs >= 2""")
 def clarify_span(t: Tables) -> DataFrame:
     """What to ask back where the first three rows are in several languages from several sources."""
-    ranked = R.top_per_query(_hits(t), 3, F.desc("hits"), F.asc("chunk_id"))
+    ranked = _top(t, 3)
     none = F.lit(None).cast("string")
     docs = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), F.array("lang").alias("coaches"), none.alias("maker"), none.alias("system"))
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), none.alias("asked_coach"), none.alias("asked_maker"), none.alias("asked_system"))
@@ -240,7 +244,7 @@ def supersession_penalty(t: Tables) -> DataFrame:
     FROM x a JOIN x b ON a.query_id = b.query_id AND a.rank < b.rank""")
 def passage_overlap(t: Tables) -> DataFrame:
     """Share of a passage's tokens in each lower-ranked one of the same question's five."""
-    top = R.top_per_query(_hits(t), 5, F.desc("hits"), F.asc("chunk_id")).select("query_id", "chunk_id", "rank")
+    top = _top(t, 5).select("query_id", "chunk_id", "rank")
     rows = top.join(t.documents.select(F.col("doc_id").alias("chunk_id"), overlap_tokens("text").alias("tokens")), "chunk_id")
     other = rows.select("query_id", F.col("chunk_id").alias("other_id"), F.col("rank").alias("other_rank"), F.col("tokens").alias("other_tokens"))
     pairs = rows.join(other, "query_id").where("rank < other_rank")
@@ -265,7 +269,7 @@ def passage_overlap(t: Tables) -> DataFrame:
     SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS INTEGER) AS rank, seat.c AS chunk_id, seat.b AS pulled_by FROM o WHERE coalesce(turn > n - 8, true)""")
 def amendment_pairs(t: Tables) -> DataFrame:
     """Final rows with restatements seated behind superseded ones; the next source supersedes a source."""
-    pool = R.top_per_query(_hits(t), 40, F.desc("hits"), F.asc("chunk_id")).select("query_id", "chunk_id", "rank")
+    pool = _top(t, 40).select("query_id", "chunk_id", "rank")
     docs = t.documents.select(F.col("doc_id").alias("chunk_id"), F.regexp_extract("source", "[0-9]+", 0).cast("long").alias("doc_id"), overlap_tokens("text").alias("tokens"))
     rows = pool.join(docs, "chunk_id")
     finals = rows.where("rank <= 8").withColumn("newer_doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") + 1))
@@ -275,7 +279,7 @@ def amendment_pairs(t: Tables) -> DataFrame:
 @query(f"SELECT query_id, rank, chunk_id, coalesce(pulled_by, -1) AS pulled_by FROM ({ORACLES['amendment_pairs'].replace(f'{fixed.AMENDMENT_MIN_OVERLAP} * n', '0.15 * n')})")
 def seated_amendments(t: Tables) -> DataFrame:
     """The same with a lower bound on what a restatement shares, so that many are seated."""
-    pool = R.top_per_query(_hits(t), 40, F.desc("hits"), F.asc("chunk_id")).select("query_id", "chunk_id", "rank")
+    pool = _top(t, 40).select("query_id", "chunk_id", "rank")
     docs = t.documents.select(F.col("doc_id").alias("chunk_id"), F.regexp_extract("source", "[0-9]+", 0).cast("long").alias("doc_id"), overlap_tokens("text").alias("tokens"))
     rows = pool.join(docs, "chunk_id")
     finals = rows.where("rank <= 8").withColumn("newer_doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") + 1))
@@ -309,5 +313,5 @@ def indexed_topk(t: Tables) -> DataFrame:
     SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank > 30, score IS NULL, score DESC, rank) AS INTEGER) AS new_rank FROM s""")
 def proximity_order(t: Tables) -> DataFrame:
     """The first forty keyword hits of every question, thirty of them ranked anew by rare words close together."""
-    hits = R.top_per_query(_hits(t), 40, F.desc("hits"), F.asc("chunk_id")).select("query_id", "chunk_id", "rank")
+    hits = _top(t, 40).select("query_id", "chunk_id", "rank")
     return K.reranked(hits, t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), t.documents, "doc_id", "text")

@@ -207,3 +207,35 @@ def test_a_vector_scan_holds_a_tile_of_scores_and_k_rows_a_query():
         best = np.lexsort((own, -scores))[:7]
         found = got[got.query_id == q + 100].sort_values(["similarity", "chunk_id"], ascending=[False, True])
         assert found.chunk_id.tolist() == own[best].tolist() and found.similarity.tolist() == scores[best].tolist()
+
+
+@pytest.mark.parametrize("block", [50_000, 40])
+def test_keyword_hits_counted_in_the_row_equal_the_join(spark, block, monkeypatch):
+    monkeypatch.setattr(R, "TILE_SCORES", 300)
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "of", "the", "straße", "x"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randint(0, n)))
+    chunks = spark.createDataFrame([(i * 11 % 301, None if i % 50 == 0 else text(6), rng.choice(["a", "b", None])) for i in range(301)], "id long, text string, source string").repartition(3)
+    terms = R.query_terms(spark.createDataFrame([(i, text(9) + " nowhere") for i in range(30)] + [(99, None)], "id long, text string"), "id", "text")
+    pairs = R.posting_hits(terms, R.postings(chunks, "id", "text")).join(chunks.select(F.col("id").alias("chunk_id"), F.col("source").alias("doc_id")), "chunk_id").collect()
+    key = lambda r: (-r.hits, r.chunk_id)
+    rows = lambda found: {(r.query_id, r.chunk_id, r.hits, r.terms) for r in found}
+    want = [r for q in range(30) for r in sorted((p for p in pairs if p.query_id == q), key=key)[:5]]
+    assert rows(R.keyword_top(chunks, "id", "text", terms, 5).collect()) == rows(want)
+    got = R.keyword_hits(chunks, "id", "text", terms, 2, group="source", block_terms=block).collect()
+    assert rows(got) <= rows(pairs) and len(got) < len(pairs)
+    for q in range(30):
+        for s in ("a", "b", None):
+            best = sorted((p for p in pairs if p.query_id == q and p.doc_id == s), key=key)[:2]
+            assert rows(best) <= rows(g for g in got if g.doc_id == s)
+
+
+def test_keyword_top_builds_no_table_of_pairs(spark):
+    words = spark.range(3_000).selectExpr("id", "'common word here' AS text")
+    terms = R.query_terms(spark.range(50).selectExpr("id", "'common word' AS text"), "id", "text")
+    found = R.keyword_top(words, "id", "text", terms, 4)
+    assert [(r.chunk_id, r.hits) for r in found.where("query_id = 7").orderBy("rank").collect()] == [(0, 2), (1, 2), (2, 2), (3, 2)]
+    hits = R.keyword_hits(words, "id", "text", terms, 4)
+    assert hits.count() <= 4 * 50 * hits.rdd.getNumPartitions()
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,23 +13,59 @@ from folioscan.functions import rules
 from folioscan.functions.text import col, empty, let
 
 
+def needed(pattern: str) -> list[str]:
+    """Lower-case strings of which any match of the pattern holds one, whatever its case; empty if none are known."""
+    kinds = re._constants
+
+    def of(parts) -> list[str]:
+        found, run = [], ""
+        for kind, value in [*parts, (None, None)]:
+            if kind is kinds.LITERAL and value < 128:
+                run += chr(value).lower()
+                continue
+            found, run = [*found, [run]], ""
+            if kind is kinds.SUBPATTERN:
+                found.append(of(value[3]))
+            elif kind is kinds.BRANCH:
+                branches = [of(branch) for branch in value[1]]
+                found.append([x for branch in branches for x in branch] if all(branches) else [])
+            elif kind in (kinds.MAX_REPEAT, kinds.MIN_REPEAT) and value[0] > 0:
+                found.append(of(value[2]))
+        return max(found, key=lambda xs: min(map(len, xs), default=0))
+
+    held = of(re._parser.parse(pattern))
+    return list(dict.fromkeys(held)) if min(map(len, held), default=0) > 1 else []
+
+
+def _has(text: Column, low: Column, pattern: str) -> Column:
+    """text.rlike(pattern), looked for only in a text that holds a string which its matches need; low: the text in lower case."""
+    held = needed(pattern)
+    hit = text.rlike(pattern)
+    return reduce(or_, (F.contains(low, F.lit(x)) for x in held)) & hit if held else hit
+
+
 def rule_tags(text: Column | str, section: Column | str, table: tuple = rules.TAG_RULES, most: int = rules.MAX_RULE_TAGS) -> Column:
     """The first `most` tags, in the rules' order, whose text or section pattern hits."""
 
-    def hit(in_text: str | None, in_section: str | None) -> Column:
+    def hit(low: Column, in_text: str | None, in_section: str | None) -> Column:
         found = F.lit(False)
         if in_text:
-            found |= empty(text).rlike(in_text)
+            found |= _has(empty(text), low["text"], in_text)
         if in_section:
-            found |= empty(section).rlike(in_section)
+            found |= _has(empty(section), low["section"], in_section)
         return found
 
-    return F.slice(F.filter(F.array(*(F.when(hit(t, s), F.lit(tag)) for tag, t, s in table)), lambda x: x.isNotNull()), 1, most)
+    lows = F.struct(F.lower(empty(text)).alias("text"), F.lower(empty(section)).alias("section"))
+    return let(lows, lambda low: F.slice(F.filter(F.array(*(F.when(hit(low, t, s), F.lit(tag)) for tag, t, s in table)), lambda x: x.isNotNull()), 1, most))
 
 
 def dominant_maker(text: Column | str, makers: dict[str, str]) -> Column:
     """The maker with the most hits, the first of equals; null without any."""
-    counts = F.array(*(F.struct(F.regexp_count(empty(text), F.lit(p)).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, p) in enumerate(makers.items())))
+
+    def count(low: Column, p: str) -> Column:
+        return F.when(_has(empty(text), low, p), F.regexp_count(empty(text), F.lit(p))).otherwise(0)
+
+    counts = let(F.lower(empty(text)), lambda low: F.array(*(F.struct(count(low, p).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, p) in enumerate(makers.items()))))
     return let(F.array_max(counts), lambda best: F.when(best["n"] > 0, best["name"]))
 
 

@@ -41,7 +41,8 @@ def overlap_ratio(old: Column | str, new: Column | str) -> Column:
 
 
 def whitespace_folded(text: Column | str) -> Column:
-    return F.trim(F.regexp_replace(empty(text), r"[ \t\n\r\f\x0B]+", " "))
+    """Runs of white space as one space, none at the ends; single spaces stay where they are."""
+    return F.trim(F.regexp_replace(empty(text), r"[ \t\n\r\f\x0B]{2,}|[\t\n\r\f\x0B]", " "))
 
 
 def header_field(value: Column | str, limit: int | None = None) -> Column:

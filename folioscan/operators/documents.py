@@ -9,6 +9,7 @@ from folioscan.functions import fixed
 from folioscan.functions.text import chunk_id, empty, table_columns, whitespace_folded
 from folioscan.operators import chunking as K
 from folioscan.operators import tagging as G
+from folioscan.sources.files import written
 from folioscan.sources.tables import register as with_defaults
 
 GENERAL = ("", "introduction", "general")
@@ -54,7 +55,8 @@ def chunk_documents(sections: DataFrame, blocks: DataFrame, register: DataFrame,
     fits, and stays text if not. The first of equal pieces of a document stays. A group label
     of a table takes the place of the section's title. Where the register has a
     context_header, header and section path open every piece. Nulls count as empty; a
-    document of one section is as much as one task handles together.
+    document of one section is as much as one task handles together. Hosts and placed blocks
+    are written to the shared folder: several steps read them, none makes them again.
     """
     hosts, placed = merged_sections(sections, blocks, least)
     hosts = K.breadcrumbs(hosts, "doc_id", "host_no", "section_num", "section")
@@ -65,6 +67,7 @@ def chunk_documents(sections: DataFrame, blocks: DataFrame, register: DataFrame,
     hosts = hosts.join(header, "doc_id", "left").withColumn("title_", title)
     crumb = F.concat_ws(JOIN, F.nullif("context_header", F.lit("")), F.coalesce(F.nullif("section_path", F.lit("")), F.nullif("title_", F.lit(""))))
     hosts = hosts.withColumn("crumb", F.when(empty("context_header") != "", crumb).otherwise("")).drop("context_header")
+    hosts, placed = written(hosts, "hosts"), written(placed, "placed")
 
     key = F.struct("doc_id", "host_no")
     tables = K.table_intros(placed.withColumn("_own", key), "_own", "at").join(hosts.select("doc_id", "host_no", "crumb", "title_"), ["doc_id", "host_no"])
@@ -92,10 +95,10 @@ def chunk_documents(sections: DataFrame, blocks: DataFrame, register: DataFrame,
         rows = rows.join(printed.select("doc_id", F.col("page").alias("page_num"), "printed_page"), ["doc_id", "page_num"], "left")
     else:
         rows = rows.withColumn("printed_page", F.lit(""))
-    maker = G.chunk_maker("text", "system", "oem")
+    rows = rows.withColumn("maker_", G.chunk_maker("text", "system", "oem"))
     more = [c for c in known.columns if c not in ("doc_id", "oem", "context_header")]
     return rows.select(
         chunk_id("doc_id", "section", "chunk_index", "text").alias("chunk_id"), "doc_id", "section", "section_num", "section_path", "page_num", empty("printed_page").alias("printed_page"), "chunk_index", "total_chunks_in_section",
-        G.tags("text", "section", "system", maker).alias("tags"), empty(maker).alias("oem"), F.when(F.col("table_id") != "", "table").otherwise("text").alias("chunk_type"), "table_id",
+        G.tags("text", "section", "system", "maker_").alias("tags"), empty("maker_").alias("oem"), F.when(F.col("table_id") != "", "table").otherwise("text").alias("chunk_type"), "table_id",
         F.when(F.col("table_id") != "", table_columns("text")).otherwise(F.array().cast("array<string>")).alias("columns"), *more, "text", F.char_length("text").alias("char_count"),
     )

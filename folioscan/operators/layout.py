@@ -25,7 +25,7 @@ def html_lines(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
         text = F.replace(text, F.lit(name), F.lit(char))
     lines = F.filter(F.transform(F.split(text, "\n"), lambda s: whitespace_folded(s)), lambda s: (s != "") & (s != "\x01"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.posexplode(lines).alias("place", "text"))
-    return rows.withColumn("heading", F.col("text").startswith("\x01")).withColumn("text", F.trim(F.translate("text", "\x01", "")))
+    return rows.withColumn("heading", F.col("text").startswith("\x01")).withColumn("text", F.trim(F.replace("text", F.lit("\x01"), F.lit(""))))
 
 
 def reading_order(words: DataFrame, page: str, x: str, y: str, tie: str) -> DataFrame:

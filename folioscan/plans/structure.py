@@ -13,6 +13,7 @@ from folioscan.operators import layout as L
 from folioscan.operators import quality as Q
 from folioscan.operators import tagging as G
 from folioscan.plans.base import ORACLES, Shared, Tables, query
+from folioscan.sources.files import written
 
 
 def _quoted(pattern: str) -> str:
@@ -287,7 +288,7 @@ def manual_tags(t: Tables) -> DataFrame:
 
 def _documents(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """sections, blocks and register of the web pages: heading lines open sections, each third line with a digit is a table row."""
-    lines = K.section_numbers(L.html_lines(t.pages), "page_id", F.col("heading"), "place").withColumnRenamed("page_id", "doc_id")
+    lines = written(K.section_numbers(L.html_lines(t.pages), "page_id", F.col("heading"), "place").withColumnRenamed("page_id", "doc_id"), "lines")
     sections = lines.groupBy("doc_id", "section_no").agg(F.max(F.coalesce("section", F.lit(""))).alias("section"), (F.min("place") / 40).cast("int").alias("page_start")).withColumn("section_num", F.regexp_extract("section", r"^\d+(?:\.\d+)*", 0))
     row = F.concat(F.lit("|Line|Text|\n|---|---|\n|"), F.col("place").cast("string"), F.lit("|"), "text", F.lit("|"))
     table = (F.col("place") % 3 == 0) & F.col("text").rlike("[0-9]")

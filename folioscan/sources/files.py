@@ -8,7 +8,7 @@ import tempfile
 import threading
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _making = threading.Lock()
 
@@ -64,3 +64,10 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
             base = f"file://{own}"
             spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, tag: str) -> DataFrame:
+    """The rows, read from a new folder that they are written to: made once, however often they are used."""
+    at = shared_folder(rows.sparkSession, tag)
+    rows.write.parquet(at)
+    return rows.sparkSession.read.parquet(at)

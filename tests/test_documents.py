@@ -123,3 +123,8 @@ def test_odd_documents(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SECTIONS), spark.createDataFrame([], BLOCKS), spark.createDataFrame([], "doc_id long")
     assert chunk_documents(*none).collect() == []
+
+
+def test_pages_are_parsed_and_placed_once(spark, sf):
+    plan = registry.QUERIES["chunked_documents"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "page_id" in plan and "script|style" not in plan

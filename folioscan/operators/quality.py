@@ -43,10 +43,13 @@ def without_running_lines(lines: DataFrame, running: DataFrame, doc: str, text:
 
 
 def lines_on_all_pages(lines: DataFrame, doc: str, page: str, text: str) -> DataFrame:
-    """doc, line: trimmed lines that stand on every page of a document."""
+    """doc, line: trimmed lines that stand on every page of a document.
+
+    Sizes have one row a document, so a partition's are hashed and neither side of their join is sorted.
+    """
     rows = lines.select(doc, page, F.trim(empty(text)).alias("line")).where("line <> ''")
     sizes = lines.groupBy(doc).agg(F.countDistinct(page).alias("of"))
-    return rows.groupBy(doc, "line").agg(F.countDistinct(page).alias("pages")).join(sizes, doc).where("pages = of").select(doc, "line")
+    return rows.groupBy(doc, "line").agg(F.countDistinct(page).alias("pages")).join(sizes.hint("shuffle_hash"), doc).where("pages = of").select(doc, "line")
 
 
 def canary_counts(chunks: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:

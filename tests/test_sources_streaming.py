@@ -206,3 +206,10 @@ def test_reading_ladder_and_bands():
     lines = ["a", "b", "c", "d", "e"]
     cut = lambda image: ["\n".join(lines[i : i + 3]).encode() for i in (0, 1, 2)]
     assert V.banded(lambda b: b.decode(), cut)(b"") == "a\nb\nc\nd\ne"
+
+
+def test_sizes_of_documents_are_hashed_and_odd_pages_count(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, " a "), (1, 2, "a"), (1, 2, "b"), (2, 1, "a"), (2, 2, " "), (3, None, "c"), (None, 1, "d"), (4, 5, None)], "d int, p int, t string")
+    found = Q.lines_on_all_pages(rows, "d", "p", "t")
+    assert sorted((r.d, r.line) for r in found.collect()) == [(1, "a"), (3, "c")]
+    assert "ShuffledHashJoin" in found._jdf.queryExecution().executedPlan().toString()

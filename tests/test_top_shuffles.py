@@ -8,6 +8,7 @@ DOCS, ASKED = 3_000, 20
 #: How many rows each query returns of the tables below: a question has 8 to 40 first rows, three sources, two languages.
 ROWS = {
     "snippets": 160,
+    "passage_overlap": 200,
 }
 
 

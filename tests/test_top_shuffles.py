@@ -9,6 +9,7 @@ DOCS, ASKED = 3_000, 20
 ROWS = {
     "snippets": 160,
     "passage_overlap": 200,
+    "pool_ambiguity": 20,
 }
 
 

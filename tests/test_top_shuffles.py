@@ -10,6 +10,7 @@ ROWS = {
     "snippets": 160,
     "passage_overlap": 200,
     "pool_ambiguity": 20,
+    "proximity_order": 800,
 }
 
 

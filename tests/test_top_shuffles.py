@@ -11,6 +11,7 @@ ROWS = {
     "passage_overlap": 200,
     "pool_ambiguity": 20,
     "proximity_order": 800,
+    "rerank_order": 600,
 }
 
 

@@ -12,6 +12,7 @@ ROWS = {
     "pool_ambiguity": 20,
     "proximity_order": 800,
     "rerank_order": 600,
+    "row_relevance": 160,
 }
 
 

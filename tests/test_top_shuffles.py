@@ -13,6 +13,7 @@ ROWS = {
     "proximity_order": 800,
     "rerank_order": 600,
     "row_relevance": 160,
+    "amendment_pairs": 160,
 }
 
 

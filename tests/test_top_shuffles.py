@@ -14,6 +14,7 @@ ROWS = {
     "rerank_order": 600,
     "row_relevance": 160,
     "amendment_pairs": 160,
+    "build_context": 20,
 }
 
 

@@ -15,6 +15,7 @@ ROWS = {
     "row_relevance": 160,
     "amendment_pairs": 160,
     "build_context": 20,
+    "citation_dedupe": 120,
 }
 
 

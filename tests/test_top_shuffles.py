@@ -16,6 +16,7 @@ ROWS = {
     "amendment_pairs": 160,
     "build_context": 20,
     "citation_dedupe": 120,
+    "clarify_span": 20,
 }
 
 

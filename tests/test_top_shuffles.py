@@ -17,6 +17,7 @@ ROWS = {
     "build_context": 20,
     "citation_dedupe": 120,
     "clarify_span": 20,
+    "context_trim": 400,
 }
 
 
